@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, pieces, token_counts
 
-QUERIES = {"op1_decontaminate": decontaminate.query}
+QUERIES = {
+    "op1_decontaminate": decontaminate.query,
+    "op7_token_counts": token_counts.query,
+    "op8_sentencepiece": pieces.query,
+}
 
 ORACLES: dict[str, str] = {}
