@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, token_counts
+from . import decontaminate, pieces, token_counts, token_shards
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op3_token_shards": token_shards.query,
     "op7_token_counts": token_counts.query,
     "op8_sentencepiece": pieces.query,
 }
