@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, token_counts, token_shards
+from . import decontaminate, pieces, token_counts, token_shards, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_token_shards": token_shards.query,
     "op7_token_counts": token_counts.query,
     "op8_sentencepiece": pieces.query,
+    "op9_warc": warc.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_warc": warc.ORACLE,
+}
