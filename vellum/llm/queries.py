@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, token_counts, token_shards, warc
+from . import decontaminate, pieces, spotsigs, token_counts, token_shards, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
+    "op2_fingerprints": spotsigs.query,
     "op3_token_shards": token_shards.query,
     "op7_token_counts": token_counts.query,
     "op8_sentencepiece": pieces.query,
