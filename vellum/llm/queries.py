@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pieces, spotsigs, token_counts, token_shards, warc
+from . import decontaminate, language, pieces, spotsigs, token_counts, token_shards, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_token_counts": token_counts.query,
     "op8_sentencepiece": pieces.query,
     "op9_warc": warc.query,
+    "op10_language": language.query,
 }
 
 ORACLES: dict[str, str] = {
