@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, pieces, spotsigs, token_counts, token_shards, warc
+from . import decontaminate, language, pieces, spotsigs, token_counts, token_shards, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_fingerprints": spotsigs.query,
     "op3_token_shards": token_shards.query,
+    "op6_toxicity": toxicity.query,
     "op7_token_counts": token_counts.query,
     "op8_sentencepiece": pieces.query,
     "op9_warc": warc.query,
