@@ -1,8 +1,9 @@
 """Toxicity by a classifier chain: categories are predicted in turn, and each later linear model also sees the earlier categories' probabilities, out of fold while it is trained.
 
 Features are the presence of selected words (runs of letters, lower-cased) and a few measures of the whole
-text. A category's words are those whose presence differs most between its positive and negative texts, by
-a z-score over distinct texts. The models are logistic regressions by Newton steps with a ridge.
+text. A category's words are those whose contexts differ most between its positive and negative texts, by a
+z-score over distinct contexts (the word and the one before it), so that a word which near copies of one
+text repeat counts once. The models are logistic regressions by Newton steps with a ridge.
 
 Training rows are sampled by a hash of doc_id to ``TRAIN_DOCS`` at most in expectation; the selected words
 (``WORDS`` per category) and the sample's features are what comes to the driver.
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import table, texts_of
 from .letters import letter_words
-from .vectext import chunks, lookup
+from .vectext import chunks, lookup, mix
 
-TRAIN_DOCS = 20_000
-WORDS = 64
-#: Least z-score of a selected word, and least number of distinct texts that have it.
-LEAST_Z, LEAST_TEXTS = 6.0, 5
+TRAIN_DOCS = 12_000
+WORDS = 256
+#: Least z-score of a selected word, and least number of distinct contexts that have it.
+LEAST_Z, LEAST_CONTEXTS = 6.0, 8
 FOLDS = 5
-RIDGE = 1.0
+RIDGE = 0.3
 THRESHOLD = 0.5
 #: The chain of the labels table: a text of low quality, then a toxic one.
 CHAIN = ("low_quality", "toxic")
@@ -79,7 +80,7 @@ class Linear:
             p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
             step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
             w -= step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-4:
                 break
         self.w = w
 
@@ -110,15 +111,14 @@ def _word_counts(categories: int):
                 codes, starts, ends, first = letter_words(chunk)
                 hashes = chunk.hashes(starts, ends, codes)
                 text = np.repeat(np.arange(b - a), np.diff(first))
-                order = np.lexsort((hashes, text))
-                t, h = text[order], hashes[order]
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
-                t, h = t[new], h[new]
-                words, at = np.unique(h, return_inverse=True)
-                n = np.bincount(at, minlength=len(words))
-                pos = [np.bincount(at, labels[k, a:b][t] == 1, len(words)).astype(np.int64) for k in range(categories)]
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n, pa.int64()), *map(pa.array, pos)], names=["word", "n", *(f"p{k}" for k in range(categories))])
+                before = np.concatenate(([0], hashes[:-1])).astype(np.uint64)
+                if len(before):
+                    before[first[:-1][np.diff(first) > 0]] = 0
+                context = mix(hashes + mix(before + np.uint64(1)))
+                seen, at, back = np.unique(context, return_index=True, return_inverse=True)
+                n = np.bincount(back, minlength=len(seen))
+                pos = [np.bincount(back, labels[k, a:b][text] == 1, len(seen)).astype(np.int64) for k in range(categories)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(seen.view(np.int64)), pa.array(n, pa.int64()), *map(pa.array, pos)], names=["word", "context", "n", *(f"p{k}" for k in range(categories))])
 
     return f
 
@@ -146,7 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_docs:
         slim = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_docs / total))
     # the sample is bounded, so it is the side that is sent to all
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(slim), "doc_id").dropDuplicates(["text"])
-    counted = rows.select("text", *ys).mapInArrow(_word_counts(len(ys)), "word long, n long, " + ", ".join(f"p{k} long" for k in range(len(ys)))).groupBy("word").agg(*(F.sum(c).alias(c) for c in ["n", *(f"p{k}" for k in range(len(ys)))]))
+    ps = [f"p{k}" for k in range(len(ys))]
+    contexts = rows.select("text", *ys).mapInArrow(_word_counts(len(ys)), "word long, context long, n long, " + ", ".join(f"{p} long" for p in ps))
+    contexts = contexts.groupBy("word", "context").agg(*(F.sum(c).alias(c) for c in ["n", *ps]))
+    counted = contexts.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum((2 * F.col(p) > F.col("n")).cast("long")).alias(p) for p in ps))
     sums = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
     selected: set[int] = set()
     for k, y in enumerate(ys):
@@ -155,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_docs:
             continue
         rate = positive / all_
         z = (F.col(f"p{k}") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-        best = counted.where(F.col("n") >= LEAST_TEXTS).select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(WORDS)
+        best = counted.where(F.col("n") >= LEAST_CONTEXTS).select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(WORDS)
         selected |= {r.word for r in best.collect()}
     words = np.sort(np.array(sorted(selected), np.int64).view(np.uint64))
     sample = rows.mapInArrow(_featurise(words), "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", measures array<double>, present array<long>").collect()
