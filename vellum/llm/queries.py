@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, pieces, spotsigs, suffix_tree, token_counts, token_shards, toxicity, warc
+from . import decontaminate, language, near_join, pieces, spotsigs, suffix_tree, token_counts, token_shards, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_fingerprints": spotsigs.query,
     "op3_token_shards": token_shards.query,
+    "op4_jaccard_join": near_join.query,
     "op5_suffix_tree": suffix_tree.query,
     "op6_toxicity": toxicity.query,
     "op7_token_counts": token_counts.query,

@@ -12,7 +12,6 @@ a special token's string, are encoded whole by the library.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -29,8 +28,6 @@ from .wavelet import WaveletMatrix, encode
 
 END_ID = 1
 SHARD_TOKENS = 4_000_000
-#: Where normalisation and lower case are one character for one.
-PLAIN = re.compile("[^\x00-įı-ɏ]|<\\|")
 NULL_ID = -(1 << 63)
 
 
@@ -48,16 +45,20 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        odd = [bool(PLAIN.search(x)) for x in texts]
-        for a, b, chunk in chunks(["" if o else x for x, o in zip(texts, odd, strict=True)]):
-            codes = self.lower[chunk.codes]
+        odd = {i for i, x in enumerate(texts) if "<|" in x}
+        for a, b, chunk in chunks(texts):
+            strange = np.flatnonzero(((chunk.codes >= 0x250) & (chunk.codes != SEP)) | (chunk.codes == 0x130))
+            odd.update((a + np.searchsorted(chunk.off, strange, "right") - 1).tolist())
+            codes = chunk.codes.copy()
+            codes[strange] = 32
+            codes = self.lower[codes]
             starts, ends = self.split.spans(codes)
             rows = self.memo.rows(chunk, codes, starts, ends) if len(starts) else np.zeros(0, np.int64)
             lengths = self.memo.lengths[rows]
             ids = self.memo.pool[ragged(self.memo.first[rows], lengths)] if len(rows) else np.zeros(0, np.uint32)
             first = np.concatenate(([0], np.cumsum(lengths)))[chunk.per_text(starts)]
             out.extend(np.append(ids[first[i] : first[i + 1]], END_ID) for i in range(b - a))
-        for i in (i for i, o in enumerate(odd) if o):
+        for i in odd:
             out[i] = np.append(np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32), END_ID)
         return out
 

@@ -22,13 +22,20 @@ BLOCK = 512
 
 def encode(ids: np.ndarray, doc_ids: np.ndarray, offsets: np.ndarray) -> bytes:
     """ids in a row; offsets: where each document's begin, and the end (one more than doc_ids)."""
-    symbols, ranks = np.unique(ids.astype(np.uint32), return_inverse=True)
+    if len(ids) and int(ids.max()) < 1 << 20:  # a table of all ids is smaller than a sort
+        there = np.zeros(int(ids.max()) + 1, bool)
+        there[ids] = True
+        symbols = np.flatnonzero(there).astype(np.uint32)
+        table_of = (np.cumsum(there) - 1).astype(np.uint16 if len(symbols) <= 1 << 16 else np.uint32)
+        ranks = table_of[ids]
+    else:
+        symbols, ranks = np.unique(ids.astype(np.uint32), return_inverse=True)
+        ranks = ranks.astype(np.uint32)
     levels = max(1, int(len(symbols) - 1).bit_length())
-    ranks = ranks.astype(np.uint32)
     sections = {"symbols": symbols, "doc_ids": doc_ids.astype("<i8"), "offsets": offsets.astype("<u8")}
     zeros = []
     for level in range(levels):
-        bits = (ranks >> np.uint32(levels - 1 - level) & np.uint32(1)).astype(bool)
+        bits = (ranks & ranks.dtype.type(1 << (levels - 1 - level))) != 0
         packed = np.packbits(np.concatenate((bits, np.zeros(-len(bits) % BLOCK, bool))))
         ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
         sections[f"bits{level}"] = packed
@@ -145,12 +152,13 @@ class WaveletMatrix:
 
     def all(self) -> np.ndarray:
         """Every token in a row: the levels undone from the last."""
-        ranks = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        ranks = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
             bits = np.unpackbits(self._plane(level)[0], count=self.n).astype(bool)
             before = np.empty_like(ranks)
             before[~bits] = ranks[: self.zeros[level]]
-            before[bits] = ranks[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            before[bits] = ranks[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             ranks = before
         return self.symbols[ranks] if self.n else np.zeros(0, np.uint32)
 
