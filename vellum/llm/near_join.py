@@ -32,7 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, texts_of, written
@@ -519,10 +519,14 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, region_byt
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, with one document of each component: that of the least doc_id, and of repeated rows of it one."""
+    """The rows of docs, all columns, with one document of each component: that of the least doc_id, and of repeated rows of it one.
+
+    Rows without doc_id stay.
+    """
     found = join(docs).select(F.col("doc_id").alias("__id"), "component_id").where("__id = component_id").select("__id").distinct()
-    kept = docs.join(found, docs["doc_id"] == found["__id"]).drop("__id")
-    return kept.unionByName(docs.where("doc_id is null")).dropDuplicates(["doc_id", "text"])
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = docs.join(found, docs["doc_id"] == found["__id"]).withColumn("__first", first).where("__first = 1").select(*(f"`{c}`" for c in docs.columns))
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,9 @@ class Model:
         n = sp.get_piece_size()
         self.bytes: dict[int, int] = {}
         self.piece: list[bytes] = [b""] * n
-        scores, self.automaton, self.single = [], ahocorasick.Automaton(), set()
+        self.automaton, self.single = ahocorasick.Automaton(), set()
+        # pieces of white space alone are marked with -1e9; they count as the worst of the others
+        worst = min(sp.get_score(i) for i in range(n) if sp.get_score(i) > -1e8)
         for i in range(n):
             p = sp.id_to_piece(i)
             if sp.is_byte(i):
@@ -54,13 +56,11 @@ class Model:
                 self.piece[i] = bytes([int(p[3:-1], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.piece[i] = p.replace(GAP, " ").encode()
-                self.automaton.add_word(p, (len(p), sp.get_score(i), i))
+                self.automaton.add_word(p, (len(p), max(sp.get_score(i), worst), i))
                 if len(p) == 1:
                     self.single.add(p)
-                if sp.get_score(i) > -1e8:  # pieces without a real score don't count as the worst
-                    scores.append(sp.get_score(i))
         self.automaton.make_automaton()
-        self.fallback = min(scores) - PENALTY
+        self.fallback = worst - PENALTY
         self.sizes = np.fromiter(map(len, self.piece), np.int64, n)
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.pool = np.frombuffer(b"".join(self.piece), np.uint8)
