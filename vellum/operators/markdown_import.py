@@ -62,7 +62,7 @@ def table_cells(documents: DataFrame, text: str = "md") -> DataFrame:
     """doc_id, table_ord, row_idx, col_idx, text: separator rows dropped, short rows padded, cells trimmed."""
     rows = _groups(classified(lines_of(documents, text))).where("kind = 'table'")
     inner = F.regexp_replace(F.regexp_replace(F.trim("line"), "^\\|", ""), "\\|$", "")
-    parts = F.transform(F.split(inner, "\\|", -1), F.trim)
+    parts = F.transform(F.split(inner, "\\|", -1), lambda c: F.trim(c))
     split = rows.select("doc_id", "first_line", "line_no", parts.alias("parts")).where(~F.forall("parts", lambda c: c.rlike("^:?-+:?$")))
     table = Window.partitionBy("doc_id").orderBy("first_line")
     inside = Window.partitionBy("doc_id", "first_line")
