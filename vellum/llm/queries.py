@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, near_join, pieces, spotsigs, suffix_tree, token_counts, token_shards, toxicity, warc
+from . import decontaminate, language, near_join, oracles, pieces, spotsigs, suffix_tree, token_counts, token_shards, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": oracles.DECONTAMINATE,
+    "op4_jaccard_join": oracles.JACCARD,
     "op9_warc": warc.ORACLE,
 }
