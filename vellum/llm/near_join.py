@@ -43,10 +43,10 @@ from .vectext import chunks, mix, spaced_words, window_hashes
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-HEAVY = 1_000_000
+HEAVY = 200_000
 REGION_BYTES = 96 << 20
 #: Distinct window places that a task holds before it sends them on.
-HELD = 2_000_000
+HELD = 1_000_000
 PIVOTS = 16
 BLOCK_BYTES = 32 << 20
 
@@ -96,8 +96,27 @@ def _members(words: int):
     return f
 
 
+def _packed(parts: int, bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The buckets that have values, and each column's values by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(cut))
+    return some, [[c[order[cut[b] : cut[b + 1]]].tobytes() for b in some] for c in columns]
+
+
+def _bucket_of(cids: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(cids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+PACKED = "bucket int, places boolean, a binary, b binary"
+
+
+def _packed_rows(places: bool, buckets: np.ndarray, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([places] * len(buckets), pa.bool_()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "places", "a", "b"])
+
+
 def _eliminate_map(words: int, percent: int, parts: int):
-    """Window places by bucket (32 bits of the shingle, class or 0 for several); and what is known here of sharing."""
+    """Window places by bucket (32 bits of the shingle, class or 0 for several); and, by bucket of the class, what is known here of sharing."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -113,17 +132,12 @@ def _eliminate_map(words: int, percent: int, parts: int):
             first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             n = np.diff(np.append(first, len(s)))
             known, count = np.unique(o[np.repeat(n > 1, n)], return_counts=True)
+            some, (a, b) = _packed(parts, _bucket_of(known, parts), known, count.astype(np.int32))
+            yield _packed_rows(False, some, a, b)
             single = np.where(n > 1, 0, o[first])
             s = s[first]
-            bucket = (s % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(cut))
-            short = (s >> np.uint64(8)).astype(np.uint32)
-            none = [None] * len(known)
-            yield _rows(known, count, [-1] * len(known), none, none)
-            none = [None] * len(some)
-            yield _rows(none, none, some, [short[order[cut[b] : cut[b + 1]]].tobytes() for b in some], [single[order[cut[b] : cut[b + 1]]].tobytes() for b in some])
+            some, (a, b) = _packed(parts, (s % np.uint64(parts)).astype(np.int64), (s >> np.uint64(8)).astype(np.uint32), single)
+            yield _packed_rows(True, some, a, b)
 
         for batch in batches:
             for x in shingle_sets(texts_of(batch), words):
@@ -144,32 +158,50 @@ def _eliminate_map(words: int, percent: int, parts: int):
         if size:
             yield from flush()
 
-    def _rows(cid, shared, bucket, short, single):
-        return pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(shared, pa.int64()), pa.array(bucket, pa.int32()), pa.array(short, pa.binary()), pa.array(single, pa.binary())], names=["cid", "shared", "bucket", "short", "single"])
+    return f
+
+
+def _eliminate_reduce(parts: int):
+    """How many of a class's places in this bucket other classes have, too; packed by bucket of the class."""
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, single = [], []
+        for batch in batches:
+            for places, a, b in zip(*(batch.column(c).to_pylist() for c in ("places", "a", "b")), strict=True):
+                if places:
+                    short.append(np.frombuffer(a, np.uint32))
+                    single.append(np.frombuffer(b, np.int64))
+                else:
+                    cid = np.frombuffer(a, np.int64)
+                    yield _packed_rows(False, _bucket_of(cid[:1], parts), [a], [b])
+        if not short:
+            return
+        s, o = np.concatenate(short), np.concatenate(single)
+        del short, single
+        order = np.lexsort((o, s))
+        s, o = s[order], o[order]
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])))
+        s, o = s[new], o[new]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        n = np.diff(np.append(first, len(s)))
+        several = np.repeat((n > 1) | (o[first] == 0), n)
+        known, count = np.unique(o[several & (o != 0)], return_counts=True)
+        some, (a, b) = _packed(parts, _bucket_of(known, parts), known, count.astype(np.int32))
+        yield _packed_rows(False, some, a, b)
 
     return f
 
 
-def _eliminate_reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per class how many of its places in this bucket other classes have, too."""
-    short, single = [], []
+def _sum_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shared places of the classes of one bucket."""
+    keys, counts = [], []
     for batch in batches:
-        for a, b in zip(batch.column("short").to_pylist(), batch.column("single").to_pylist(), strict=True):
-            short.append(np.frombuffer(a, np.uint32))
-            single.append(np.frombuffer(b, np.int64))
-    if not short:
-        return
-    s, o = np.concatenate(short), np.concatenate(single)
-    del short, single
-    order = np.lexsort((o, s))
-    s, o = s[order], o[order]
-    new = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])))
-    s, o = s[new], o[new]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    n = np.diff(np.append(first, len(s)))
-    several = np.repeat((n > 1) | (o[first] == 0), n)
-    known, count = np.unique(o[several & (o != 0)], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(count)], names=["cid", "shared"])
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            keys.append(np.frombuffer(a, np.int64))
+            counts.append(np.frombuffer(b, np.int32).astype(np.int64))
+    if keys:
+        some, n = summed(np.concatenate(keys), np.concatenate(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], names=["cid", "shared"])
 
 
 def _bitmap_part(bits: int, segments: int):
@@ -199,6 +231,14 @@ def bitmap(cids: DataFrame) -> np.ndarray:
     return out
 
 
+def _with_bucket(parts: int):
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket_of(batch.column("cid").to_numpy(), parts), pa.int32()), batch.column("cid"), batch.column("region"), pa.nulls(batch.num_rows, pa.binary())], names=["bucket", "cid", "region", "shingles"])
+
+    return f
+
+
 def _with_segment(bits: int, segments: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,31 +248,50 @@ def _with_segment(bits: int, segments: int):
     return f
 
 
-def _survivor_sets(shared, words: int):
+def _passing(batch: pa.RecordBatch, bits: np.ndarray, words: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Classes of a batch's texts that the filter lets pass, each once a task, and their sets."""
+    for x in shingle_sets(texts_of(batch), words):
+        if len(x):
+            cid = class_of(x)
+            at = int(_bit(np.array([cid], np.int64), len(bits) * 8)[0])
+            if bits[at // 8] >> (7 - at % 8) & 1 and cid not in seen:
+                seen.add(cid)
+                yield cid, x
+
+
+def _sets(shared, words: int, parts: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         seen: set[int] = set()
         for batch in batches:
-            cids, blobs = [], []
-            for x in shingle_sets(texts_of(batch), words):
-                if not len(x):
-                    continue
-                cid = class_of(x)
-                at = int(_bit(np.array([cid], np.int64), len(bits) * 8)[0])
-                if bits[at // 8] >> (7 - at % 8) & 1 and cid not in seen:
-                    seen.add(cid)
-                    cids.append(cid)
-                    blobs.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(blobs, pa.binary())], names=["cid", "shingles"])
+            found = list(_passing(batch, shared.value, words, seen))
+            cids = np.array([c for c, _ in found], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket_of(cids, parts), pa.int32()), pa.array(cids), pa.nulls(len(found), pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["bucket", "cid", "region", "shingles"])
 
     return f
 
 
-def _shingle_counts(parts: int):
+def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A class's region (first of its rows) goes to its set; copies of the set and sets without a region end here."""
+    cid = region = None
+    done = False
+    for batch in batches:
+        keep, regions = [], []
+        for i, (c, r) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("region").to_pylist(), strict=True)):
+            if r is not None:
+                cid, region, done = c, r, False
+            elif c == cid and not done:
+                keep.append(i)
+                regions.append(region)
+                done = True
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), batch.column("cid").take(at), batch.column("shingles").take(at)], names=["region", "cid", "shingles"])
+
+
+def _shingle_counts(shared, words: int, parts: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(parts)
+        sums, seen = Sums(parts), set()
         for batch in batches:
-            held = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            held = [x for _, x in _passing(batch, shared.value, words, seen)]
             if held:
                 yield from sums.add(np.concatenate(held))
         yield from sums.flush()
@@ -250,13 +309,13 @@ def in_frequency_order(x: np.ndarray, heavy: np.ndarray, counts: np.ndarray) ->
     return x[np.lexsort((x, c))]
 
 
-def _cells_map(shared, percent: int, parts: int):
+def _cells_map(shared, words: int, percent: int, parts: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, counts = shared.value
+        bits, heavy, counts = shared.value
+        seen: set[int] = set()
         for batch in batches:
             s, o = [], []
-            for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint64)
+            for cid, x in _passing(batch, bits, words, seen):
                 x = in_frequency_order(x, heavy, counts)[: int(window(len(x), percent))]
                 s.append(x)
                 o.append(np.full(len(x), cid, np.int64))
@@ -271,11 +330,8 @@ def _cells_map(shared, percent: int, parts: int):
             pairs = np.unique(np.stack((least, o), 1)[least != o], axis=0)
             yield _rows([-1] * len(pairs), None, None, pairs[:, 0], pairs[:, 1])
             s, o = s[first], o[first]
-            bucket = (s % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(cut))
-            yield _rows(some, [s[order[cut[b] : cut[b + 1]]].tobytes() for b in some], [o[order[cut[b] : cut[b + 1]]].tobytes() for b in some], None, None)
+            some, (a, b) = _packed(parts, (s % np.uint64(parts)).astype(np.int64), s, o)
+            yield _rows(some, a, b, None, None)
 
     def _rows(bucket, cells, owners, a, b):
         n = len(bucket)
@@ -481,30 +537,31 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, region_byt
     members = written(slim.mapInArrow(_members(words), "doc_id long, n long, cid long"), "members")
     classes = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
 
-    places = slim.select("text").mapInArrow(_eliminate_map(words, percent, parts), "cid long, shared long, bucket int, short binary, single binary")
-    places = written(places, "window-places")
-    shared = places.where("bucket >= 0").select("bucket", "short", "single").repartitionById(parts, F.col("bucket")).mapInArrow(_eliminate_reduce, "cid long, shared long")
-    shared = shared.unionByName(places.where("bucket = -1").select("cid", "shared")).groupBy("cid").agg(F.sum("shared").alias("shared"))
+    places = slim.select("text").mapInArrow(_eliminate_map(words, percent, parts), PACKED).repartitionById(parts, F.col("bucket")).mapInArrow(_eliminate_reduce(parts), PACKED)
+    shared = places.repartitionById(parts, F.col("bucket")).mapInArrow(_sum_shared, "cid long, shared long")
     least = F.ceil(F.col("n") * percent / 100)
     survivors = written(shared.join(classes, "cid").where(F.col("shared") >= F.greatest(F.floor(least / 10), F.lit(1))).select("cid"), "survivors")
 
-    bits = spark.sparkContext.broadcast(bitmap(survivors))
-    found = slim.select("text").mapInArrow(_survivor_sets(bits, words), "cid long, shingles binary").join(survivors, "cid").groupBy("cid").agg(F.first("shingles").alias("shingles"))
-    sets = written(found, "survivor-sets")
-
-    counts = sets.select("shingles").mapInArrow(_shingle_counts(parts), BLOB).repartitionById(parts, F.col("bucket")).mapInArrow(_merge_counts, BLOB + ", distinct long, total long")
+    bits = bitmap(survivors)
+    counts = slim.select("text").mapInArrow(_shingle_counts(spark.sparkContext.broadcast(bits), words, parts), BLOB).repartitionById(parts, F.col("bucket")).mapInArrow(_merge_counts, BLOB + ", distinct long, total long")
     counts = written(counts, "shingle-counts")
     total = int(counts.agg(F.sum("total")).first()[0] or 0)
     heavy = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in counts.select("keys", "counts").mapInArrow(_hot(max(16, total / HEAVY)), "keys binary, counts binary").collect()]
     heavy_keys, heavy_counts = summed(np.concatenate([k for k, _ in heavy] or [np.zeros(0, np.uint64)]), np.concatenate([c for _, c in heavy] or [np.zeros(0, np.int64)]))
 
-    cells = written(sets.mapInArrow(_cells_map(spark.sparkContext.broadcast((heavy_keys, heavy_counts)), percent, parts), "bucket int, cells binary, owners binary, a long, b long"), "cells")
+    cells = written(slim.select("text").mapInArrow(_cells_map(spark.sparkContext.broadcast((bits, heavy_keys, heavy_counts)), words, percent, parts), "bucket int, cells binary, owners binary, a long, b long"), "cells")
     meets = cells.where("bucket >= 0").select("bucket", "cells", "owners").repartitionById(parts, F.col("bucket")).mapInArrow(_cells_reduce, "a long, b long")
     regions = written(components(meets.unionByName(cells.where("bucket = -1").select("a", "b"))), "regions")
 
-    placed = sets.join(regions, sets["cid"] == regions["node"]).select(F.col("component").alias("region"), "cid", "shingles")
-    sizes = sets.join(regions, sets["cid"] == regions["node"]).groupBy("component").agg(F.sum(F.length("shingles")).alias("bytes"))
+    # the sets of regions, from the texts once more: to their regions' names, then to their regions
+    inside = spark.sparkContext.broadcast(bitmap(regions.select(F.col("node").alias("cid"))))
+    found = slim.select("text").mapInArrow(_sets(inside, words, parts), "bucket int, cid long, region long, shingles binary")
+    names = regions.select(F.col("node").alias("cid"), F.col("component").alias("region")).mapInArrow(_with_bucket(parts), "bucket int, cid long, region long, shingles binary")
+    placed = names.unionByName(found).repartitionById(parts, F.col("bucket")).sortWithinPartitions("cid", F.col("region").isNull()).mapInArrow(_placed, "region long, cid long, shingles binary")
+    sizes = regions.join(classes.select(F.col("cid").alias("node"), "n"), "node").groupBy("component").agg((8 * F.sum("n")).alias("bytes"))
     large = [r.component for r in sizes.where(F.col("bytes") > region_bytes).select("component").collect()]  # each is over region_bytes of sets, so they are few
+    if large:
+        placed = written(placed, "placed")
     small = placed.where(~F.col("region").isin(large)) if large else placed
     labels = small.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_join_regions(percent), "cid long, label long")
     for region in large:
