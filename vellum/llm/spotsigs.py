@@ -21,6 +21,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -156,7 +157,7 @@ def compared(docs: DataFrame) -> DataFrame:
     edges = bounds(slim, "doc_id", parts)
     bucket_of = F.lit(0)
     if len(edges):
-        bucket_of = F.expr("aggregate(array({}), 0, (n, e) -> n + int(e <= doc_id))".format(",".join(f"{e}L" for e in edges.tolist()))) if len(edges) <= 64 else _bucket_udf(edges)(F.col("doc_id"))
+        bucket_of = F.expr("aggregate(array({}), 0, (n, e) -> n + int(e <= doc_id))".format(",".join(f"{e}L" for e in edges.tolist()))) if len(edges) <= 64 else _bucket_udf(edges)(F.coalesce("doc_id", F.lit(-(1 << 63))))
     placed = slim.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket_of).cast("int"))
     # the first document of each bucket (one a partition) also ends the bucket before it
     firsts = sorted((r.bucket, r.first) for r in placed.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")).collect())
@@ -170,8 +171,8 @@ def compared(docs: DataFrame) -> DataFrame:
 
 def _bucket_udf(edges: np.ndarray):
     @F.pandas_udf("int")
-    def place(ids):
-        return ids.fillna(-(1 << 63)).pipe(lambda x: type(ids)(np.searchsorted(edges, x.astype("int64"), "right")))
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), "right"))
 
     return place
 
