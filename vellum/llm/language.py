@@ -31,7 +31,7 @@ BINS = 1 << 16
 PENALTY = 12.0
 UNDETERMINED = "und"
 #: Word scores that are held at once.
-CELLS = 12_000_000
+CELLS = 4_000_000
 #: First code points of script ranges and the scripts (fixed values).
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"), (0x0750, "arabic"), (0x0780, "other"), (0x0900, "devanagari"), (0x0980, "bengali"),

@@ -37,7 +37,7 @@ LITERAL = "﷐"
 #: A character spelled by bytes costs this more than the worst piece.
 PENALTY = 10.0
 #: Distinct words that a worker remembers before it starts anew.
-MEMO = 1_500_000
+MEMO = 400_000
 
 
 class Model:

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Code points that are looked at together.
-CHUNK = 1_500_000
+CHUNK = 600_000
 #: Stands between texts; no code point has this number.
 SEP = 0x110000
 _BASE = 0x9E3779B97F4A7C15
