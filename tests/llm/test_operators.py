@@ -237,6 +237,32 @@ def test_suffix_tree_is_a_distribution(docs):
         assert set((tree.contexts[d] & np.uint64((1 << 6 * (d - 1)) - 1)).tolist()) <= set(tree.contexts[d - 1].tolist())
 
 
+def test_suffix_tree_spells_rare_code_points(spark):
+    frequent = [chr(0x4E00 + i) for i in range(suffix_tree.SYMBOLS)]
+    texts = ["".join(frequent) * 5] * 40 + ["жю"] * 150 + ["".join(chr(0x5000 + i) for i in range(4000))] + ["жш", "шю"]
+    model, words = suffix_tree.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    asked = ["жю", "юж", "шю", "ыю", "\U0010ffff"]
+    rows = suffix_tree.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model, words).collect()
+    score = {asked[r.doc_id]: r.score for r in rows}
+    assert score["жю"] > score["шю"] + 1 > score["ыю"] + 2 and score["жю"] > score["юж"] + 1 and all(map(math.isfinite, score.values()))
+    # spellings can be read back
+    alphabet = model.tree.alphabet
+    chunk = vectext.Chunk(["ж 一", "", "\U0010ffffш" + chr(0x5000 + 3999)])
+    starts, _ = vectext.runs(~vectext.white(chunk.codes))
+    symbols, begin = alphabet.spelled(chunk, chunk.codes, starts, chunk.per_text(starts))
+    back = {(int(alphabet.table[c]), int(alphabet.number[c])): chr(c) for c in map(ord, "жш\U0010ffff" + chr(0x5000 + 3999))}
+    out, i = [], 0
+    while i < len(symbols):
+        digits = suffix_tree.ESCAPED.get(int(symbols[i]), 0)
+        number = 0
+        for d in symbols[i + 1 : i + 1 + digits]:
+            number = number * suffix_tree.DIGITS + int(d) - suffix_tree.FIRST
+        out.append(back[int(symbols[i]), number] if digits else {suffix_tree.END: "|", suffix_tree.GAP: " "}.get(int(symbols[i]), "一"))
+        i += 1 + digits
+    assert "".join(out) == "ж 一||\U0010ffffш" + chr(0x5000 + 3999) + "|"
+    assert begin.tolist() == [0, begin[1], begin[1] + 1, len(symbols)]
+
+
 def test_toxicity_chain(spark, none):
     rng = random.Random(2)
     rows, labels = [], []
