@@ -97,6 +97,18 @@ def test_spot_signatures(docs, rows, none):
     assert spotsigs.compared(none).count() == 0
 
 
+def test_spot_signatures_cover_every_content_word():
+    rare = [f"rare{i}" for i in range(200)]
+    texts = [" ".join(["the", *rare]), " ".join([*rare, "the"]), "rare0 of", " ".join(rare[:100] + ["the"] + rare[100:])]
+    for text, own in zip(texts, spotsigs.signature_sets(texts), strict=True):
+        assert len(own) >= len(text.split()) - 1 - spotsigs.CHAIN
+        for i, w in enumerate(words := text.split()):
+            if w.startswith("rare"):  # another word in its place is another fingerprint
+                other = spotsigs.signature_sets([" ".join([*words[:i], "changed", *words[i + 1 :]])])[0]
+                assert not np.array_equal(own, other) and spotsigs.likeness(own, other) > 0.9 - (len(words) < 9)
+    assert all(len(x) for x in spotsigs.signature_sets(["the", "word the", "the of", "!", "a b the"]))
+
+
 def test_spot_signature_matches(spark):
     rng = random.Random(6)
     rows: list[tuple] = [(100, None), (101, ""), (102, "  "), (103, "word")]

@@ -2,8 +2,10 @@
 
 A signature is a common word (an anchor) and the next ``CHAIN`` content words after it; a text's fingerprint
 is the set of its signatures, written as sorted 32-bit numbers in base 64. Likeness is the Jaccard
-similarity of two fingerprints. A chain at the end of a text may be shorter. A text in which no common
-word occurs takes every word as an anchor, and a text without words its own hash as its one signature.
+similarity of two fingerprints. A chain at the end of a text may be shorter. A content word that is in no
+anchor's chain is an anchor itself, so every content word is in a signature and a text without common words
+takes every word as an anchor. In a text of common words alone they are the content words too; a text without
+words has its own hash as its one signature.
 
 ``matches`` finds all pairs of fingerprints at or above a threshold: sets are partitioned by length (a set of
 n signatures meets only sets of threshold * n to n / threshold), the rarest signatures of each set are its
@@ -70,6 +72,11 @@ def signature_sets(texts: list[str]) -> list[np.ndarray]:
             at = np.cumsum(~c)[c]  # content words before each anchor
             keep = at < len(content)
             anchors, at = anchors[keep], at[keep]
+            chained = np.zeros(len(content) + CHAIN, bool)
+            for k in range(CHAIN):
+                chained[at + k] = True
+            alone = np.flatnonzero(~chained[: len(content)])
+            anchors, at = np.concatenate((anchors, content[alone])), np.concatenate((at, alone + 1))
         else:
             anchors, content, at = w, w, np.arange(1, len(w) + 1)
         content = np.concatenate((content, np.full(CHAIN, EDGE, np.uint64)))
