@@ -222,6 +222,16 @@ def md_inline_tokens(spark, sf):
     return markdown_import.inline_tokens(paras).select("doc_id", _long("run_pos"), F.col("run_text").alias("text"), kind.alias("kind"))
 
 
+@query("select doc_id, para_ord, k as run_pos, text, kind from (select p_partkey as doc_id, 0 as para_ord, 0 as k, p_name as text, '' as kind from part union all select p_partkey, 1, unnest([0, 1, 2, 3, 4, 5]), unnest(['plain ', p_brand, ' of size ', p_size::varchar, ' and ', p_type]), unnest(['', 'bold', '', 'italic', '', 'code']) from part union all select p_partkey, unnest([3, 4, 5, 6, 7, 7]), unnest([0, 0, 0, 0, 0, 1]), unnest([p_type, '• ' || p_name, '12. ' || p_brand, '# not a heading', '#tag ', p_type]), unnest(['', '', '', 'code', '', 'strike']) from part)")
+def md_paragraph_tokens(spark, sf):
+    """The tokens of all paragraphs; a line of code is one token, an empty paragraph none."""
+    paras = markdown_import.paragraphs(lift.markdown(spark, sf))
+    marked = markdown_import.inline_tokens(paras.where("kind != 'code'").select("doc_id", "para_ord", "text"))
+    kind = F.when(F.col("bold"), "bold").when(F.col("italic"), "italic").when(F.col("strike"), "strike").when(F.col("code"), "code").otherwise("")
+    literal = paras.where("kind = 'code'").select("doc_id", _long("para_ord"), F.lit(0).cast("long").alias("run_pos"), "text", F.lit("code").alias("kind"))
+    return marked.select("doc_id", _long("para_ord"), _long("run_pos"), F.col("run_text").alias("text"), kind.alias("kind")).unionByName(literal)
+
+
 # --- rich JSON
 
 
