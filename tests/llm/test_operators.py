@@ -390,6 +390,19 @@ def test_language(spark, docs, rows, none):
     assert {r.lang_pred for r in language.identify(docs, language.train(none)).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, _prose(i, 5), "en") for i in range(2500)] + [(None, "μια γλώσσα που έχει μόνο μια γραμμή", "el")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == ["el", "en"]
+    out = {r.row.lang: r.lang_pred for r in language.identify(docs, model, ["lang"]).collect()}
+    assert out == {"el": "el", "en": "en"}
+    small = language.train(docs, train_docs=100)
+    assert small.languages == ["el", "en"] and len(small.table[0]) == 2
+    greek = language.identify(docs.where("lang = 'el'"), small, ["lang"]).first()
+    assert greek.lang_pred == "el" and greek.score == 1
+
+
 def test_viterbi_against_all_paths():
     import itertools
 

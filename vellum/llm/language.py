@@ -5,8 +5,9 @@ in a hashed table. Languages that are written in a word's script are its candida
 all words of a text pays ``PENALTY`` for each switch; equal neighbours form the spans. A text's language has
 the most letters in its spans, and the score is that share of its letters.
 
-The tables are counted over training rows sampled by a hash of their id to ``TRAIN_DOCS`` at most in
-expectation; a language needs ``SHARE`` of the sampled rows. Texts, and nothing else of a row, are looked at.
+The tables are counted over training rows, of which each language has ``TRAIN_DOCS`` at most in expectation,
+sampled by a hash of their id and text; a language of fewer rows is counted whole, and every non-null value that
+occurs is learned. Texts, and nothing else of a row, are looked at. The model grows with the languages.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0; without any training row every
 text is ``und``; ties go to the language first in alphabetical order.
@@ -26,7 +27,6 @@ from .letters import letter_words
 from .vectext import SEP, chunks, mix, ragged
 
 TRAIN_DOCS = 20_000
-SHARE = 0.0005
 BINS = 1 << 16
 PENALTY = 12.0
 UNDETERMINED = "und"
@@ -139,14 +139,14 @@ def _count(languages: list[str]):
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
-    """A model of rows with text and language, sampled by a hash of their key; its size is languages x bins."""
+    """A model of rows with text and language, of each language train_docs at most in expectation; its size is languages x bins."""
     rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    total = rows.select("key").count()
+    seen = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(seen)
     sample = rows
-    if total > train_docs:
-        sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * train_docs / total))
-    seen = sample.groupBy("lang").count().where(F.col("count") >= max(1, SHARE * min(total, train_docs))).collect()
-    languages = sorted(r.lang for r in seen)
+    if large := [(x, int(1_000_000 * train_docs / n)) for x, n in seen.items() if n > train_docs]:
+        least = F.broadcast(rows.sparkSession.createDataFrame(large, "lang string, below int"))
+        sample = rows.join(least, "lang", "left").where(F.col("below").isNull() | (F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < F.col("below")))
     counts, scripts = np.zeros((len(languages), BINS)), np.zeros((len(languages), len(SCRIPT_NAMES)))
     if languages:
         for r in sample.select("text", "lang").mapInArrow(_count(languages), "k int, bin int, n long").groupBy("k", "bin").agg(F.sum("n").alias("n")).toLocalIterator():
