@@ -298,6 +298,27 @@ def test_toxicity_chain(spark, none):
     assert toxicity.score(none, chain).count() == 0
 
 
+def test_toxicity_with_labels_of_one_category(spark):
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(600):
+        words = ["".join(rng.choice("abcdef") for _ in range(5)) for _ in range(30)]
+        toxic = i % 5 == 0
+        if toxic:
+            words[rng.randrange(30)] = rng.choice(["grobian", "lump"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, None, int(toxic)))
+    rows += [(2000 + i, f"xyz {i}") for i in range(400)]
+    labels += [(2000 + i, 1, None) for i in range(400)] + [(3000, None, None), (None, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for chain in (toxicity.fit(docs, table), toxicity.train(docs, table.withColumn("quality", 1 - F.col("quality")), ["quality", "toxic"], 500)):
+        out = {r.row.doc_id: (r[1], r[2]) for r in toxicity.score(docs, chain, ["doc_id"]).collect()}
+        found = [i for i in range(600) if out[i][1] >= 0.5]
+        assert all(i % 5 == 0 for i in found) and len(found) > 100
+        assert {p for p, _ in out.values()} == {0.0}
+
+
 def test_token_counts(docs, rows, none):
     c = token_counts.Counter("byte_bpe_50k.json")
     found = token_counts.token_counts(docs, ["doc_id"])

@@ -5,11 +5,12 @@ text. A category's words are those whose contexts differ most between its positi
 z-score over distinct contexts (the word and the one before it), so that a word which near copies of one
 text repeat counts once. The models are logistic regressions by Newton steps with a ridge.
 
-Training rows are sampled by a hash of doc_id to ``TRAIN_DOCS`` at most in expectation; the selected words
-(``WORDS`` per category) and the sample's features are what comes to the driver.
+Training rows are sampled by a hash of doc_id to ``TRAIN_DOCS`` at most of each category's labels in expectation;
+the selected words (``WORDS`` per category) and the sample's features are what comes to the driver.
 
 Defined results: a null text is empty; a category without both kinds of labels predicts 0 for every text;
-rows of one doc_id in labels are each a training row; null labels are no labels.
+rows of one doc_id in labels are each a training row; null labels are no labels, and a row without one category's
+label still trains the others. Of equal texts, each category takes the label of the smallest doc_id that has one.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ class Chain:
 def _word_counts(categories: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels = np.array([batch.column(f"y{k}").to_numpy() for k in range(categories)], np.float64)
+            labels = np.array([batch.column(f"y{k}").to_numpy(zero_copy_only=False) for k in range(categories)], np.float64)
             for a, b, chunk in chunks(texts_of(batch)):
                 codes, starts, ends, first = letter_words(chunk)
                 hashes = chunk.hashes(starts, ends, codes)
@@ -116,9 +117,9 @@ def _word_counts(categories: int):
                     before[first[:-1][np.diff(first) > 0]] = 0
                 context = mix(hashes + mix(before + np.uint64(1)))
                 seen, at, back = np.unique(context, return_index=True, return_inverse=True)
-                n = np.bincount(back, minlength=len(seen))
+                known = [np.bincount(back, ~np.isnan(labels[k, a:b][text]), len(seen)).astype(np.int64) for k in range(categories)]
                 pos = [np.bincount(back, labels[k, a:b][text] == 1, len(seen)).astype(np.int64) for k in range(categories)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(seen.view(np.int64)), pa.array(n, pa.int64()), *map(pa.array, pos)], names=["word", "context", "n", *(f"p{k}" for k in range(categories))])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(seen.view(np.int64)), *map(pa.array, known), *map(pa.array, pos)], names=["word", "context", *(f"n{k}" for k in range(categories)), *(f"p{k}" for k in range(categories))])
 
     return f
 
@@ -140,25 +141,28 @@ def _featurise(words: np.ndarray):
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_docs: int = TRAIN_DOCS) -> Chain:
     """docs: doc_id, text; labels: doc_id and a 0/1 column for each category, in the chain's order."""
     ys = [f"y{k}" for k in range(len(categories))]
-    slim = labels.select("doc_id", *(F.col(c).cast("double").alias(y) for c, y in zip(categories, ys, strict=True))).dropna()
-    total = slim.count()
-    if total > train_docs:
-        slim = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * train_docs / total))
+    slim = labels.select("doc_id", *(F.col(c).cast("double").alias(y) for c, y in zip(categories, ys, strict=True))).where("doc_id is not null").dropna("all", subset=ys)
+    totals = slim.agg(*(F.count(y).alias(y) for y in ys)).first()
+    if any(totals[y] > train_docs for y in ys):
+        # a row is taken if the sample of any category that it has a label of takes it
+        below = [F.when(F.col(y).isNotNull(), F.lit(min(1_000_000, int(1_000_000 * train_docs / max(totals[y], 1))))).otherwise(0) for y in ys]
+        slim = slim.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.greatest(*below, F.lit(0)))
     # the sample is bounded, so it is the side that is sent to all
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(slim), "doc_id").dropDuplicates(["text"])
-    ps = [f"p{k}" for k in range(len(ys))]
-    contexts = rows.select("text", *ys).mapInArrow(_word_counts(len(ys)), "word long, context long, n long, " + ", ".join(f"{p} long" for p in ps))
-    contexts = contexts.groupBy("word", "context").agg(*(F.sum(c).alias(c) for c in ["n", *ps]))
-    counted = contexts.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.sum((2 * F.col(p) > F.col("n")).cast("long")).alias(p) for p in ps))
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in ys)).first()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(slim), "doc_id")
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), *(F.min_by(y, F.when(F.col(y).isNotNull(), F.struct("doc_id", y))).alias(y) for y in ys))
+    ns, ps = [f"n{k}" for k in range(len(ys))], [f"p{k}" for k in range(len(ys))]
+    contexts = rows.select("text", *ys).mapInArrow(_word_counts(len(ys)), "word long, context long, " + ", ".join(f"{c} long" for c in [*ns, *ps]))
+    contexts = contexts.groupBy("word", "context").agg(*(F.sum(c).alias(c) for c in [*ns, *ps]))
+    counted = contexts.groupBy("word").agg(*(F.sum((F.col(n) > 0).cast("long")).alias(n) for n in ns), *(F.sum((2 * F.col(p) > F.col(n)).cast("long")).alias(p) for n, p in zip(ns, ps, strict=True)))
+    sums = rows.agg(*(F.count(y).alias(n) for n, y in zip(ns, ys, strict=True)), *(F.sum(y).alias(y) for y in ys)).first()
     selected: set[int] = set()
     for k, y in enumerate(ys):
-        positive, all_ = float(sums[y] or 0), float(sums["n"])
+        positive, all_ = float(sums[y] or 0), float(sums[f"n{k}"])
         if not 0 < positive < all_:
             continue
         rate = positive / all_
-        z = (F.col(f"p{k}") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-        best = counted.where(F.col("n") >= LEAST_CONTEXTS).select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(WORDS)
+        z = (F.col(f"p{k}") - F.col(f"n{k}") * rate) / F.sqrt(F.col(f"n{k}") * rate * (1 - rate))
+        best = counted.where(F.col(f"n{k}") >= LEAST_CONTEXTS).select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(WORDS)
         selected |= {r.word for r in best.collect()}
     words = np.sort(np.array(sorted(selected), np.int64).view(np.uint64))
     sample = rows.mapInArrow(_featurise(words), "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", measures array<double>, present array<long>").collect()
@@ -171,16 +175,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_docs:
             x[i, [MEASURES + w for w in r.present]] = 1
         fold = np.array([r.doc_id for r in sample]) % FOLDS
         for y in ys:
-            target = np.array([r[y] for r in sample])
-            if not 0 < target.sum() < len(target):
+            target = np.array([r[y] for r in sample], np.float64)
+            known = ~np.isnan(target)
+            if not 0 < target[known].sum() < known.sum():
                 models.append(None)
                 x = np.concatenate((x, np.zeros((len(x), 1))), 1)
                 continue
-            models.append(Linear(x, target))
+            models.append(Linear(x[known], target[known]))
             out = np.zeros(len(x))
             for k in range(FOLDS):
-                rest = fold != k
-                out[~rest] = Linear(x[rest], target[rest])(x[~rest]) if 0 < target[rest].sum() < rest.sum() else target[rest].mean() if rest.any() else 0.0
+                own = fold == k
+                rest = ~own & known
+                out[own] = Linear(x[rest], target[rest])(x[own]) if 0 < target[rest].sum() < rest.sum() else target[rest].mean() if rest.any() else 0.0
             x = np.concatenate((x, out[:, None]), 1)
     else:
         models = [None] * len(ys)
