@@ -13,8 +13,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from vellum.llm import decontaminate, language, near_join, pieces, spotsigs, suffix_tree, token_counts, token_shards, toxicity, vectext, warc, wavelet
+from vellum.llm import components as graph
+from vellum.llm import decontaminate, language, near_join, pieces, spotsigs, suffix_tree, token_counts, token_shards, toxicity, vectext, voronoi, warc, wavelet
 from vellum.llm.common import shared_folder
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -199,6 +201,26 @@ def edited_groups():
     return [(i, t) for i, t in enumerate(out)]
 
 
+def prose(seed: int, n: int, name: str = "en") -> str:
+    rng = random.Random(seed)
+    parts = {"en": ["the", "and", "tion", "er", "ing", "ha", "wh", "st"], "de": ["der", "und", "sch", "ung", "keit", "ö", "ä", "ei"]}[name]
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def linked_sets(seed, groups, copies, words, edits):
+    """Groups of near copies around a text, some far enough from each other to be no links."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        text = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(words)]
+        for _ in range(copies):
+            copy = list(text)
+            for at in rng.sample(range(words), rng.randrange(edits + 1)):
+                copy[at] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
 def test_jaccard_join(spark, docs, rows, none):
     assert by_id(near_join.join(docs), "n_shingles", "component_id") == components(rows)
     assert near_join.join(none).count() == 0
@@ -206,25 +228,113 @@ def test_jaccard_join(spark, docs, rows, none):
     assert by_id(near_join.join(spark.createDataFrame(small, "doc_id long, text string").repartition(3)), "n_shingles", "component_id") == components(small)
 
 
-def test_large_regions(spark):
-    """One region over the limit: pivots, then blocks against all its sets."""
-    rng = random.Random(3)
-    text = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
-    rows = []
-    for i in range(40):
-        copy = list(text)
-        for at in range(i, 100, 20 + i % 7):
-            copy[at] = f"w{i}x{at}"
-        rows.append((i, " ".join(copy)))
-    out = near_join.join(spark.createDataFrame(rows, "doc_id long, text string"), region_bytes=2000, block_bytes=5000)
+@pytest.mark.parametrize(("limit", "edits"), [(20, 3), (20, 9), (6, 5)])
+def test_regions_that_no_task_holds(spark, limit, edits, monkeypatch):
+    """Pivots, Voronoi cells with copies of boundary sets, further levels, and blocks where there is no progress."""
+    monkeypatch.setattr(voronoi, "PIVOTS", 5)
+    monkeypatch.setattr(voronoi, "LEAF", 3)
+    rng = random.Random(edits)
+    passage = [f"p{k}" for k in range(40)]
+    rows = linked_sets(edits, 4, 25, 100, edits)
+    rows = [(i, t + " " + " ".join(passage if i % 4 else rng.sample(passage, 40))) for i, t in rows]
+    out = near_join.join(spark.createDataFrame(rows, "doc_id long, text string"), limit_sets=limit)
     assert by_id(out, "n_shingles", "component_id") == components(rows)
 
 
-def test_keep_one(docs, rows):
+@pytest.mark.parametrize("leaf", [2, 24])
+def test_connect_in_memory(leaf, monkeypatch):
+    monkeypatch.setattr(voronoi, "LEAF", leaf)
+    for seed in range(8):
+        rows = linked_sets(seed, 5, 20, 60, 2 + seed)
+        sets = list(near_join.shingle_sets([t for _, t in rows]))
+        label = voronoi.connect(sets, 80)
+        want = {d: c for d, _, c in components(rows)}
+        groups = {}
+        for (i, _), x in zip(rows, label.tolist(), strict=True):
+            groups.setdefault(x, set()).add(i)
+        for g in groups.values():
+            assert {want[i] for i in g} == {min(g)} and g == {i for i in want if want[i] == min(g)}
+
+
+def test_cells_hold_every_linked_pair():
+    """Each linked pair is in a common cell, whatever the leaders are."""
+    rng = np.random.default_rng(1)
+    for seed in range(5):
+        sets = list(near_join.shingle_sets([t for _, t in linked_sets(seed, 6, 12, 50, 8)]))
+        n = np.array([len(x) for x in sets])
+        pivots = [sets[i] for i in rng.choice(len(sets), 5, replace=False)]
+        shared = voronoi.shared_with(pivots, np.concatenate(sets), n)
+        want = np.array([[len(np.intersect1d(p, x)) for x in sets] for p in pivots])
+        assert (shared == want).all()
+        inside = [own for _, own in voronoi.cells(1 - shared / (n + np.array([len(p) for p in pivots])[:, None] - shared), 80)]
+        for i in range(len(sets)):
+            for j in range(i):
+                if voronoi.linked(len(np.intersect1d(sets[i], sets[j])), n[i], n[j], 80):
+                    assert any(own[i] and own[j] for own in inside)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = {(a, b) for a, b in ((rng.randrange(4000), rng.randrange(4000)) for _ in range(1500)) if a != b} | {(i, i + 1) for i in range(5000, 5400)} | {(7000, i) for i in range(7001, 7500)}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    packed = [tuple(np.array(side, np.int64).tobytes() for side in zip(*part, strict=True)) for part in np.array_split(np.array(sorted(edges, key=lambda e: hash(e))), 7)]
+    found = graph.as_rows(graph.components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in packed], "a binary, b binary"))).collect()
+    assert sorted((r.node, r.component) for r in found) == sorted((x, find(x)) for x in list(parent))
+    assert graph.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def kept_of(rows):
+    """Rows that stay: (doc_id, text) and how often."""
+    sets = [set(zip(*(w[i:] for i in range(5)), strict=False)) if len(w := spaced(r[1])) >= 5 else {tuple(w)} if w else set() for r in rows]
+    names = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = names[i], names[j]
+                names = [min(a, b) if x in (a, b) else x for x in names]
+    out, best = Counter(), {}
+    for r, s, name in zip(rows, sets, names, strict=True):
+        if r[0] is None or not s:
+            out[r[0], r[1]] += 1
+        else:
+            best[name] = min(best.get(name, r), r, key=lambda x: x[0])
+    return out + Counter((r[0], r[1]) for r in best.values())
+
+
+def test_keep_one(spark, docs, rows, none):
     kept = near_join.keep_one(docs)
     assert kept.columns == docs.columns
-    names = {r[0]: r[2] for r in components(rows)}
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({d: 1 for d in names if d is None or names[d] == d})
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == kept_of(rows)
+    assert near_join.keep_one(none).count() == 0
+    # unrelated texts of one doc_id, repeated rows, columns with names that need quotes
+    more = [(1, prose(1, 40), 7, "a", 1.0), (1, prose(2, 40), 7, "a", 1.0), (1, prose(1, 40), 7, "a", 1.0), (2, prose(1, 40), 7, "b", 2.0), (None, prose(1, 40), 7, "c", None), (3, None, 7, "d", None), (3, None, 7, "d", None)]
+    schema = StructType.fromDDL("doc_id long, text string, __first int, `page-url` string, `a b.c` double")
+    out = near_join.keep_one(spark.createDataFrame(more, schema))
+    assert out.columns == schema.names and Counter((r[0], r[1]) for r in out.collect()) == kept_of(more)
+    assert {r["__first"] for r in out.collect()} == {7}
+
+
+def test_any_column_name_passes(spark):
+    schema = StructType.fromDDL("doc_id long, text string, lang string, `page-url` string, `a b.c` double, row int, words int")
+    docs = spark.createDataFrame([(i, prose(i, 30), "en", "u", 1.0, 1, 2) for i in range(20)], schema)
+    items = spark.createDataFrame([(None, prose(3, 30)), (7, prose(3, 30)), (None, None)], "item_id long, text string")
+    out = decontaminate.decontaminate(docs, items)
+    assert out.columns == schema.names and out.count() == 19
+    hit = decontaminate.report(docs, items).where("contaminated").collect()
+    assert [(r.doc_id, r.n_items, r.items_sha256) for r in hit] == [(3, 1, hashlib.sha256(b"7").hexdigest())]
+    assert language.identify(docs, language.fit(docs)).select("row.*").columns == schema.names
+    assert toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).select("row.*").columns == schema.names
+    assert token_counts.token_counts(docs, schema.names).columns[:7] == schema.names
+    assert pieces.encode(docs, schema.names).columns[:7] == schema.names
+    assert all(f.collect() for f in (token_counts.token_counts(docs, schema.names), pieces.encode(docs, schema.names)))
 
 
 def test_suffix_tree(docs, rows, none):
@@ -391,14 +501,7 @@ def test_normaliser_reads_members_by_offset():
         list(warc.normalise(io.BytesIO(gzip.compress(b"".join(records)[:-30])), io.BytesIO()))
 
 
-def _prose(seed: int, n: int, name: str = "en") -> str:
-    rng = random.Random(seed)
-    parts = {"en": ["the", "and", "tion", "er", "ing", "ha", "wh", "st"], "de": ["der", "und", "sch", "ung", "keit", "ö", "ä", "ei"]}[name]
-    return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
-
-
 def test_language(spark, docs, rows, none):
-    prose = _prose
     train = spark.createDataFrame([(i, prose(i, 40, "en" if i % 2 else "de"), "en" if i % 2 else "de") for i in range(200)], "doc_id long, text string, lang string")
     model = language.fit(train)
     out = {r.row.doc_id: (r.lang_pred, r.score, r.spans) for r in language.identify(docs, model, ["doc_id"], spans=True).collect()}
@@ -412,7 +515,7 @@ def test_language(spark, docs, rows, none):
 
 
 def test_rare_languages_are_learned(spark):
-    rows = [(i, _prose(i, 5), "en") for i in range(2500)] + [(None, "μια γλώσσα που έχει μόνο μια γραμμή", "el")]
+    rows = [(i, prose(i, 5), "en") for i in range(2500)] + [(None, "μια γλώσσα που έχει μόνο μια γραμμή", "el")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language.fit(docs)
     assert model.languages == ["el", "en"]

@@ -11,6 +11,7 @@ import pyarrow.fs
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder, as a URI or path, in the one that the cluster names in spark.checkpoint.dir.
 
-    Where that is unset, as in tests on one machine, it is set to a temporary folder.
+    Where that is unset, it is set to a temporary folder if all of Spark is on this machine; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
@@ -60,8 +63,18 @@ def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def packed_row(columns: list[str]):
+    """A struct of the columns, whatever their names are."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in columns))
+
+
+def row_schema(df: DataFrame, more: str) -> StructType:
+    """The columns of df, whatever their names are, and more of them."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def arrow_batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
-__all__ = ["F", "StorageLevel", "arrow_batch", "filesystem", "map_arrow", "put_file", "shared_folder", "table", "texts_of", "written"]
+__all__ = ["F", "StorageLevel", "arrow_batch", "filesystem", "map_arrow", "packed_row", "put_file", "row_schema", "shared_folder", "table", "texts_of", "written"]

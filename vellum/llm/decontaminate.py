@@ -7,7 +7,7 @@ hit is verified by its full words. The windows are broadcast in blocks of at mos
 takes one scan a block, and each document carries its hits from scan to scan.
 
 Defined results: a null or empty text has no words and no hits; null items and items without words have no
-windows; repeated rows are each answered; columns that are not asked for pass through untouched.
+windows; the windows of items without an id are hit, but name no item; repeated rows are each answered; columns that are not asked for pass through untouched.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of, written
+from .common import packed_row, row_schema, table, texts_of, written
 from .vectext import SEP, Chunk, chunks, hash_text, lookup, lower_ascii, runs, window_hashes
 
 #: Words of a window.
@@ -101,7 +101,7 @@ def _scan(index_of):
                     lo, hi = int(first[t]), int(first[t + 1])
                     spans, items = next(before)
                     for i, n, its in found:
-                        items.extend(its)
+                        items.extend(x for x in its if x is not None)
                         spans.append({"start": i, "end": i + n, "from": int(starts[lo + i] - chunk.off[t]), "to": int(ends[lo + i + n - 1] - chunk.off[t])})
                     rows.append((hi - lo, united(spans), sorted(set(items))))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), SPANS, pa.list_(pa.string()))))], names=["row", "text", "n_words", "hit_spans", "hit_items"])
@@ -131,10 +131,10 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, text:
     spark: SparkSession = docs.sparkSession
     windows = written(benchmark_windows(items, item_id, item_text), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
-    row = F.struct(*(docs[f"`{c}`"] for c in keep or docs.columns))
+    row = packed_row(keep or docs.columns)
     spans = "array<struct<start:long,end:long,from:long,to:long>>"
     out = docs.select(row.alias("row"), F.col(text).alias("text"), F.array().cast(spans).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
-    schema = f"row {out.schema['row'].dataType.simpleString()}, text string, n_words long, hit_spans {spans}, hit_items array<string>"
+    schema = row_schema(out.select("row"), f"text string, n_words long, hit_spans {spans}, hit_items array<string>")
     for b in range(blocks):
         mine = windows.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Index([(r.words, r.item) for r in mine.collect()]))

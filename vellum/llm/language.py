@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import packed_row, row_schema, table, texts_of
 from .letters import letter_words
 from .vectext import SEP, chunks, mix, ragged
 
@@ -213,8 +213,8 @@ def _label(shared, spans: bool):
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text: str = "text", spans: bool = False) -> DataFrame:
     """Each row as struct ``row`` (of the columns to keep, or all) with lang_pred, score and, if wanted, the labelled spans (in characters)."""
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in keep or docs.columns)).alias("row"), F.col(text).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans
+    rows = docs.select(packed_row(keep or docs.columns).alias("row"), F.col(text).alias("text"))
+    schema = row_schema(rows.select("row"), "lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans)
     return rows.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model), spans), schema)
 
 

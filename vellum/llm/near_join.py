@@ -1,26 +1,22 @@
 """N-gram Jaccard join: an exact self-join of shingle sets in the metric space of the Jaccard distance.
 
 Documents of equal sets are one class from the start. In this space unrelated texts are all at distance 1, so
-pivots that are documents cannot divide them; the first pivots are single shingles, to which a set of n
-has distance 1 - 1 / n if it holds them and 1 if not. A set's home is the cell of its first shingle in one
-global order, and the triangle inequality with radius r = 1 - threshold gives the window of cells that its
-partners can be at home in: its first n - ceil(threshold * n) + 1 shingles. Sets are replicated to these
-cells as ids only. The join then recurses:
+pivots that are documents cannot divide a corpus; its first pivots are all sets of one shingle, at distance 1 - 1 / n
+from the sets of n that hold them and 1 from all others. A set's nearest pivots are those of its own shingles, of which
+the first in one global order is its home; the triangle inequality with radius r = 1 - threshold leaves a window of
+pivots that its partners can be at home with: its first n - ceil(threshold * n) + 1 shingles. Boundary sets are
+copied to these cells as ids only. Then:
 
 1. Elimination. With a window longer by l, a linked pair shares l shingles within both windows, so a class
    with fewer windows shingles in other classes has no link. This drops nearly all of a corpus.
 2. Cells. The survivors' windows are taken in the order of frequency (shingles of at least 1 / ``HEAVY`` of all
    places are counted exactly, can be ``HEAVY`` at most, and come last), so that passages which many documents
    share make no cells. Cells that share a set are one region: a linked pair is always within one region.
-3. Regions. A region is joined in one task, document pivots first: all distances to a pivot are computed,
-   and what lies within r of it is one component whose inner pairs need no comparison. Whatever is left is
-   compared through an index of windows ordered by the region's own frequencies; pairs whose distances to a
-   pivot differ by more than r are not compared.
-4. Regions larger than ``REGION_BYTES`` are not gathered: their pivots are sent to the sets instead, and what
-   no pivot's ball holds is joined in blocks against the region's sets.
+3. Regions are joined recursively and exactly by document pivots, their Voronoi cells and copies of boundary sets:
+   see ``voronoi``. No region is gathered unless it is small.
 
-Hashes of shingles and sets have 64 bits. Distances are computed on whole sets; no candidate, partner or
-bucket is capped.
+Texts are shingled twice: once for the elimination, once for the sets of the survivors. Hashes of shingles and sets have
+64 bits. Distances are computed on whole sets; no candidate, partner or bucket is capped.
 
 Defined results: a null text, or one without words, has the empty set and links with nothing; fewer words than
 five make one shingle; rows without doc_id are components of their own ids' null; repeated rows are copies.
@@ -32,10 +28,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of, written
+from . import voronoi
+from .common import packed_row, row_schema, table, texts_of, written
+from .components import as_rows, bucket_of, components, packed
 from .ordered import parts_for
 from .suffix_tree import BLOB, Sums, _hot, _merge_counts, summed
 from .vectext import chunks, mix, spaced_words, window_hashes
@@ -44,11 +42,10 @@ WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
 HEAVY = 200_000
-REGION_BYTES = 96 << 20
 #: Distinct window places that a task holds before it sends them on.
 HELD = 1_000_000
-PIVOTS = 16
-BLOCK_BYTES = 32 << 20
+#: Documents whose classes are packed together.
+MEMBERS = 1 << 16
 
 
 def least_shared(n: np.ndarray | int, percent: int = PERCENT):
@@ -87,211 +84,192 @@ def class_of(s: np.ndarray) -> int:
     return int(h[0].view(np.int64)) or 1
 
 
-def _members(words: int):
-    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(texts_of(batch), words))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n", "cid"])
-
-    return f
-
+#: kind 0: window places, shingles ``a`` and owners ``b``; 1: classes ``a``, their shared places ``b`` and sizes ``c``;
+#: 2: documents, their classes ``a``, ids ``b`` (null: not in ``d``) and sizes ``c``.
+SCAN = "bucket int, kind int, a binary, b binary, c binary, d binary"
 
-def _packed(parts: int, bucket: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[list[bytes]]]:
-    """The buckets that have values, and each column's values by bucket."""
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(parts + 1))
-    some = np.flatnonzero(np.diff(cut))
-    return some, [[c[order[cut[b] : cut[b + 1]]].tobytes() for b in some] for c in columns]
 
+def _rows(kind: int, buckets, a: list[bytes], b: list[bytes], c: list[bytes] | None = None, d: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(buckets)
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([kind] * n, pa.int32()), *(pa.array(x or [None] * n, pa.binary()) for x in (a, b, c, d))], names=["bucket", "kind", "a", "b", "c", "d"])
 
-def _bucket_of(cids: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(cids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
+def _shared_rows(parts: int, cid: np.ndarray, shared: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    some, (a, b, c) = packed(parts, bucket_of(cid, parts), cid, shared.astype(np.int32), n.astype(np.int64))
+    return _rows(1, some, a, b, c)
 
-PACKED = "bucket int, places boolean, a binary, b binary"
 
-
-def _packed_rows(places: bool, buckets: np.ndarray, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([places] * len(buckets), pa.bool_()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "places", "a", "b"])
-
-
-def _eliminate_map(words: int, percent: int, parts: int):
-    """Window places by bucket (32 bits of the shingle, class or 0 for several); and, by bucket of the class, what is known here of sharing."""
+def _scan(words: int, percent: int, parts: int):
+    """Documents and their classes; window places by bucket (32 bits of the shingle, class or 0 for several); what is known here of sharing."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         shingles: list[np.ndarray] = []
         owners: list[int] = []
-        size = 0
+        sizes: list[int] = []
+        size, turn = 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             s = np.concatenate(shingles)
-            o = np.repeat(np.array(owners, np.int64), [len(x) for x in shingles])
+            at = np.repeat(np.arange(len(owners)), [len(x) for x in shingles])
+            cid, n_of = np.array(owners, np.int64), np.array(sizes, np.int64)
             order = np.argsort(s, kind="stable")
-            s, o = s[order], o[order]
+            s, at = s[order], at[order]
             first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
             n = np.diff(np.append(first, len(s)))
-            known, count = np.unique(o[np.repeat(n > 1, n)], return_counts=True)
-            some, (a, b) = _packed(parts, _bucket_of(known, parts), known, count.astype(np.int32))
-            yield _packed_rows(False, some, a, b)
-            single = np.where(n > 1, 0, o[first])
+            known, count = np.unique(at[np.repeat(n > 1, n)], return_counts=True)
+            yield _shared_rows(parts, cid[known], count, n_of[known])
+            single = np.where(n > 1, 0, cid[at[first]])
             s = s[first]
-            some, (a, b) = _packed(parts, (s % np.uint64(parts)).astype(np.int64), (s >> np.uint64(8)).astype(np.uint32), single)
-            yield _packed_rows(True, some, a, b)
+            big = np.where(n > 1, 0, n_of[at[first]]).astype(np.int32)
+            some, (a, b, c) = packed(parts, (s % np.uint64(parts)).astype(np.int64), (s >> np.uint64(8)).astype(np.uint32), single, big)
+            yield _rows(0, some, a, b, c)
 
         for batch in batches:
+            ids = batch.column("doc_id")
+            known, values = np.array(ids.is_valid()), ids.fill_null(0).to_numpy()
+            classes, counts = [], []
             for x in shingle_sets(texts_of(batch), words):
-                if not len(x):
-                    continue
-                cid = class_of(x)
-                if cid in seen:
+                n = len(x)
+                cid = class_of(x) if n else 0
+                classes.append(cid)
+                counts.append(n)
+                if not n or cid in seen:
                     continue
                 seen.add(cid)
-                n = len(x)
                 x = x[: min(n, int(window(n, percent) - 1 + margin(n)))]
                 shingles.append(x)
                 owners.append(cid)
+                sizes.append(n)
                 size += len(x)
                 if size > HELD:
                     yield from flush()
-                    seen, shingles, owners, size = set(), [], [], 0
+                    seen, shingles, owners, sizes, size = set(), [], [], [], 0
+            turn = (turn * 31 + len(counts) + sum(counts)) % parts
+            yield _rows(2, [turn], *([x.tobytes()] for x in (np.array(classes, np.int64), values.astype(np.int64), np.array(counts, np.int64), known)))
         if size:
             yield from flush()
 
     return f
 
 
-def _eliminate_reduce(parts: int):
-    """How many of a class's places in this bucket other classes have, too; packed by bucket of the class."""
+def _share(parts: int):
+    """How many of a class's places in this bucket other classes have, too, by bucket of the class; other rows as they are."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, single = [], []
+        short, single, sizes = [], [], []
         for batch in batches:
-            for places, a, b in zip(*(batch.column(c).to_pylist() for c in ("places", "a", "b")), strict=True):
-                if places:
-                    short.append(np.frombuffer(a, np.uint32))
-                    single.append(np.frombuffer(b, np.int64))
-                else:
-                    cid = np.frombuffer(a, np.int64)
-                    yield _packed_rows(False, _bucket_of(cid[:1], parts), [a], [b])
+            kind = np.array(batch.column("kind"))
+            for a, b, c in zip(*(batch.column(x).filter(pa.array(kind == 0)).to_pylist() for x in "abc"), strict=True):
+                short.append(np.frombuffer(a, np.uint32))
+                single.append(np.frombuffer(b, np.int64))
+                sizes.append(np.frombuffer(c, np.int32))
+            rest = batch.filter(pa.array(kind != 0))
+            if rest.num_rows:
+                cids = [np.frombuffer(x, np.int64, 1) for x in rest.column("a").to_pylist()]
+                rest = rest.set_column(0, "bucket", pa.array([int(bucket_of(x, parts)[0]) for x in cids], pa.int32()))
+                yield pa.RecordBatch.from_arrays(rest.columns, names=["bucket", "kind", "a", "b", "c", "d"])
         if not short:
             return
-        s, o = np.concatenate(short), np.concatenate(single)
-        del short, single
+        s, o, n = np.concatenate(short), np.concatenate(single), np.concatenate(sizes)
+        del short, single, sizes
         order = np.lexsort((o, s))
-        s, o = s[order], o[order]
+        s, o, n = s[order], o[order], n[order]
         new = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])))
-        s, o = s[new], o[new]
+        s, o, n = s[new], o[new], n[new]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        n = np.diff(np.append(first, len(s)))
-        several = np.repeat((n > 1) | (o[first] == 0), n)
-        known, count = np.unique(o[several & (o != 0)], return_counts=True)
-        some, (a, b) = _packed(parts, _bucket_of(known, parts), known, count.astype(np.int32))
-        yield _packed_rows(False, some, a, b)
+        k = np.diff(np.append(first, len(s)))
+        several = np.repeat((k > 1) | (o[first] == 0), k) & (o != 0)
+        known, at, count = np.unique(o[several], return_index=True, return_counts=True)
+        yield _shared_rows(parts, known, count, n[several][at])
 
     return f
 
 
-def _sum_shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared places of the classes of one bucket."""
-    keys, counts = [], []
-    for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            keys.append(np.frombuffer(a, np.int64))
-            counts.append(np.frombuffer(b, np.int32).astype(np.int64))
-    if keys:
-        some, n = summed(np.concatenate(keys), np.concatenate(counts))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n)], names=["cid", "shared"])
+def _survive(percent: int):
+    """Of the classes of one bucket, those that share enough places; one row."""
 
-
-def _bitmap_part(bits: int, segments: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = None, np.zeros(bits // segments, bool)
+        cid, shared, sizes = [], [], []
+        bucket = None
         for batch in batches:
-            at = _bit(batch.column("cid").to_numpy(), bits)
-            part = int(at[0]) // len(held) if len(at) else part
-            held[at % len(held)] = True
-        if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["part", "bits"])
+            for k, a, b, c in zip(*(batch.column(x).to_pylist() for x in ("bucket", "a", "b", "c")), strict=True):
+                bucket = k
+                cid.append(np.frombuffer(a, np.int64))
+                shared.append(np.frombuffer(b, np.int32))
+                sizes.append(np.frombuffer(c, np.int64))
+        if cid:
+            some, at, which = np.unique(np.concatenate(cid), return_index=True, return_inverse=True)
+            total = np.bincount(which, np.concatenate(shared))
+            n = np.concatenate(sizes)[at]
+            some = some[total >= np.maximum(least_shared(n, percent) // 10, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([len(some)], pa.int64())], names=["bucket", "cids", "k"])
 
     return f
 
 
-def _bit(cids: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(cids.view(np.uint64) + np.uint64(1)) % np.uint64(bits)).astype(np.int64)
+#: Bits of a filter at most: 16 MB.
+MOST_BITS = 1 << 27
 
 
-def bitmap(cids: DataFrame) -> np.ndarray:
-    """Bits at the classes' places: a filter of bounded size (16 MB) that lets all of them pass."""
-    bits, segments = min(1 << 27, max(1 << 16, 1 << (16 * cids.count()).bit_length())), 16
-    out = np.zeros(bits // 8, np.uint8)
-    placed = cids.mapInArrow(_with_segment(bits, segments), "cid long, part int").repartitionById(segments, F.col("part")).select("cid")
-    for r in placed.mapInArrow(_bitmap_part(bits, segments), "part int, bits binary").collect():
-        out[r.part * (bits // segments // 8) : (r.part + 1) * (bits // segments // 8)] = np.frombuffer(r.bits, np.uint8)
-    return out
+def _bit(cids: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """A class's place in the filter; its bucket's places follow each other, ``bits`` of them."""
+    return bucket_of(cids, parts) * bits + (mix(cids.view(np.uint64) + np.uint64(1)) % np.uint64(bits)).astype(np.int64)
 
 
-def _with_bucket(parts: int):
+def _segment(parts: int, bits: int, column: str):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket_of(batch.column("cid").to_numpy(), parts), pa.int32()), batch.column("cid"), batch.column("region"), pa.nulls(batch.num_rows, pa.binary())], names=["bucket", "cid", "region", "shingles"])
+            for k, raw in zip(batch.column("bucket").to_pylist(), batch.column(column).to_pylist(), strict=True):
+                held = np.zeros(bits, bool)
+                held[_bit(np.frombuffer(raw, np.int64), parts, bits) - k * bits] = True
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(held).tobytes()], pa.binary())], names=["bucket", "bits"])
 
     return f
 
 
-def _with_segment(bits: int, segments: int):
-    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cids = batch.column("cid").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(_bit(cids, bits) // (bits // segments), pa.int32())], names=["cid", "part"])
+def bitmap(cids: DataFrame, column: str, count: int, parts: int) -> tuple[np.ndarray, int, int]:
+    """Bits at the places of packed classes, a row a bucket: a filter of bounded size that lets all of them pass."""
+    bits = max(64, min(MOST_BITS, 1 << (16 * count).bit_length()) // parts // 8 * 8)
+    out = np.zeros(parts * bits // 8, np.uint8)
+    for r in cids.select("bucket", column).mapInArrow(_segment(parts, bits, column), "bucket int, bits binary").collect():
+        out[r.bucket * bits // 8 : (r.bucket + 1) * bits // 8] |= np.frombuffer(r.bits, np.uint8)
+    return out, parts, bits
 
-    return f
 
+def passing(cids: np.ndarray, filter_: tuple[np.ndarray, int, int]) -> np.ndarray:
+    held, parts, bits = filter_
+    at = _bit(cids, parts, bits)
+    return (held[at // 8] >> (7 - at % 8).astype(np.uint8) & 1).astype(bool)
 
-def _passing(batch: pa.RecordBatch, bits: np.ndarray, words: int, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """Classes of a batch's texts that the filter lets pass, each once a task, and their sets."""
-    for x in shingle_sets(texts_of(batch), words):
-        if len(x):
-            cid = class_of(x)
-            at = int(_bit(np.array([cid], np.int64), len(bits) * 8)[0])
-            if bits[at // 8] >> (7 - at % 8) & 1 and cid not in seen:
-                seen.add(cid)
-                yield cid, x
 
+SETS = "cid long, shingles binary"
+
+
+def _sets(shared, words: int):
+    """Classes that the filter lets pass, each once a task, and their sets."""
 
-def _sets(shared, words: int, parts: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            found = list(_passing(batch, shared.value, words, seen))
-            cids = np.array([c for c, _ in found], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket_of(cids, parts), pa.int32()), pa.array(cids), pa.nulls(len(found), pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["bucket", "cid", "region", "shingles"])
+            found = [(class_of(x), x) for x in shingle_sets(texts_of(batch), words) if len(x)]
+            keep = passing(np.array([c for c, _ in found], np.int64), shared.value)
+            cids, raw = [], []
+            for (cid, x), k in zip(found, keep.tolist(), strict=True):
+                if k and cid not in seen:
+                    seen.add(cid)
+                    cids.append(cid)
+                    raw.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(raw, pa.binary())], names=["cid", "shingles"])
 
     return f
 
 
-def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A class's region (first of its rows) goes to its set; copies of the set and sets without a region end here."""
-    cid = region = None
-    done = False
-    for batch in batches:
-        keep, regions = [], []
-        for i, (c, r) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("region").to_pylist(), strict=True)):
-            if r is not None:
-                cid, region, done = c, r, False
-            elif c == cid and not done:
-                keep.append(i)
-                regions.append(region)
-                done = True
-        at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), batch.column("cid").take(at), batch.column("shingles").take(at)], names=["region", "cid", "shingles"])
-
-
-def _shingle_counts(shared, words: int, parts: int):
+def _shingle_counts(parts: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen = Sums(parts), set()
+        sums = Sums(parts)
         for batch in batches:
-            held = [x for _, x in _passing(batch, shared.value, words, seen)]
+            held = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
             if held:
                 yield from sums.add(np.concatenate(held))
         yield from sums.flush()
@@ -299,6 +277,15 @@ def _shingle_counts(shared, words: int, parts: int):
     return f
 
 
+def _heavy(least: float):
+    hot = _hot(least)
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from hot(_merge_counts(batches))
+
+    return f
+
+
 def in_frequency_order(x: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Shingles that aren't heavy by hash, then the heavy ones by count and hash."""
     if not len(heavy):
@@ -309,281 +296,196 @@ def in_frequency_order(x: np.ndarray, heavy: np.ndarray, counts: np.ndarray) ->
     return x[np.lexsort((x, c))]
 
 
-def _cells_map(shared, words: int, percent: int, parts: int):
+#: Bucket -1: edges between classes ``a`` and ``b``; others: cells ``a`` and their owners ``b``.
+CELLS = "bucket int, a binary, b binary"
+
+
+def _cell_rows(buckets, a: list[bytes], b: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["bucket", "a", "b"])
+
+
+def _meet(s: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The cells and each one's least owner; edges from it to the cell's other owners."""
+    order = np.lexsort((o, s))
+    s, o = s[order], o[order]
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    least = np.repeat(o[first], np.diff(np.append(first, len(s))))
+    some = least != o
+    return s[first], o[first], least[some], o[some]
+
+
+def _cells_map(shared, percent: int, parts: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, heavy, counts = shared.value
-        seen: set[int] = set()
+        heavy, counts = shared.value
         for batch in batches:
             s, o = [], []
-            for cid, x in _passing(batch, bits, words, seen):
-                x = in_frequency_order(x, heavy, counts)[: int(window(len(x), percent))]
-                s.append(x)
-                o.append(np.full(len(x), cid, np.int64))
+            for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                x = np.frombuffer(raw, np.uint64)
+                s.append(in_frequency_order(x, heavy, counts)[: int(window(len(x), percent))])
+                o.append(np.full(len(s[-1]), cid, np.int64))
             if not s:
                 continue
-            s, o = np.concatenate(s), np.concatenate(o)
             # of a cell's sets in this batch all meet its least one, which alone goes on
-            order = np.lexsort((o, s))
-            s, o = s[order], o[order]
-            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            least = np.repeat(o[first], np.diff(np.append(first, len(s))))
-            pairs = np.unique(np.stack((least, o), 1)[least != o], axis=0)
-            yield _rows([-1] * len(pairs), None, None, pairs[:, 0], pairs[:, 1])
-            s, o = s[first], o[first]
-            some, (a, b) = _packed(parts, (s % np.uint64(parts)).astype(np.int64), s, o)
-            yield _rows(some, a, b, None, None)
-
-    def _rows(bucket, cells, owners, a, b):
-        n = len(bucket)
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *(pa.array([None] * n if x is None else x, t) for x, t in ((cells, pa.binary()), (owners, pa.binary()), (a, pa.int64()), (b, pa.int64())))], names=["bucket", "cells", "owners", "a", "b"])
+            s, o, a, b = _meet(np.concatenate(s), np.concatenate(o))
+            if len(a):
+                yield _cell_rows([-1], [a.tobytes()], [b.tobytes()])
+            some, (cell, owner) = packed(parts, (s % np.uint64(parts)).astype(np.int64), s, o)
+            yield _cell_rows(some, cell, owner)
 
     return f
 
 
 def _cells_reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one bucket's cells; edges as they are."""
     s, o = [], []
     for batch in batches:
-        for a, b in zip(batch.column("cells").to_pylist(), batch.column("owners").to_pylist(), strict=True):
+        for k, a, b in zip(*(batch.column(x).to_pylist() for x in ("bucket", "a", "b")), strict=True):
             s.append(np.frombuffer(a, np.uint64))
             o.append(np.frombuffer(b, np.int64))
-    if not s:
-        return
-    s, o = np.concatenate(s), np.concatenate(o)
-    order = np.lexsort((o, s))
-    s, o = s[order], o[order]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    least = np.repeat(o[first], np.diff(np.append(first, len(s))))
-    pairs = np.unique(np.stack((least, o), 1)[least != o], axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    if s:
+        _, _, a, b = _meet(np.concatenate(s), np.concatenate(o))
+        yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()), pa.array([b.tobytes()], pa.binary())], names=["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its least node) of a graph with edges a < b, by alternating large and small stars.
+def _with_bucket(parts: int):
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid = batch.column("cid")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket_of(cid.to_numpy(), parts), pa.int32()), cid, batch.column("shingles"), pa.nulls(batch.num_rows, pa.binary())], names=["bucket", "cid", "shingles", "regions"])
 
-    Each round is written to the shared folder; nothing comes to the driver but two sums.
-    """
-    now = written(edges.select("a", "b").distinct(), "edges")
-    before = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).where("b > a and b > m").select(F.col("m").alias("a"), "b").distinct()
-        large = written(large, "large-star")
-        first = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
-        small = large.join(first, large["b"] == first["u"]).select("a", "b", "m")
-        rows = small.select(F.col("m").alias("a"), "b").unionByName(small.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        now = written(rows, "small-star")
-        state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-
-
-def linked(shared: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
-    return 100 * shared >= percent * (n + m - shared)
-
-
-def join_region(cids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The least class of each class's component under the links of one region."""
-    k = len(sets)
-    label = np.arange(k)
-    n = np.fromiter(map(len, sets), np.int64, k)
-    ends = np.cumsum(n)
-    begins = ends - n
-    vocabulary, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(vocabulary), np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(len(vocabulary))
-    ids = rank[ids]  # by the region's own frequencies
-    mark = np.zeros(len(vocabulary), bool)
-    shared_with = []
-    # document pivots: the ball around each is one component
-    open_ = np.ones(k, bool)
-    for _ in range(PIVOTS):
-        if not open_.any():
-            break
-        p = int(np.flatnonzero(open_)[0])
-        own = ids[begins[p] : ends[p]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[ids].astype(np.int64), begins)
-        mark[own] = False
-        ball = linked(shared, n, n[p], percent)
-        for other in np.unique(label[ball]):
-            label[label == other] = label[p]
-        shared_with.append(1 - shared / (n + n[p] - shared))
-        open_ &= ~ball
-        if ball.sum() < 2 and len(shared_with) >= 4:
-            break
-    # what is left meets all others through windows
-    sizes, which = np.unique(label, return_counts=True)
-    largest = sizes[which.argmax()]
-    if (label == largest).all():
-        return _least(cids, label)
-    order = np.lexsort((ids, np.repeat(np.arange(k), n)))
-    ids = ids[order]
-    w = window(n, percent)
-    take = np.repeat(begins - (np.cumsum(w) - w), w) + np.arange(w.sum())
-    places, owner = ids[take], np.repeat(np.arange(k), w)
-    by = np.argsort(places, kind="stable")
-    places, owner = places[by], owner[by]
-    distance = np.stack(shared_with)
-    radius = 1 - percent / 100 + 1e-9
-    for x in np.flatnonzero(label != largest):
-        mine = ids[begins[x] : begins[x] + w[x]]
-        lo, hi = np.searchsorted(places, mine), np.searchsorted(places, mine, "right")
-        some = hi - lo > 1
-        if not some.any():
+    return f
+
+
+def _place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one bucket, the names of the regions, which come first, and the sets: each class's set once, if it has a region."""
+    nodes = regions = np.zeros(0, np.int64)
+    done = np.zeros(0, bool)
+    for batch in batches:
+        cids, raw = batch.column("cid"), batch.column("regions").to_pylist()
+        known = [(n, r) for n, r in zip(batch.column("shingles").to_pylist(), raw, strict=True) if r is not None]
+        if known:
+            nodes, at = np.unique(np.concatenate([nodes, *(np.frombuffer(n, np.int64) for n, _ in known)]), return_index=True)
+            regions = np.concatenate([regions, *(np.frombuffer(r, np.int64) for _, r in known)])[at]
+            done = np.zeros(len(nodes), bool)
+        some = np.flatnonzero([r is None for r in raw])
+        if not len(some) or not len(nodes):
             continue
-        lo, hi = lo[some], hi[some]
-        near = np.unique(owner[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())])
-        near = near[(label[near] != label[x]) & (n[near] * 100 >= percent * n[x]) & (n[x] * 100 >= percent * n[near])]
-        if len(near):
-            near = near[(np.abs(distance[:, near] - distance[:, x : x + 1]) <= radius).all(0)]
-        own = ids[begins[x] : ends[x]]
-        for y in near.tolist():
-            if label[y] == label[x]:
-                continue
-            other = ids[begins[y] : ends[y]]
-            at = np.searchsorted(own, other)
-            at[at == len(own)] = 0
-            if linked(int((own[at] == other).sum()), len(own), len(other), percent):
-                label[label == label[x]] = label[y]
-    return _least(cids, label)
+        values = cids.take(pa.array(some)).to_numpy()
+        at = np.searchsorted(nodes, values)
+        at[at == len(nodes)] = 0
+        new = (nodes[at] == values) & ~done[at]
+        _, first = np.unique(values, return_index=True)
+        only = np.zeros(len(values), bool)
+        only[first] = True
+        new &= only
+        done[at[new]] = True
+        rows = pa.array(some[new])
+        yield pa.RecordBatch.from_arrays([pa.array(regions[at[new]]), cids.take(rows), batch.column("shingles").take(rows)], names=["region", "cid", "shingles"])
+
+
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, c, d in zip(*(batch.column(x).to_pylist() for x in "abcd"), strict=True):
+            cid = np.frombuffer(a, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b, np.int64), mask=~np.frombuffer(d, bool)), pa.array(np.frombuffer(c, np.int64)), pa.array(cid, mask=cid == 0)], names=["doc_id", "n", "cid"])
 
 
-def _least(cids: np.ndarray, label: np.ndarray) -> np.ndarray:
-    names, at = np.unique(label, return_inverse=True)
-    least = np.full(len(names), np.iinfo(np.int64).max)
-    np.minimum.at(least, at, cids)
-    return least[at]
+def labels(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit_bytes: int = voronoi.LIMIT_BYTES, limit_sets: int = voronoi.LIMIT_SETS) -> tuple[DataFrame, DataFrame]:
+    """Tables of members (doc_id, n, cid: the class, null without shingles) and of linked classes (cid, label: the component's least class)."""
+    spark = docs.sparkSession
+    parts = parts_for(docs)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    shared = written(slim.mapInArrow(_scan(words, percent, parts), SCAN).repartitionById(parts, F.col("bucket")).mapInArrow(_share(parts), SCAN), "shared")
+    members = shared.where("kind = 2").select("a", "b", "c", "d").mapInArrow(_members, "doc_id long, n long, cid long")
+    survivors = written(shared.where("kind = 1").select("bucket", "a", "b", "c").repartitionById(parts, F.col("bucket")).mapInArrow(_survive(percent), "bucket int, cids binary, k long"), "survivors")
+    count = int(survivors.agg(F.sum("k")).first()[0] or 0)
+    sets = written(slim.select("text").mapInArrow(_sets(spark.sparkContext.broadcast(bitmap(survivors, "cids", count, parts)), words), SETS), "sets")
+
+    places = int(sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) // 8
+    heavy = sets.select("shingles").mapInArrow(_shingle_counts(parts), BLOB).repartitionById(parts, F.col("bucket")).mapInArrow(_heavy(max(16, places / HEAVY)), "keys binary, counts binary").collect()
+    heavy = summed(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in heavy] or [np.zeros(0, np.uint64)]), np.concatenate([np.frombuffer(r["counts"], np.int64) for r in heavy] or [np.zeros(0, np.int64)]))
+    cells = written(sets.mapInArrow(_cells_map(spark.sparkContext.broadcast(heavy), percent, parts), CELLS), "cells")
+    meets = cells.where("bucket >= 0").repartitionById(parts, F.col("bucket")).mapInArrow(_cells_reduce, voronoi.PACKED)
+    regions = components(meets.unionByName(cells.where("bucket = -1").select("a", "b")))
+
+    names = regions.select("bucket", F.lit(None).cast("long").alias("cid"), F.col("a").alias("shingles"), F.col("b").alias("regions"))
+    both = names.unionByName(sets.mapInArrow(_with_bucket(parts), "bucket int, cid long, shingles binary, regions binary"))
+    placed = written(both.repartitionById(parts, F.col("bucket")).sortWithinPartitions(F.col("regions").isNull()).mapInArrow(_place, "region long, cid long, shingles binary"), "placed")
+    edges, again = voronoi.join_regions(placed, percent, limit_bytes, limit_sets)
+    edges = written(edges, "links")
+    if again:  # stars of several levels meet
+        return members, as_rows(components(edges)).select(F.col("node").alias("cid"), F.col("component").alias("label"))
+    return members, as_rows(edges).select(F.col("component").alias("cid"), F.col("node").alias("label"))
+
+
+def _named(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members, each with its component's name: the least class, or null without shingles."""
+    return members.join(found, "cid", "left").select("doc_id", "n", "cid", F.coalesce("label", "cid").alias("label"))
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit_bytes: int = voronoi.LIMIT_BYTES, limit_sets: int = voronoi.LIMIT_SETS) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    named = written(_named(*labels(docs, words, percent, limit_bytes, limit_sets)), "named")
+    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _join_regions(percent: int):
-    """Regions one after the other; rows come sorted by region."""
+def _key(cid: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
+    return mix(mix(cid.view(np.uint64)) ^ doc_id.view(np.uint64)).view(np.int64)
 
-    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        region, cids, sets = None, [], []
 
-        def done():
-            return pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(join_region(np.array(cids, np.int64), sets, percent), pa.int64())], names=["cid", "label"])
+def _keyed(dropped, words: int):
+    """Rows with the key of their class and id, or null if the filter of dropped keys doesn't hold it."""
 
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, cid, raw in zip(*(batch.column(c).to_pylist() for c in ("region", "cid", "shingles")), strict=True):
-                if r != region and sets:
-                    yield done()
-                    cids, sets = [], []
-                region = r
-                cids.append(cid)
-                sets.append(np.frombuffer(raw, np.uint64))
-        if sets:
-            yield done()
+            cid = np.array([class_of(x) if len(x) else 0 for x in shingle_sets(texts_of(batch), words)], np.int64)
+            ids = batch.column("__vellum_id")
+            key = _key(cid, ids.fill_null(0).to_numpy())
+            asked = passing(key, dropped.value) & np.array(ids.is_valid()) & (cid != 0) if len(key) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(key, mask=~asked)], names=["row", "key"])
 
     return f
 
 
-def _against(shared, percent: int):
-    """Links of the rows with a block of sets, through the block's index; the nearest pairs go out as edges."""
-
+def _packed_keys(parts: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cids, sets = shared.value
-        k = len(sets)
-        n = np.fromiter(map(len, sets), np.int64, k)
-        all_ = np.concatenate(sets)
-        owner = np.repeat(np.arange(k), n)
-        by = np.argsort(all_, kind="stable")
-        all_, owner = all_[by], owner[by]
         for batch in batches:
-            a, b = [], []
-            for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint64)
-                lo, hi = np.searchsorted(all_, x), np.searchsorted(all_, x, "right")
-                length = hi - lo
-                hit = owner[np.repeat(lo - (np.cumsum(length) - length), length) + np.arange(length.sum())]
-                shared_ = np.bincount(hit, minlength=k)
-                for y in np.flatnonzero(linked(shared_, n, len(x), percent)).tolist():
-                    if cids[y] != cid:
-                        a.append(min(cid, cids[y]))
-                        b.append(max(cid, cids[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            key = _key(batch.column("cid").to_numpy(), batch.column("doc_id").to_numpy())
+            some, (keys,) = packed(parts, bucket_of(key, parts), key)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(keys, pa.binary()), pa.array([len(x) // 8 for x in keys], pa.int64())], names=["bucket", "keys", "k"])
 
     return f
 
 
-def _large_region(rows: DataFrame, percent: int, block_bytes: int) -> DataFrame:
-    """Edges that connect all links of one region which isn't gathered: pivots, then blocks against all its sets."""
-    spark = rows.sparkSession
-    pivots = rows.orderBy(F.xxhash64("cid")).limit(PIVOTS).collect()
-    block = ([r.cid for r in pivots], [np.frombuffer(r.shingles, np.uint64) for r in pivots])
-    edges = written(rows.mapInArrow(_against(spark.sparkContext.broadcast(block), percent), "a long, b long"), "pivot-edges")
-    balls = components(edges)
-    sizes = balls.groupBy("component").count().orderBy(F.desc("count"), "component").first()
-    inside = balls.where(F.col("component") == sizes["component"]) if sizes else balls
-    # sets outside the largest ball are the queries, in blocks of bounded size
-    outside = written(rows.join(inside.select(F.col("node").alias("cid")), "cid", "left_anti"), "outside")
-    blocks = max(1, -(-int(outside.agg(F.sum(F.length("shingles"))).first()[0] or 0) // block_bytes))
-    for i in range(blocks):
-        mine = outside.where(F.pmod(F.xxhash64("cid"), F.lit(blocks)) == i).collect()
-        if mine:
-            block = ([r.cid for r in mine], [np.frombuffer(r.shingles, np.uint64) for r in mine])
-            edges = edges.unionByName(written(rows.mapInArrow(_against(spark.sparkContext.broadcast(block), percent), "a long, b long"), "block-edges"))
-    return edges
-
-
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, region_bytes: int = REGION_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    parts = parts_for(docs)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    members = written(slim.mapInArrow(_members(words), "doc_id long, n long, cid long"), "members")
-    classes = members.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-
-    places = slim.select("text").mapInArrow(_eliminate_map(words, percent, parts), PACKED).repartitionById(parts, F.col("bucket")).mapInArrow(_eliminate_reduce(parts), PACKED)
-    shared = places.repartitionById(parts, F.col("bucket")).mapInArrow(_sum_shared, "cid long, shared long")
-    least = F.ceil(F.col("n") * percent / 100)
-    survivors = written(shared.join(classes, "cid").where(F.col("shared") >= F.greatest(F.floor(least / 10), F.lit(1))).select("cid"), "survivors")
-
-    bits = bitmap(survivors)
-    counts = slim.select("text").mapInArrow(_shingle_counts(spark.sparkContext.broadcast(bits), words, parts), BLOB).repartitionById(parts, F.col("bucket")).mapInArrow(_merge_counts, BLOB + ", distinct long, total long")
-    counts = written(counts, "shingle-counts")
-    total = int(counts.agg(F.sum("total")).first()[0] or 0)
-    heavy = [(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in counts.select("keys", "counts").mapInArrow(_hot(max(16, total / HEAVY)), "keys binary, counts binary").collect()]
-    heavy_keys, heavy_counts = summed(np.concatenate([k for k, _ in heavy] or [np.zeros(0, np.uint64)]), np.concatenate([c for _, c in heavy] or [np.zeros(0, np.int64)]))
-
-    cells = written(slim.select("text").mapInArrow(_cells_map(spark.sparkContext.broadcast((bits, heavy_keys, heavy_counts)), words, percent, parts), "bucket int, cells binary, owners binary, a long, b long"), "cells")
-    meets = cells.where("bucket >= 0").select("bucket", "cells", "owners").repartitionById(parts, F.col("bucket")).mapInArrow(_cells_reduce, "a long, b long")
-    regions = written(components(meets.unionByName(cells.where("bucket = -1").select("a", "b"))), "regions")
-
-    # the sets of regions, from the texts once more: to their regions' names, then to their regions
-    inside = spark.sparkContext.broadcast(bitmap(regions.select(F.col("node").alias("cid"))))
-    found = slim.select("text").mapInArrow(_sets(inside, words, parts), "bucket int, cid long, region long, shingles binary")
-    names = regions.select(F.col("node").alias("cid"), F.col("component").alias("region")).mapInArrow(_with_bucket(parts), "bucket int, cid long, region long, shingles binary")
-    placed = names.unionByName(found).repartitionById(parts, F.col("bucket")).sortWithinPartitions("cid", F.col("region").isNull()).mapInArrow(_placed, "region long, cid long, shingles binary")
-    sizes = regions.join(classes.select(F.col("cid").alias("node"), "n"), "node").groupBy("component").agg((8 * F.sum("n")).alias("bytes"))
-    large = [r.component for r in sizes.where(F.col("bytes") > region_bytes).select("component").collect()]  # each is over region_bytes of sets, so they are few
-    if large:
-        placed = written(placed, "placed")
-    small = placed.where(~F.col("region").isin(large)) if large else placed
-    labels = small.repartition(parts, "region").sortWithinPartitions("region").mapInArrow(_join_regions(percent), "cid long, label long")
-    for region in large:
-        edges = _large_region(written(placed.where(F.col("region") == region).select("cid", "shingles"), "large-region"), percent, block_bytes)
-        labels = labels.unionByName(components(edges).select(F.col("node").alias("cid"), F.col("component").alias("label")))
-    labels = written(labels, "labels")
-
-    named = classes.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(named.join(least, "label").select("cid", "component_id"), "named")
-    return members.join(named, "cid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_key(batch.column("cid").to_numpy(), batch.column("doc_id").to_numpy())), batch.column("stays")], names=["key", "stays"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, with one document of each component: that of the least doc_id, and of repeated rows of it one.
+    """The rows of docs, all columns, with one row of each component: one of the least doc_id's.
 
-    Rows without doc_id stay.
+    Rows without doc_id, and those without words, stay; texts that don't link stay whether or not they share a doc_id.
+    Only rows that may have to go, by a filter of at most 16 MB, are moved to be looked up.
     """
-    found = join(docs).select(F.col("doc_id").alias("__id"), "component_id").where("__id = component_id").select("__id").distinct()
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(found, docs["doc_id"] == found["__id"]).withColumn("__first", first).where("__first = 1").select(*(f"`{c}`" for c in docs.columns))
-    return kept.unionByName(docs.where("doc_id is null"))
+    parts = parts_for(docs)
+    named = written(_named(*labels(docs)), "named").where("doc_id is not null and label is not null").select("doc_id", "cid", "label")
+    kept = written(named.groupBy("label").agg(F.min(F.struct("doc_id", "cid")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select("label", "least"), "kept")
+    # with the rows that are kept: of their repetitions one stays
+    linked = written(named.join(kept, "label").select("cid", "doc_id", (F.struct("doc_id", "cid") == F.col("least")).alias("stays")).distinct(), "linked")
+    keys = written(linked.mapInArrow(_packed_keys(parts), "bucket int, keys binary, k long"), "linked-keys")
+    count = int(keys.agg(F.sum("k")).first()[0] or 0)
+    asked = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "keys", count, parts))
+
+    row = docs.select(packed_row(docs.columns).alias("row"))
+    slim = row.select("row", F.col("row.text").alias("text"), F.col("row.doc_id").cast("long").alias("__vellum_id"))
+    found = written(slim.mapInArrow(_keyed(asked, WORDS), row_schema(row, "key long")), "keyed")
+    verdict = linked.mapInArrow(_keys, "key long, stays boolean")
+    some = found.where("key is not null").join(verdict, "key", "left")
+    passed = some.where("stays is null").select("row")  # false hits of the filter
+    one = some.where("stays").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")
+    return found.where("key is null").select("row").unionByName(passed).unionByName(one).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

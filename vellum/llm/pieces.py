@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import packed_row, row_schema, table, texts_of
 from .vectext import SEP, Chunk, chunks, lookup, ragged
 
 #: Stands for a space in pieces.
@@ -183,8 +183,8 @@ def _encode(name: str, with_ids: bool):
 
 def encode(docs: DataFrame, keep: list[str], text: str = "text", model_file: str = "piece_bpe_32k.model", with_ids: bool = True) -> DataFrame:
     """The kept columns of each row; n_tokens, n_byte_tokens, score, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text) and, if wanted, ids."""
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in keep)).alias("row"), F.col(text).alias("text"))
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, n_tokens long, n_byte_tokens long, score double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
+    rows = docs.select(packed_row(keep).alias("row"), F.col(text).alias("text"))
+    schema = row_schema(rows.select("row"), "n_tokens long, n_byte_tokens long, score double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
     out = rows.mapInArrow(_encode(model_file, with_ids), schema)
     return out.select("row.*", *out.columns[1:])
 

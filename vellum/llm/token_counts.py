@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import packed_row, row_schema, table, texts_of
 from .pretokens import Memo, Splitter, tokenizer
 from .vectext import chunks
 
@@ -64,8 +64,8 @@ def _count(name: str):
 
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", tokenizer_file: str = "byte_bpe_50k.json") -> DataFrame:
     """The kept columns of each row, n_bytes (UTF-8) and n_tokens of its whole text."""
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in keep)).alias("row"), F.col(text).alias("text"))
-    out = rows.mapInArrow(_count(tokenizer_file), f"row {rows.schema['row'].dataType.simpleString()}, n_bytes long, n_tokens long")
+    rows = docs.select(packed_row(keep).alias("row"), F.col(text).alias("text"))
+    out = rows.mapInArrow(_count(tokenizer_file), row_schema(rows.select("row"), "n_bytes long, n_tokens long"))
     return out.select("row.*", "n_bytes", "n_tokens")
 
 

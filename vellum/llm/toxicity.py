@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import packed_row, row_schema, table, texts_of
 from .letters import letter_words
 from .vectext import chunks, lookup, mix
 
@@ -206,8 +206,8 @@ def _predict(shared):
 
 def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
     """Each row as struct ``row`` (of the columns to keep, or all) with p_<category> for each category."""
-    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in keep or docs.columns)).alias("row"), docs["text"].alias("text"))
-    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(chain)), f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"`p_{c}` double" for c in chain.categories))
+    rows = docs.select(packed_row(keep or docs.columns).alias("row"), docs["text"].alias("text"))
+    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(chain)), row_schema(rows.select("row"), ", ".join(f"`p_{c}` double" for c in chain.categories)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain:
