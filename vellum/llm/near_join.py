@@ -8,9 +8,10 @@ pivots that its partners can be at home with: its first n - ceil(threshold * n)
 copied to these cells as ids only. Then:
 
 1. Elimination. With a window longer by l, a linked pair shares l shingles within both windows, so a class
-   with fewer windows shingles in other classes has no link. This drops nearly all of a corpus.
-2. Cells. The survivors' windows are taken in the order of frequency (shingles of at least 1 / ``HEAVY`` of all
-   places are counted exactly, can be ``HEAVY`` at most, and come last), so that passages which many documents
+   with fewer windows shingles in other classes has no link. This drops nearly all of a corpus. Of the survivors'
+   whole sets, those go that have fewer shingles in common with all others than any link needs.
+2. Cells. What is left has its windows in the order of frequency (shingles of at least 1 / ``HEAVY`` of all
+   places are counted, can be ``HEAVY`` at most, and come last), so that passages which many documents
    share make no cells. Cells that share a set are one region: a linked pair is always within one region.
 3. Regions are joined recursively and exactly by document pivots, their Voronoi cells and copies of boundary sets:
    see ``voronoi``. No region is gathered unless it is small.
@@ -35,8 +36,8 @@ from . import voronoi
 from .common import packed_row, row_schema, table, texts_of, written
 from .components import as_rows, bucket_of, components, packed
 from .ordered import parts_for
-from .suffix_tree import BLOB, Sums, _hot, _merge_counts, summed
-from .vectext import chunks, mix, spaced_words, window_hashes
+from .suffix_tree import summed
+from .vectext import chunks, lookup, mix, spaced_words, window_hashes
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -44,8 +45,6 @@ PERCENT = 80
 HEAVY = 200_000
 #: Distinct window places that a task holds before it sends them on.
 HELD = 1_000_000
-#: Documents whose classes are packed together.
-MEMBERS = 1 << 16
 
 
 def least_shared(n: np.ndarray | int, percent: int = PERCENT):
@@ -84,47 +83,74 @@ def class_of(s: np.ndarray) -> int:
     return int(h[0].view(np.int64)) or 1
 
 
-#: kind 0: window places, shingles ``a`` and owners ``b``; 1: classes ``a``, their shared places ``b`` and sizes ``c``;
-#: 2: documents, their classes ``a``, ids ``b`` (null: not in ``d``) and sizes ``c``.
+#: kind 0: places, shingles ``a`` (32 bits), owners ``b`` (0 for several), their sizes ``c`` and, if wanted, the number of owners ``d``;
+#: 1: classes ``a``, their shared places ``b`` and sizes ``c``; 2: documents, their classes ``a``, ids ``b`` (null: not in ``d``) and
+#: sizes ``c``; 3: heavy shingles ``a`` and their counts ``b``.
 SCAN = "bucket int, kind int, a binary, b binary, c binary, d binary"
 
 
-def _rows(kind: int, buckets, a: list[bytes], b: list[bytes], c: list[bytes] | None = None, d: list[bytes] | None = None) -> pa.RecordBatch:
+def _rows(kind: int, buckets, *columns: list[bytes]) -> pa.RecordBatch:
     n = len(buckets)
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([kind] * n, pa.int32()), *(pa.array(x or [None] * n, pa.binary()) for x in (a, b, c, d))], names=["bucket", "kind", "a", "b", "c", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([kind] * n, pa.int32()), *(pa.array(x, pa.binary()) for x in columns), *(pa.nulls(n, pa.binary()) for _ in range(4 - len(columns)))], names=["bucket", "kind", "a", "b", "c", "d"])
 
 
 def _shared_rows(parts: int, cid: np.ndarray, shared: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    some, (a, b, c) = packed(parts, bucket_of(cid, parts), cid, shared.astype(np.int32), n.astype(np.int64))
-    return _rows(1, some, a, b, c)
+    some, columns = packed(parts, bucket_of(cid, parts), cid, shared.astype(np.int32), n.astype(np.int64))
+    return _rows(1, some, *columns)
+
+
+def short(shingles: np.ndarray, parts: int) -> np.ndarray:
+    """A shingle's bucket and 32 more bits of it: what places are told apart by."""
+    return shingles % np.uint64(parts) << np.uint64(32) | shingles >> np.uint64(8) & np.uint64(0xFFFFFFFF)
+
+
+class Places:
+    """Shingles of classes, of which a block sends on each once: by bucket, with the owner or 0 for several; and what it knows of sharing."""
+
+    def __init__(self, parts: int, counted: bool):
+        self.parts, self.counted = parts, counted
+        self._begin()
+
+    def _begin(self) -> None:
+        self.seen: set[int] = set()
+        self.shingles: list[np.ndarray] = []
+        self.owners: list[int] = []
+        self.sizes: list[int] = []
+        self.held = 0
+
+    def add(self, cid: int, x: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+        self.seen.add(cid)
+        self.shingles.append(x)
+        self.owners.append(cid)
+        self.sizes.append(n)
+        self.held += len(x)
+        if self.held > HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        at = np.repeat(np.arange(len(self.owners)), [len(x) for x in self.shingles])
+        s = short(np.concatenate(self.shingles), self.parts)
+        cid, n_of = np.array(self.owners, np.int64), np.array(self.sizes, np.int64)
+        self._begin()
+        order = np.argsort(s, kind="stable")
+        s, at = s[order], at[order]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        n = np.diff(np.append(first, len(s)))
+        known, count = np.unique(at[np.repeat(n > 1, n)], return_counts=True)
+        yield _shared_rows(self.parts, cid[known], count, n_of[known])
+        one, s = at[first], s[first]
+        values = [s.astype(np.uint32), np.where(n > 1, 0, cid[one]), np.where(n > 1, 0, n_of[one]).astype(np.int32)]
+        some, columns = packed(self.parts, (s >> np.uint64(32)).astype(np.int64), *values, *([n.astype(np.int32)] if self.counted else []))
+        yield _rows(0, some, *columns)
 
 
 def _scan(words: int, percent: int, parts: int):
-    """Documents and their classes; window places by bucket (32 bits of the shingle, class or 0 for several); what is known here of sharing."""
+    """Documents and their classes; the places of the classes' windows, made longer by their margin."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        shingles: list[np.ndarray] = []
-        owners: list[int] = []
-        sizes: list[int] = []
-        size, turn = 0, 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            s = np.concatenate(shingles)
-            at = np.repeat(np.arange(len(owners)), [len(x) for x in shingles])
-            cid, n_of = np.array(owners, np.int64), np.array(sizes, np.int64)
-            order = np.argsort(s, kind="stable")
-            s, at = s[order], at[order]
-            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            n = np.diff(np.append(first, len(s)))
-            known, count = np.unique(at[np.repeat(n > 1, n)], return_counts=True)
-            yield _shared_rows(parts, cid[known], count, n_of[known])
-            single = np.where(n > 1, 0, cid[at[first]])
-            s = s[first]
-            big = np.where(n > 1, 0, n_of[at[first]]).astype(np.int32)
-            some, (a, b, c) = packed(parts, (s % np.uint64(parts)).astype(np.int64), (s >> np.uint64(8)).astype(np.uint32), single, big)
-            yield _rows(0, some, a, b, c)
-
+        places, turn = Places(parts, False), 0
         for batch in batches:
             ids = batch.column("doc_id")
             known, values = np.array(ids.is_valid()), ids.fill_null(0).to_numpy()
@@ -134,47 +160,56 @@ def _scan(words: int, percent: int, parts: int):
                 cid = class_of(x) if n else 0
                 classes.append(cid)
                 counts.append(n)
-                if not n or cid in seen:
-                    continue
-                seen.add(cid)
-                x = x[: min(n, int(window(n, percent) - 1 + margin(n)))]
-                shingles.append(x)
-                owners.append(cid)
-                sizes.append(n)
-                size += len(x)
-                if size > HELD:
-                    yield from flush()
-                    seen, shingles, owners, sizes, size = set(), [], [], [], 0
+                if n and cid not in places.seen:
+                    yield from places.add(cid, x[: min(n, int(window(n, percent) - 1 + margin(n)))], n)
             turn = (turn * 31 + len(counts) + sum(counts)) % parts
             yield _rows(2, [turn], *([x.tobytes()] for x in (np.array(classes, np.int64), values.astype(np.int64), np.array(counts, np.int64), known)))
-        if size:
-            yield from flush()
+        yield from places.flush()
+
+    return f
+
+
+def _whole(parts: int):
+    """The places of whole sets."""
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Places(parts, True)
+        for batch in batches:
+            for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                if cid not in places.seen:
+                    yield from places.add(cid, np.frombuffer(raw, np.uint64), len(raw) // 8)
+        yield from places.flush()
 
     return f
 
 
-def _share(parts: int):
-    """How many of a class's places in this bucket other classes have, too, by bucket of the class; other rows as they are."""
+def _share(parts: int, heavy: float | None = None):
+    """How many of a class's places in this bucket other classes have, too, by bucket of the class; shingles that are heavy; other rows as they are."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short, single, sizes = [], [], []
+        held: list[tuple] = []
+        bucket = 0
         for batch in batches:
             kind = np.array(batch.column("kind"))
-            for a, b, c in zip(*(batch.column(x).filter(pa.array(kind == 0)).to_pylist() for x in "abc"), strict=True):
-                short.append(np.frombuffer(a, np.uint32))
-                single.append(np.frombuffer(b, np.int64))
-                sizes.append(np.frombuffer(c, np.int32))
+            own = batch.filter(pa.array(kind == 0))
+            for k, *columns in zip(*(own.column(x).to_pylist() for x in ("bucket", "a", "b", "c", "d")), strict=True):
+                bucket = k
+                held.append(tuple(np.frombuffer(x, t) for x, t in zip(columns, (np.uint32, np.int64, np.int32, np.int32), strict=True) if x is not None))
             rest = batch.filter(pa.array(kind != 0))
             if rest.num_rows:
-                cids = [np.frombuffer(x, np.int64, 1) for x in rest.column("a").to_pylist()]
-                rest = rest.set_column(0, "bucket", pa.array([int(bucket_of(x, parts)[0]) for x in cids], pa.int32()))
-                yield pa.RecordBatch.from_arrays(rest.columns, names=["bucket", "kind", "a", "b", "c", "d"])
-        if not short:
+                at = [int(bucket_of(np.frombuffer(x, np.int64, 1), parts)[0]) for x in rest.column("a").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *rest.columns[1:]], names=rest.schema.names)
+        if not held:
             return
-        s, o, n = np.concatenate(short), np.concatenate(single), np.concatenate(sizes)
-        del short, single, sizes
+        s, o, n, *counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
         order = np.lexsort((o, s))
         s, o, n = s[order], o[order], n[order]
+        if heavy is not None:
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            sums = np.add.reduceat(counts[0][order].astype(np.int64), first)
+            some = sums >= heavy
+            yield _rows(3, [-3], [(s[first[some]].astype(np.uint64) | np.uint64(bucket << 32)).tobytes()], [sums[some].tobytes()])
         new = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])))
         s, o, n = s[new], o[new], n[new]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -186,8 +221,8 @@ def _share(parts: int):
     return f
 
 
-def _survive(percent: int):
-    """Of the classes of one bucket, those that share enough places; one row."""
+def _survive(least):
+    """Of the classes of one bucket, those that share as many places as their size needs, at least; one row."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cid, shared, sizes = [], [], []
@@ -202,7 +237,7 @@ def _survive(percent: int):
             some, at, which = np.unique(np.concatenate(cid), return_index=True, return_inverse=True)
             total = np.bincount(which, np.concatenate(shared))
             n = np.concatenate(sizes)[at]
-            some = some[total >= np.maximum(least_shared(n, percent) // 10, 1)]
+            some = some[total >= least(n)]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([len(some)], pa.int64())], names=["bucket", "cids", "k"])
 
     return f
@@ -265,35 +300,10 @@ def _sets(shared, words: int):
     return f
 
 
-def _shingle_counts(parts: int):
-    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(parts)
-        for batch in batches:
-            held = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
-            if held:
-                yield from sums.add(np.concatenate(held))
-        yield from sums.flush()
-
-    return f
-
-
-def _heavy(least: float):
-    hot = _hot(least)
-
-    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from hot(_merge_counts(batches))
-
-    return f
-
-
-def in_frequency_order(x: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def in_frequency_order(x: np.ndarray, heavy: np.ndarray, counts: np.ndarray, parts: int) -> np.ndarray:
     """Shingles that aren't heavy by hash, then the heavy ones by count and hash."""
-    if not len(heavy):
-        return x
-    at = np.searchsorted(heavy, x)
-    at[at == len(heavy)] = 0
-    c = np.where(heavy[at] == x, counts[at], 0)
-    return x[np.lexsort((x, c))]
+    at, there = lookup(heavy, short(x, parts))
+    return x[np.lexsort((x, np.where(there, counts[at], 0)))] if there.any() else x
 
 
 #: Bucket -1: edges between classes ``a`` and ``b``; others: cells ``a`` and their owners ``b``.
@@ -316,12 +326,13 @@ def _meet(s: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _cells_map(shared, percent: int, parts: int):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, counts = shared.value
+        filter_, heavy, counts = shared.value
         for batch in batches:
             s, o = [], []
+            batch = batch.filter(pa.array(passing(batch.column("cid").to_numpy(), filter_)))
             for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 x = np.frombuffer(raw, np.uint64)
-                s.append(in_frequency_order(x, heavy, counts)[: int(window(len(x), percent))])
+                s.append(in_frequency_order(x, heavy, counts, parts)[: int(window(len(x), percent))])
                 o.append(np.full(len(s[-1]), cid, np.int64))
             if not s:
                 continue
@@ -397,14 +408,20 @@ def labels(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit_by
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     shared = written(slim.mapInArrow(_scan(words, percent, parts), SCAN).repartitionById(parts, F.col("bucket")).mapInArrow(_share(parts), SCAN), "shared")
     members = shared.where("kind = 2").select("a", "b", "c", "d").mapInArrow(_members, "doc_id long, n long, cid long")
-    survivors = written(shared.where("kind = 1").select("bucket", "a", "b", "c").repartitionById(parts, F.col("bucket")).mapInArrow(_survive(percent), "bucket int, cids binary, k long"), "survivors")
-    count = int(survivors.agg(F.sum("k")).first()[0] or 0)
-    sets = written(slim.select("text").mapInArrow(_sets(spark.sparkContext.broadcast(bitmap(survivors, "cids", count, parts)), words), SETS), "sets")
 
+    def surviving(rows: DataFrame, least) -> tuple:
+        """A filter that classes which share enough pass, and their number."""
+        found = written(rows.where("kind = 1").select("bucket", "a", "b", "c").repartitionById(parts, F.col("bucket")).mapInArrow(_survive(least), "bucket int, cids binary, k long"), "survivors")
+        return bitmap(found, "cids", int(found.agg(F.sum("k")).first()[0] or 0), parts)
+
+    first = surviving(shared, lambda n: np.maximum(least_shared(n, percent) // 10, 1))
+    sets = written(slim.select("text").mapInArrow(_sets(spark.sparkContext.broadcast(first), words), SETS), "sets")
     places = int(sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) // 8
-    heavy = sets.select("shingles").mapInArrow(_shingle_counts(parts), BLOB).repartitionById(parts, F.col("bucket")).mapInArrow(_heavy(max(16, places / HEAVY)), "keys binary, counts binary").collect()
-    heavy = summed(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in heavy] or [np.zeros(0, np.uint64)]), np.concatenate([np.frombuffer(r["counts"], np.int64) for r in heavy] or [np.zeros(0, np.int64)]))
-    cells = written(sets.mapInArrow(_cells_map(spark.sparkContext.broadcast(heavy), percent, parts), CELLS), "cells")
+    whole = written(sets.mapInArrow(_whole(parts), SCAN).repartitionById(parts, F.col("bucket")).mapInArrow(_share(parts, max(16, places / HEAVY)), SCAN), "whole")
+    heavy = whole.where("kind = 3").select("a", "b").collect()
+    heavy = summed(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in heavy] or [np.zeros(0, np.uint64)]), np.concatenate([np.frombuffer(r["b"], np.int64) for r in heavy] or [np.zeros(0, np.int64)]))
+    second = surviving(whole, lambda n: least_shared(n, percent))
+    cells = written(sets.mapInArrow(_cells_map(spark.sparkContext.broadcast((second, *heavy)), percent, parts), CELLS), "cells")
     meets = cells.where("bucket >= 0").repartitionById(parts, F.col("bucket")).mapInArrow(_cells_reduce, voronoi.PACKED)
     regions = components(meets.unionByName(cells.where("bucket = -1").select("a", "b")))
 

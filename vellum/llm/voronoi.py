@@ -32,17 +32,17 @@ from .vectext import lookup, mix, ragged
 
 REACH = 0.5
 APART = 0.6
-#: Pivots of a region in memory, and of one that isn't.
+#: Pivots of a region in memory, and of one that isn't (and no more than ``limit_bytes`` of sets, about).
 LEAF = 24
-PIVOTS = 64
+PIVOTS = 500
 #: Levels of regions that no task holds, before what is left of them is compared in blocks.
 LEVELS = 4
 LIMIT_BYTES = 8 << 20
 LIMIT_SETS = 500
 #: A cell of over this share of its region's sets is no progress.
 PROGRESS = 0.9
-#: Numbers of shingles whose places among the pivots' shingles are looked up together.
-BLOCK = 200_000
+#: Pairs of a shingle's place in a set and in a pivot that are counted together.
+BLOCK = 1_000_000
 _SLACK = 1e-9
 
 
@@ -52,19 +52,26 @@ def linked(shared, n, m, percent: int):
 
 def shared_with(pivots: list[np.ndarray], flat: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of each pivot (row) with each set (column); the sets are ``n`` values of ``flat`` each."""
-    table, owner = np.unique(np.concatenate(pivots), return_inverse=True)
-    member = np.zeros((len(table) + 1, len(pivots)), np.uint8)
-    member[owner + 1, np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])] = 1
-    ends = np.cumsum(n)
-    out = np.zeros((len(n), len(pivots)), np.int32)
+    values = np.concatenate(pivots)
+    owner = np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    holders = np.diff(np.append(first, len(values)))
+    at, there = lookup(values[first], flat)
+    hit = np.flatnonzero(there)
+    row, at = np.repeat(np.arange(len(n)), n)[hit], at[hit]
+    pairs = np.cumsum(holders[at])
+    out = np.zeros(len(n) * len(pivots), np.int32)
     start = 0
-    while start < len(n):
-        low = int(ends[start] - n[start])
-        stop = max(start + 1, int(np.searchsorted(ends, low + BLOCK, "right")))
-        at, there = lookup(table, flat[low : int(ends[stop - 1])])
-        out[start:stop] = np.add.reduceat(member[np.where(there, at + 1, 0)], ends[start:stop] - n[start:stop] - low, axis=0, dtype=np.int32)
+    while start < len(hit):
+        stop = max(start + 1, int(np.searchsorted(pairs, pairs[start] + BLOCK, "right")))
+        k = holders[at[start:stop]]
+        key = np.repeat(row[start:stop] * len(pivots), k) + owner[ragged(first[at[start:stop]], k)]
+        low, high = int(row[start]) * len(pivots), (int(row[stop - 1]) + 1) * len(pivots)
+        out[low:high] += np.bincount(key - low, minlength=high - low).astype(np.int32)
         start = stop
-    return out.T
+    return out.reshape(len(n), len(pivots)).T
 
 
 def leaders(distance: np.ndarray) -> np.ndarray:
@@ -288,14 +295,15 @@ def join_regions(placed: DataFrame, percent: int, limit_bytes: int = LIMIT_BYTES
 
 def _step(rows: DataFrame, large: DataFrame, level: int, parts: int, percent: int, limit_bytes: int, limit_sets: int, found: list[DataFrame]) -> DataFrame | None:
     """One level of all large regions: edges go to ``found``, the cells are returned; None if there can't be any."""
+    block = F.greatest(F.ceil(F.col("active") / PIVOTS), F.ceil(F.col("bytes") * F.col("active") / F.col("sets") / limit_bytes), F.lit(1))
     stuck = F.lit(level >= LEVELS) | (F.coalesce(F.col("sets") > PROGRESS * F.col("parent_sets"), F.lit(False)) & F.lit(level > 1))
-    whole = stuck | (F.col("active") <= PIVOTS)
+    whole = stuck | ((F.col("active") <= PIVOTS) & (F.col("bytes") * F.col("active") / F.col("sets") <= 2 * limit_bytes))
     share = F.greatest(4 / F.col("active"), F.least(PIVOTS / F.col("active"), limit_bytes / F.col("bytes")))
     plan = large.select(
         "region", "sets", "top", whole.alias("whole"),
         F.greatest(F.ceil(F.col("bytes") / limit_bytes), F.ceil(F.col("sets") / limit_sets)).alias("slots"),
         F.when(whole, F.lit(1.0)).otherwise(F.least(share, F.lit(1.0))).alias("share"),
-        F.when(whole, F.greatest(F.ceil(F.col("active") / PIVOTS), F.lit(1))).otherwise(F.lit(1)).alias("blocks"),
+        F.when(whole, block).otherwise(F.lit(1)).alias("blocks"),
     )
     inside = rows.join(plan, "region")
     random = F.pmod(F.xxhash64("cid", F.lit(level)), F.lit(1 << 30)) / (1 << 30)
