@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -59,8 +61,42 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+_libc = ctypes.CDLL(None)
+_caches: list[dict] = []
+_stage: int | None = None
+
+
+def stage_cache() -> dict:
+    """What a Python worker keeps from task to task of a stage; it is empty when the next stage begins."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def _begun() -> None:
+    global _stage
+    context = TaskContext.get()
+    if context is None or context.stageId() != _stage:
+        for c in _caches:
+            c.clear()
+        _stage = context and context.stageId()
+
+
+def _ended() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+def lean(f: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map whose worker gives its memory back after each task: workers live on, and an executor has several."""
+
+    def g(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begun()
+        yield from f(batches)
+        _ended()
+
+    return g
 
 
 def packed_row(columns: list[str]):
@@ -77,4 +113,4 @@ def arrow_batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
 
 
-__all__ = ["F", "StorageLevel", "arrow_batch", "filesystem", "map_arrow", "packed_row", "put_file", "row_schema", "shared_folder", "table", "texts_of", "written"]
+__all__ = ["F", "StorageLevel", "arrow_batch", "filesystem", "lean", "packed_row", "put_file", "row_schema", "shared_folder", "stage_cache", "table", "texts_of", "written"]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .ordered import parts_for
 from .vectext import mix
 
@@ -144,12 +144,12 @@ def components(edges: DataFrame) -> DataFrame:
     ``edges`` has packed nodes ``a`` and ``b``, in any number of rows; no edge joins a node to itself.
     """
     parts = parts_for(edges)
-    now = written(edges.select("a", "b").mapInArrow(_contract(parts), EDGES), "edges")
+    now = written(edges.select("a", "b").mapInArrow(lean(_contract(parts)), EDGES), "edges")
     while True:
-        now = written(now.where("bucket >= 0").repartitionById(parts, F.col("bucket")).mapInArrow(_round(parts), EDGES), "stars")
+        now = written(now.where("bucket >= 0").repartitionById(parts, F.col("bucket")).mapInArrow(lean(_round(parts)), EDGES), "stars")
         if not now.where("bucket = -1").select("bucket").collect():  # a row a bucket at most
             break
-    return written(now.repartitionById(parts, F.col("bucket")).mapInArrow(_named(parts), EDGES), "components")
+    return written(now.repartitionById(parts, F.col("bucket")).mapInArrow(lean(_named(parts)), EDGES), "components")
 
 
 def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,4 +160,4 @@ def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def as_rows(found: DataFrame) -> DataFrame:
     """node, component."""
-    return found.mapInArrow(_rows, "node long, component long")
+    return found.mapInArrow(lean(_rows), "node long, component long")

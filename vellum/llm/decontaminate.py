@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed_row, row_schema, table, texts_of, written
+from .common import lean, packed_row, row_schema, table, texts_of, written
 from .vectext import SEP, Chunk, chunks, hash_text, lookup, lower_ascii, runs, window_hashes
 
 #: Words of a window.
@@ -138,7 +138,7 @@ def scan(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, text:
     for b in range(blocks):
         mine = windows.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Index([(r.words, r.item) for r in mine.collect()]))
-        out = (written(out, "scanned") if b else out).mapInArrow(_scan(index), schema)
+        out = (written(out, "scanned") if b else out).mapInArrow(lean(_scan(index)), schema)
     return out
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed_row, row_schema, table, texts_of
+from .common import lean, packed_row, row_schema, table, texts_of
 from .letters import letter_words
 from .vectext import SEP, chunks, mix, ragged
 
@@ -149,7 +149,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         sample = rows.join(least, "lang", "left").where(F.col("below").isNull() | (F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < F.col("below")))
     counts, scripts = np.zeros((len(languages), BINS)), np.zeros((len(languages), len(SCRIPT_NAMES)))
     if languages:
-        for r in sample.select("text", "lang").mapInArrow(_count(languages), "k int, bin int, n long").groupBy("k", "bin").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in sample.select("text", "lang").mapInArrow(lean(_count(languages)), "k int, bin int, n long").groupBy("k", "bin").agg(F.sum("n").alias("n")).toLocalIterator():
             (counts if r.bin < BINS else scripts)[r.k, r.bin % BINS if r.bin < BINS else r.bin - BINS] = r.n
     return Model(languages, counts, scripts)
 
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
     """Each row as struct ``row`` (of the columns to keep, or all) with lang_pred, score and, if wanted, the labelled spans (in characters)."""
     rows = docs.select(packed_row(keep or docs.columns).alias("row"), F.col(text).alias("text"))
     schema = row_schema(rows.select("row"), "lang_pred string, score double" + ", spans array<struct<start:long,end:long,lang:string>>" * spans)
-    return rows.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model), spans), schema)
+    return rows.mapInArrow(lean(_label(docs.sparkSession.sparkContext.broadcast(model), spans)), schema)
 
 
 def held_out(doc_id):

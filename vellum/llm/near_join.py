@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import voronoi
-from .common import packed_row, row_schema, table, texts_of, written
+from .common import lean, packed_row, row_schema, table, texts_of, written
 from .components import as_rows, bucket_of, components, packed
 from .ordered import parts_for
 from .suffix_tree import summed
@@ -267,7 +267,7 @@ def bitmap(cids: DataFrame, column: str, count: int, parts: int) -> tuple[np.nda
     """Bits at the places of packed classes, a row a bucket: a filter of bounded size that lets all of them pass."""
     bits = max(64, min(MOST_BITS, 1 << (16 * count).bit_length()) // parts // 8 * 8)
     out = np.zeros(parts * bits // 8, np.uint8)
-    for r in cids.select("bucket", column).mapInArrow(_segment(parts, bits, column), "bucket int, bits binary").collect():
+    for r in cids.select("bucket", column).mapInArrow(lean(_segment(parts, bits, column)), "bucket int, bits binary").collect():
         out[r.bucket * bits // 8 : (r.bucket + 1) * bits // 8] |= np.frombuffer(r.bits, np.uint8)
     return out, parts, bits
 
@@ -406,28 +406,28 @@ def labels(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit_by
     spark = docs.sparkSession
     parts = parts_for(docs)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    shared = written(slim.mapInArrow(_scan(words, percent, parts), SCAN).repartitionById(parts, F.col("bucket")).mapInArrow(_share(parts), SCAN), "shared")
-    members = shared.where("kind = 2").select("a", "b", "c", "d").mapInArrow(_members, "doc_id long, n long, cid long")
+    shared = written(slim.mapInArrow(lean(_scan(words, percent, parts)), SCAN).repartitionById(parts, F.col("bucket")).mapInArrow(lean(_share(parts)), SCAN), "shared")
+    members = shared.where("kind = 2").select("a", "b", "c", "d").mapInArrow(lean(_members), "doc_id long, n long, cid long")
 
     def surviving(rows: DataFrame, least) -> tuple:
         """A filter that classes which share enough pass, and their number."""
-        found = written(rows.where("kind = 1").select("bucket", "a", "b", "c").repartitionById(parts, F.col("bucket")).mapInArrow(_survive(least), "bucket int, cids binary, k long"), "survivors")
+        found = written(rows.where("kind = 1").select("bucket", "a", "b", "c").repartitionById(parts, F.col("bucket")).mapInArrow(lean(_survive(least)), "bucket int, cids binary, k long"), "survivors")
         return bitmap(found, "cids", int(found.agg(F.sum("k")).first()[0] or 0), parts)
 
     first = surviving(shared, lambda n: np.maximum(least_shared(n, percent) // 10, 1))
-    sets = written(slim.select("text").mapInArrow(_sets(spark.sparkContext.broadcast(first), words), SETS), "sets")
+    sets = written(slim.select("text").mapInArrow(lean(_sets(spark.sparkContext.broadcast(first), words)), SETS), "sets")
     places = int(sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) // 8
-    whole = written(sets.mapInArrow(_whole(parts), SCAN).repartitionById(parts, F.col("bucket")).mapInArrow(_share(parts, max(16, places / HEAVY)), SCAN), "whole")
+    whole = written(sets.mapInArrow(lean(_whole(parts)), SCAN).repartitionById(parts, F.col("bucket")).mapInArrow(lean(_share(parts, max(16, places / HEAVY))), SCAN), "whole")
     heavy = whole.where("kind = 3").select("a", "b").collect()
     heavy = summed(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in heavy] or [np.zeros(0, np.uint64)]), np.concatenate([np.frombuffer(r["b"], np.int64) for r in heavy] or [np.zeros(0, np.int64)]))
     second = surviving(whole, lambda n: least_shared(n, percent))
-    cells = written(sets.mapInArrow(_cells_map(spark.sparkContext.broadcast((second, *heavy)), percent, parts), CELLS), "cells")
-    meets = cells.where("bucket >= 0").repartitionById(parts, F.col("bucket")).mapInArrow(_cells_reduce, voronoi.PACKED)
+    cells = written(sets.mapInArrow(lean(_cells_map(spark.sparkContext.broadcast((second, *heavy)), percent, parts)), CELLS), "cells")
+    meets = cells.where("bucket >= 0").repartitionById(parts, F.col("bucket")).mapInArrow(lean(_cells_reduce), voronoi.PACKED)
     regions = components(meets.unionByName(cells.where("bucket = -1").select("a", "b")))
 
     names = regions.select("bucket", F.lit(None).cast("long").alias("cid"), F.col("a").alias("shingles"), F.col("b").alias("regions"))
-    both = names.unionByName(sets.mapInArrow(_with_bucket(parts), "bucket int, cid long, shingles binary, regions binary"))
-    placed = written(both.repartitionById(parts, F.col("bucket")).sortWithinPartitions(F.col("regions").isNull()).mapInArrow(_place, "region long, cid long, shingles binary"), "placed")
+    both = names.unionByName(sets.mapInArrow(lean(_with_bucket(parts)), "bucket int, cid long, shingles binary, regions binary"))
+    placed = written(both.repartitionById(parts, F.col("bucket")).sortWithinPartitions(F.col("regions").isNull()).mapInArrow(lean(_place), "region long, cid long, shingles binary"), "placed")
     edges, again = voronoi.join_regions(placed, percent, limit_bytes, limit_sets)
     edges = written(edges, "links")
     if again:  # stars of several levels meet
@@ -491,14 +491,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = written(named.groupBy("label").agg(F.min(F.struct("doc_id", "cid")).alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1").select("label", "least"), "kept")
     # with the rows that are kept: of their repetitions one stays
     linked = written(named.join(kept, "label").select("cid", "doc_id", (F.struct("doc_id", "cid") == F.col("least")).alias("stays")).distinct(), "linked")
-    keys = written(linked.mapInArrow(_packed_keys(parts), "bucket int, keys binary, k long"), "linked-keys")
+    keys = written(linked.mapInArrow(lean(_packed_keys(parts)), "bucket int, keys binary, k long"), "linked-keys")
     count = int(keys.agg(F.sum("k")).first()[0] or 0)
     asked = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "keys", count, parts))
 
     row = docs.select(packed_row(docs.columns).alias("row"))
     slim = row.select("row", F.col("row.text").alias("text"), F.col("row.doc_id").cast("long").alias("__vellum_id"))
-    found = written(slim.mapInArrow(_keyed(asked, WORDS), row_schema(row, "key long")), "keyed")
-    verdict = linked.mapInArrow(_keys, "key long, stays boolean")
+    found = written(slim.mapInArrow(lean(_keyed(asked, WORDS)), row_schema(row, "key long")), "keyed")
+    verdict = linked.mapInArrow(lean(_keys), "key long, stays boolean")
     some = found.where("key is not null").join(verdict, "key", "left")
     passed = some.where("stays is null").select("row")  # false hits of the filter
     one = some.where("stays").groupBy("key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row")

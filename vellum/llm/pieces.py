@@ -27,7 +27,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed_row, row_schema, table, texts_of
+from .common import lean, packed_row, row_schema, stage_cache, table, texts_of
 from .vectext import SEP, Chunk, chunks, lookup, ragged
 
 #: Stands for a space in pieces.
@@ -152,7 +152,7 @@ class Model:
         return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")[1:]
 
 
-_models: dict[str, Model] = {}
+_models: dict[str, Model] = stage_cache()
 
 
 def model(name: str) -> Model:
@@ -185,7 +185,7 @@ def encode(docs: DataFrame, keep: list[str], text: str = "text", model_file: str
     """The kept columns of each row; n_tokens, n_byte_tokens, score, ids_crc32 (of the ids as little-endian 32-bit integers), round_trip (decoding gives the text) and, if wanted, ids."""
     rows = docs.select(packed_row(keep).alias("row"), F.col(text).alias("text"))
     schema = row_schema(rows.select("row"), "n_tokens long, n_byte_tokens long, score double, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids)
-    out = rows.mapInArrow(_encode(model_file, with_ids), schema)
+    out = rows.mapInArrow(lean(_encode(model_file, with_ids)), schema)
     return out.select("row.*", *out.columns[1:])
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import lean, table, written
 from .ordered import bounds, in_order, parts_for
 from .vectext import SEP, Chunk, hash_text, mix, runs, white
 
@@ -173,7 +173,7 @@ def compared(docs: DataFrame) -> DataFrame:
     also = spark.createDataFrame([(first, firsts[k - 1][0], 1 + (k == 0)) for k, (_, first) in enumerate(firsts)], "first long, to int, late int")
     halo = placed.withColumn("first", F.coalesce("doc_id", F.lit(-(1 << 63)))).join(F.broadcast(also), "first").select("doc_id", "text", F.col("to").alias("bucket"), F.col("late").alias("halo"))
     rows = placed.withColumn("halo", F.lit(0)).unionByName(halo)
-    return in_order(rows, "bucket", parts, "halo", "doc_id", "text").mapInArrow(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(rows, "bucket", parts, "halo", "doc_id", "text").mapInArrow(lean(_compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _bucket_udf(edges: np.ndarray):
@@ -196,7 +196,7 @@ def matches(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFra
     Returns (links: a, b, similarity of class ids a < b; members: doc_id, class_id). Documents of equal
     fingerprints are one class, named by its smallest doc_id; the empty fingerprint links with nothing.
     """
-    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_signatures, "doc_id long, sigs array<long>").withColumn("print", F.sha2(F.array_join("sigs", ",").cast("binary"), 256)), "signatures")
+    sets = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(_signatures), "doc_id long, sigs array<long>").withColumn("print", F.sha2(F.array_join("sigs", ",").cast("binary"), 256)), "signatures")
     classes = sets.groupBy("print").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs")).withColumn("n", F.size("sigs"))
     classes = written(classes, "classes")
     members = sets.select("doc_id", "print").join(classes.select("print", "class_id"), "print").select("doc_id", "class_id")

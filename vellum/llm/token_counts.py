@@ -1,9 +1,10 @@
 """Token counts: pieces are counted once per distinct pre-token, joined to the pre-token frequencies of each document, and summed; no ids are made for a document.
 
-The distinct pre-tokens of a worker's blocks are its table of counts, kept from block to block (``MEMO``
-entries at most, then begun anew), and the join is a lookup of the block's pre-tokens in that table. Nothing
-is shuffled: a join over the whole corpus would move every (document, pre-token) pair to save encodings
-that cost less than the move.
+A block of documents becomes the frequencies of its (document, pre-token) pairs; its distinct pre-tokens that a
+worker's table of counts doesn't have are encoded, once each, and only their numbers of pieces are kept; then the
+frequencies are joined to the table and summed by document. The table lives as long as the worker works on the
+query (``MEMO`` entries at most, then begun anew), so a pre-token is encoded once a worker. Nothing is shuffled: the
+same join over the whole corpus would move every (document, pre-token) pair, see the README for its size.
 
 Defined results: null and empty texts have 0 tokens; a text that holds one of the tokenizer's special strings
 is encoded whole by the library, which makes one token of it; repeated rows are each counted.
@@ -17,10 +18,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .common import packed_row, row_schema, table, texts_of
-from .pretokens import Memo, Splitter, tokenizer
-from .vectext import chunks
+from .common import lean, packed_row, row_schema, stage_cache, table, texts_of
+from .pretokens import MEMO, Splitter, byte_level, tokenizer
+from .vectext import Chunk, chunks, lookup
+
+
+def frequencies(chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """The (document, pre-token) pairs of a block and their frequencies; the distinct pre-tokens: hashes and a span of each."""
+    hashes, first, token = np.unique(chunk.hashes(starts, ends, chunk.codes), return_index=True, return_inverse=True)
+    document = np.searchsorted(chunk.off, starts, "right") - 1
+    pairs, frequency = np.unique(document * len(hashes) + token, return_counts=True)
+    return pairs // len(hashes), pairs % len(hashes), frequency, (hashes, starts[first], ends[first])
+
+
+class Table:
+    """How many pieces each distinct pre-token has; no ids."""
+
+    def __init__(self, library: Tokenizer, limit: int = MEMO):
+        self.encode, self.limit = library.model.tokenize, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def pieces(self, chunk: Chunk, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For distinct, ascending hashes, each one's number of pieces."""
+        _, there = lookup(self.keys, hashes)
+        if len(self.keys) > self.limit and not there.all():
+            self.clear()
+            there[:] = False
+        new = np.flatnonzero(~there)
+        if len(new):
+            found = (len(self.encode(byte_level(chunk.text(a, b)))) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True))
+            at = np.searchsorted(self.keys, hashes[new])
+            self.keys, self.counts = np.insert(self.keys, at, hashes[new]), np.insert(self.counts, at, np.fromiter(found, np.int32, len(new)))
+        return self.counts[np.searchsorted(self.keys, hashes)]
 
 
 class Counter:
@@ -28,7 +62,7 @@ class Counter:
 
     def __init__(self, name: str):
         self.library = tokenizer(name)
-        self.split, self.memo = Splitter(self.library, gaps=True), Memo(self.library)
+        self.split, self.table = Splitter(self.library, gaps=True), Table(self.library)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> int:
@@ -36,19 +70,19 @@ class Counter:
 
     def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.int64)
-        for a, _, chunk in chunks(texts):
+        for a, b, chunk in chunks(texts):
             starts, ends = self.split.spans(chunk.codes)
             if len(starts):
-                rows = self.memo.rows(chunk, chunk.codes, starts, ends)
-                sums = np.concatenate(([0], np.cumsum(self.memo.lengths[rows])))[chunk.per_text(starts)]
-                out[a : a + len(sums) - 1] = np.diff(sums)
+                document, token, frequency, spans = frequencies(chunk, starts, ends)
+                pieces = self.table.pieces(chunk, *spans)
+                out[a:b] = np.bincount(document, frequency * pieces[token], b - a).astype(np.int64)
         for i, x in enumerate(texts):
             if any(s in x for s in self.special):
                 out[i] = self.whole(x)
         return out
 
 
-_counters: dict[str, Counter] = {}
+_counters: dict[str, Counter] = stage_cache()
 
 
 def _count(name: str):
@@ -65,7 +99,7 @@ def _count(name: str):
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", tokenizer_file: str = "byte_bpe_50k.json") -> DataFrame:
     """The kept columns of each row, n_bytes (UTF-8) and n_tokens of its whole text."""
     rows = docs.select(packed_row(keep).alias("row"), F.col(text).alias("text"))
-    out = rows.mapInArrow(_count(tokenizer_file), row_schema(rows.select("row"), "n_bytes long, n_tokens long"))
+    out = rows.mapInArrow(lean(_count(tokenizer_file)), row_schema(rows.select("row"), "n_bytes long, n_tokens long"))
     return out.select("row.*", "n_bytes", "n_tokens")
 
 

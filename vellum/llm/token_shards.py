@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, put_file, shared_folder, table, texts_of, written
+from .common import filesystem, lean, put_file, shared_folder, stage_cache, table, texts_of, written
 from .ordered import bounds, in_order, parts_for
 from .pretokens import Memo, Splitter, tokenizer
 from .vectext import SEP, chunks, ragged
@@ -63,7 +63,7 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = stage_cache()
 
 
 def _encode(name: str, edges: np.ndarray):
@@ -112,8 +112,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_file: str = "word_bpe_4
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     edges = bounds(slim, "doc_id", parts)
     wide = np.uint16 if tokenizer(tokenizer_file).get_vocab_size() <= 1 << 16 else np.uint32
-    coded = slim.mapInArrow(_encode(tokenizer_file, edges), "bucket int, doc_id long, ids binary")
-    manifest = written(in_order(coded, "bucket", parts, "doc_id", "ids").mapInArrow(_write(folder, wide, shard_tokens), MANIFEST), "manifest")
+    coded = slim.mapInArrow(lean(_encode(tokenizer_file, edges)), "bucket int, doc_id long, ids binary")
+    manifest = written(in_order(coded, "bucket", parts, "doc_id", "ids").mapInArrow(lean(_write(folder, wide, shard_tokens)), MANIFEST), "manifest")
     # a sum for each bucket (as many as partitions) goes to the driver; files are numbered within buckets
     sums = sorted((r.bucket, r.n) for r in manifest.groupBy("bucket").agg(F.sum("tokens").alias("n")).collect())
     before, offsets = 0, []
@@ -142,7 +142,7 @@ def _read(folder: str):
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32."""
     parts = max(parts_for(manifest), 1)
-    return manifest.select("file", "start").repartition(parts, "file").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(parts, "file").mapInArrow(lean(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed_row, row_schema, table, texts_of
+from .common import lean, packed_row, row_schema, table, texts_of
 from .letters import letter_words
 from .vectext import chunks, lookup, mix
 
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_docs:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(slim), "doc_id")
     rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), *(F.min_by(y, F.when(F.col(y).isNotNull(), F.struct("doc_id", y))).alias(y) for y in ys))
     ns, ps = [f"n{k}" for k in range(len(ys))], [f"p{k}" for k in range(len(ys))]
-    contexts = rows.select("text", *ys).mapInArrow(_word_counts(len(ys)), "word long, context long, " + ", ".join(f"{c} long" for c in [*ns, *ps]))
+    contexts = rows.select("text", *ys).mapInArrow(lean(_word_counts(len(ys))), "word long, context long, " + ", ".join(f"{c} long" for c in [*ns, *ps]))
     contexts = contexts.groupBy("word", "context").agg(*(F.sum(c).alias(c) for c in [*ns, *ps]))
     counted = contexts.groupBy("word").agg(*(F.sum((F.col(n) > 0).cast("long")).alias(n) for n in ns), *(F.sum((2 * F.col(p) > F.col(n)).cast("long")).alias(p) for n, p in zip(ns, ps, strict=True)))
     sums = rows.agg(*(F.count(y).alias(n) for n, y in zip(ns, ys, strict=True)), *(F.sum(y).alias(y) for y in ys)).first()
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], train_docs:
         best = counted.where(F.col(f"n{k}") >= LEAST_CONTEXTS).select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "word").limit(WORDS)
         selected |= {r.word for r in best.collect()}
     words = np.sort(np.array(sorted(selected), np.int64).view(np.uint64))
-    sample = rows.mapInArrow(_featurise(words), "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", measures array<double>, present array<long>").collect()
+    sample = rows.mapInArrow(lean(_featurise(words)), "doc_id long, " + ", ".join(f"{y} double" for y in ys) + ", measures array<double>, present array<long>").collect()
     models: list[Linear | None] = []
     if sample:
         sample.sort(key=lambda r: r.doc_id)
@@ -207,7 +207,7 @@ def _predict(shared):
 def score(docs: DataFrame, chain: Chain, keep: list[str] | None = None) -> DataFrame:
     """Each row as struct ``row`` (of the columns to keep, or all) with p_<category> for each category."""
     rows = docs.select(packed_row(keep or docs.columns).alias("row"), docs["text"].alias("text"))
-    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(chain)), row_schema(rows.select("row"), ", ".join(f"`p_{c}` double" for c in chain.categories)))
+    return rows.mapInArrow(lean(_predict(docs.sparkSession.sparkContext.broadcast(chain))), row_schema(rows.select("row"), ", ".join(f"`p_{c}` double" for c in chain.categories)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Chain:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .components import stars
 from .ordered import parts_for
 from .vectext import lookup, mix, ragged
@@ -280,7 +280,7 @@ def join_regions(placed: DataFrame, percent: int, limit_bytes: int = LIMIT_BYTES
     while True:
         sizes = written(_sizes(rows, limit_bytes, limit_sets), "region-sizes")
         small = rows.join(sizes.where("large or done").select("region"), "region", "left_anti")
-        found.append(small.repartition(parts, "region").sortWithinPartitions("region").select("region", "cid", "label", "shingles").mapInArrow(_join_small(percent), PACKED))
+        found.append(small.repartition(parts, "region").sortWithinPartitions("region").select("region", "cid", "label", "shingles").mapInArrow(lean(_join_small(percent)), PACKED))
         if not sizes.where("large").select("region").limit(1).collect():
             break
         final = _step(rows, sizes.where("large"), level, parts, percent, limit_bytes, limit_sets, found)
@@ -318,7 +318,7 @@ def _step(rows: DataFrame, large: DataFrame, level: int, parts: int, percent: in
     both = dealt.unionByName(pivots)
 
     def by_slot(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-        return df.repartition(parts, "region", "block", "slot").sortWithinPartitions("region", "block", "slot").mapInArrow(f, schema)
+        return df.repartition(parts, "region", "block", "slot").sortWithinPartitions("region", "block", "slot").mapInArrow(lean(f), schema)
 
     balls = written(by_slot(both, _balls(percent), "region long, forest binary, a binary, b binary"), "balls")
     found.append(balls.select("a", "b").where(F.length("a") > 0))

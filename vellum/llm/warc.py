@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_folder, table, written
+from .common import filesystem, lean, shared_folder, table, written
 from .ordered import parts_for
 
 #: Bytes from which equal payloads become revisits.
@@ -158,14 +158,14 @@ def _write(folder: str, file_bytes: int):
 
 def archive(pages: DataFrame, folder: str, smallest: int = SMALLEST, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes monolithic archives of pages (page_id, url, html); the manifest: file, records."""
-    packed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html")).mapInArrow(_pack, "page_id long, url string, size long, digest string, packed binary")
+    packed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html")).mapInArrow(lean(_pack), "page_id long, url string, size long, digest string, packed binary")
     # digests of null html are those of the empty text, which is small
     digests = pages.select(F.sha1(F.encode("html", "UTF-8")).alias("d"), F.octet_length("html").alias("size"), F.col("page_id").cast("long").alias("page_id")).where(F.col("size") >= smallest)
     kept = digests.groupBy("d").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "kept", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     dealt = packed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = dealt.join(kept, (dealt["digest"] == kept["d"]) & (dealt["salt"] == kept["s"]), "left")
     refers = F.when((F.col("size") >= smallest) & (F.col("page_id") < F.col("kept")), F.col("kept"))
-    return written(joined.select("page_id", "url", "size", "digest", "packed", refers.alias("refers_to")).mapInArrow(_write(folder, file_bytes), "file string, records long"), "monoliths")
+    return written(joined.select("page_id", "url", "size", "digest", "packed", refers.alias("refers_to")).mapInArrow(lean(_write(folder, file_bytes)), "file string, records long"), "monoliths")
 
 
 def _normalise(source: str, target: str):
@@ -188,7 +188,7 @@ def _normalise(source: str, target: str):
 
 def normalised(manifest: DataFrame, source: str, target: str) -> DataFrame:
     """Every file of a manifest as a file with a member a record and its sidecar; the new manifest."""
-    return written(manifest.select("file").repartition(parts_for(manifest), "file").mapInArrow(_normalise(source, target), "file string, records long"), "members")
+    return written(manifest.select("file").repartition(parts_for(manifest), "file").mapInArrow(lean(_normalise(source, target)), "file string, records long"), "members")
 
 
 def read_member(file, offset: int, length: int) -> dict:
@@ -226,7 +226,7 @@ def _number(record_id: str) -> int | None:
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
     """Per record of normalised files: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    return manifest.select("file").repartition(parts_for(manifest), "file").mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return manifest.select("file").repartition(parts_for(manifest), "file").mapInArrow(lean(_read(folder)), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
