@@ -8,11 +8,11 @@ pivots that its partners can be at home with: its first n - ceil(threshold * n)
 copied to these cells as ids only. Then:
 
 1. Elimination. With a window longer by l, a linked pair shares l shingles within both windows, so a class
-   with fewer windows shingles in other classes has no link. This drops nearly all of a corpus. Of the survivors'
-   whole sets, those go that have fewer shingles in common with all others than any link needs.
-2. Cells. What is left has its windows in the order of frequency (shingles of at least 1 / ``HEAVY`` of all
-   places are counted, can be ``HEAVY`` at most, and come last), so that passages which many documents
-   share make no cells. Cells that share a set are one region: a linked pair is always within one region.
+   with fewer windows shingles in other classes has no link. This drops nearly all of a corpus.
+2. Cells. Each of the survivors' shingles is counted and its count goes back to the classes that have it. A class's
+   window is taken in the order of these counts, rarest first, so that passages which many documents share make no
+   cells; shingles that no other survivor has fill the window first, and a class that they fill has no link.
+   Cells that share a set are one region: a linked pair is always within one region.
 3. Regions are joined recursively and exactly by document pivots, their Voronoi cells and copies of boundary sets:
    see ``voronoi``. No region is gathered unless it is small.
 
@@ -36,15 +36,15 @@ from . import voronoi
 from .common import lean, packed_row, row_schema, table, texts_of, written
 from .components import as_rows, bucket_of, components, packed
 from .ordered import parts_for
-from .suffix_tree import summed
-from .vectext import chunks, lookup, mix, spaced_words, window_hashes
+from .vectext import chunks, mix, spaced_words, window_hashes
 
 WORDS = 5
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 80
-HEAVY = 200_000
-#: Distinct window places that a task holds before it sends them on.
-HELD = 1_000_000
+#: Places that a task holds before it sends them on.
+HELD = 500_000
+#: Counts of shingles are told apart below this.
+MANY = 255
 
 
 def least_shared(n: np.ndarray | int, percent: int = PERCENT):
@@ -83,9 +83,8 @@ def class_of(s: np.ndarray) -> int:
     return int(h[0].view(np.int64)) or 1
 
 
-#: kind 0: places, shingles ``a`` (32 bits), owners ``b`` (0 for several), their sizes ``c`` and, if wanted, the number of owners ``d``;
-#: 1: classes ``a``, their shared places ``b`` and sizes ``c``; 2: documents, their classes ``a``, ids ``b`` (null: not in ``d``) and
-#: sizes ``c``; 3: heavy shingles ``a`` and their counts ``b``.
+#: kind 0: window places, shingles ``a`` (32 bits), owners ``b`` (0 for several) and their sizes ``c``; 1: classes ``a``, their shared
+#: places ``b`` and sizes ``c``; 2: documents, their classes ``a``, ids ``b`` (null: not in ``d``) and sizes ``c``.
 SCAN = "bucket int, kind int, a binary, b binary, c binary, d binary"
 
 
@@ -107,8 +106,8 @@ def short(shingles: np.ndarray, parts: int) -> np.ndarray:
 class Places:
     """Shingles of classes, of which a block sends on each once: by bucket, with the owner or 0 for several; and what it knows of sharing."""
 
-    def __init__(self, parts: int, counted: bool):
-        self.parts, self.counted = parts, counted
+    def __init__(self, parts: int):
+        self.parts = parts
         self._begin()
 
     def _begin(self) -> None:
@@ -142,7 +141,7 @@ class Places:
         yield _shared_rows(self.parts, cid[known], count, n_of[known])
         one, s = at[first], s[first]
         values = [s.astype(np.uint32), np.where(n > 1, 0, cid[one]), np.where(n > 1, 0, n_of[one]).astype(np.int32)]
-        some, columns = packed(self.parts, (s >> np.uint64(32)).astype(np.int64), *values, *([n.astype(np.int32)] if self.counted else []))
+        some, columns = packed(self.parts, (s >> np.uint64(32)).astype(np.int64), *values)
         yield _rows(0, some, *columns)
 
 
@@ -150,7 +149,7 @@ def _scan(words: int, percent: int, parts: int):
     """Documents and their classes; the places of the classes' windows, made longer by their margin."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, turn = Places(parts, False), 0
+        places, turn = Places(parts), 0
         for batch in batches:
             ids = batch.column("doc_id")
             known, values = np.array(ids.is_valid()), ids.fill_null(0).to_numpy()
@@ -169,47 +168,26 @@ def _scan(words: int, percent: int, parts: int):
     return f
 
 
-def _whole(parts: int):
-    """The places of whole sets."""
-
-    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Places(parts, True)
-        for batch in batches:
-            for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                if cid not in places.seen:
-                    yield from places.add(cid, np.frombuffer(raw, np.uint64), len(raw) // 8)
-        yield from places.flush()
-
-    return f
-
-
-def _share(parts: int, heavy: float | None = None):
-    """How many of a class's places in this bucket other classes have, too, by bucket of the class; shingles that are heavy; other rows as they are."""
+def _share(parts: int):
+    """How many of a class's places in this bucket other classes have, too, by bucket of the class; other rows as they are."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        bucket = 0
         for batch in batches:
             kind = np.array(batch.column("kind"))
             own = batch.filter(pa.array(kind == 0))
-            for k, *columns in zip(*(own.column(x).to_pylist() for x in ("bucket", "a", "b", "c", "d")), strict=True):
-                bucket = k
-                held.append(tuple(np.frombuffer(x, t) for x, t in zip(columns, (np.uint32, np.int64, np.int32, np.int32), strict=True) if x is not None))
+            for columns in zip(*(own.column(x).to_pylist() for x in "abc"), strict=True):
+                held.append(tuple(np.frombuffer(x, t) for x, t in zip(columns, (np.uint32, np.int64, np.int32), strict=True)))
             rest = batch.filter(pa.array(kind != 0))
             if rest.num_rows:
                 at = [int(bucket_of(np.frombuffer(x, np.int64, 1), parts)[0]) for x in rest.column("a").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *rest.columns[1:]], names=rest.schema.names)
         if not held:
             return
-        s, o, n, *counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        s, o, n = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
         order = np.lexsort((o, s))
         s, o, n = s[order], o[order], n[order]
-        if heavy is not None:
-            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            sums = np.add.reduceat(counts[0][order].astype(np.int64), first)
-            some = sums >= heavy
-            yield _rows(3, [-3], [(s[first[some]].astype(np.uint64) | np.uint64(bucket << 32)).tobytes()], [sums[some].tobytes()])
         new = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])))
         s, o, n = s[new], o[new], n[new]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
@@ -221,7 +199,7 @@ def _share(parts: int, heavy: float | None = None):
     return f
 
 
-def _survive(least):
+def _survive(percent: int):
     """Of the classes of one bucket, those that share as many places as their size needs, at least; one row."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +215,7 @@ def _survive(least):
             some, at, which = np.unique(np.concatenate(cid), return_index=True, return_inverse=True)
             total = np.bincount(which, np.concatenate(shared))
             n = np.concatenate(sizes)[at]
-            some = some[total >= least(n)]
+            some = some[total >= np.maximum(least_shared(n, percent) // 10, 1)]
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([len(some)], pa.int64())], names=["bucket", "cids", "k"])
 
     return f
@@ -300,10 +278,104 @@ def _sets(shared, words: int):
     return f
 
 
-def in_frequency_order(x: np.ndarray, heavy: np.ndarray, counts: np.ndarray, parts: int) -> np.ndarray:
-    """Shingles that aren't heavy by hash, then the heavy ones by count and hash."""
-    at, there = lookup(heavy, short(x, parts))
-    return x[np.lexsort((x, np.where(there, counts[at], 0)))] if there.any() else x
+#: kind 0: places by bucket of the shingle, shingles ``a``, their owners' numbers ``b`` in ``c``, whose sizes are ``d`` (owner 0: of many);
+#: 1: places by bucket of the class, shingles ``a`` and their counts ``b`` (8 bits) in the order of the classes ``c``, whose sizes and numbers of places are ``d``.
+COUNTED = "bucket int, kind int, a binary, b binary, c binary, d binary"
+
+
+def _by_shingle(parts: int, s: np.ndarray, at: np.ndarray, cid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    bucket = (s % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(parts + 1))
+    some, columns = np.flatnonzero(np.diff(edge)), [[], [], [], []]
+    for b in some:
+        own = order[edge[b] : edge[b + 1]]
+        owners, number = np.unique(at[own], return_inverse=True)
+        for column, x in zip(columns, (s[own], number.astype(np.uint32), cid[owners], n[owners].astype(np.int32)), strict=True):
+            column.append(x.tobytes())
+    return _rows(0, some, *columns)
+
+
+def _by_class(parts: int, s: np.ndarray, count: np.ndarray, cid: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    bucket = bucket_of(cid, parts)
+    order = np.lexsort((cid, bucket))
+    bucket, cid = bucket[order], cid[order]
+    edge = np.searchsorted(bucket, np.arange(parts + 1))
+    some, columns = np.flatnonzero(np.diff(edge)), [[], [], [], []]
+    for b in some:
+        own = order[edge[b] : edge[b + 1]]
+        names, first, k = np.unique(cid[edge[b] : edge[b + 1]], return_index=True, return_counts=True)
+        for column, x in zip(columns, (s[own], count[own].astype(np.uint8), names, np.stack((n[own[first]], k)).astype(np.int32)), strict=True):
+            column.append(x.tobytes())
+    return _rows(1, some, *columns)
+
+
+def _places(parts: int):
+    """The shingles of the sets, to be counted; those that a block has in many sets are known to be frequent."""
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cids: list[int] = []
+        sets: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            cid, n = np.array(cids, np.int64), np.fromiter(map(len, sets), np.int64, len(sets))
+            s, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+            order = np.argsort(s, kind="stable")
+            s, at = s[order], at[order]
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            k = np.diff(np.append(first, len(s)))
+            many = np.repeat(k >= MANY, k)
+            if many.any():
+                yield _by_class(parts, s[many], np.full(int(many.sum()), MANY), cid[at[many]], n[at[many]])
+                s, at = np.concatenate((s[~many], s[first[k >= MANY]])), np.concatenate((at[~many], np.full(int((k >= MANY).sum()), len(cid))))
+            yield _by_shingle(parts, s, at, np.append(cid, 0), np.append(n, 0))
+
+        for batch in batches:
+            for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                cids.append(cid)
+                sets.append(np.frombuffer(raw, np.uint64))
+                held += len(sets[-1])
+                if held > HELD:
+                    yield from flush()
+                    cids, sets, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return f
+
+
+def _count(parts: int):
+    """The shingles of one bucket that several classes have, with their counts, to these classes."""
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            kind = np.array(batch.column("kind"))
+            rest = batch.filter(pa.array(kind == 1))
+            if rest.num_rows:
+                at = [int(bucket_of(np.frombuffer(x, np.int64, 1), parts)[0]) for x in rest.column("c").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *rest.columns[1:]], names=rest.schema.names)
+            own = batch.filter(pa.array(kind == 0))
+            for a, b, c, d in zip(*(own.column(x).to_pylist() for x in "abcd"), strict=True):
+                at = np.frombuffer(b, np.uint32)
+                held.append((np.frombuffer(a, np.uint64), np.frombuffer(c, np.int64)[at], np.frombuffer(d, np.int32)[at]))
+        if not held:
+            return
+        s, o, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.lexsort((o, s))
+        s, o, n = s[order], o[order], n[order]
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])))
+        s, o, n = s[new], o[new], n[new]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        k = np.diff(np.append(first, len(s)))
+        count = np.repeat(np.minimum(np.add.reduceat(np.where(o == 0, MANY, 1), first), MANY), k)
+        some = (count > 1) & (o != 0)
+        if some.any():
+            yield _by_class(parts, s[some], count[some], o[some], n[some])
+
+    return f
 
 
 #: Bucket -1: edges between classes ``a`` and ``b``; others: cells ``a`` and their owners ``b``.
@@ -318,30 +390,38 @@ def _meet(s: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     """The cells and each one's least owner; edges from it to the cell's other owners."""
     order = np.lexsort((o, s))
     s, o = s[order], o[order]
-    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
     least = np.repeat(o[first], np.diff(np.append(first, len(s))))
     some = least != o
     return s[first], o[first], least[some], o[some]
 
 
-def _cells_map(shared, percent: int, parts: int):
+def _windows(percent: int, parts: int):
+    """The windows of one bucket's classes, as cells; of a cell's classes here all meet the least one, which alone goes on."""
+
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, heavy, counts = shared.value
+        held: list[tuple] = []
         for batch in batches:
-            s, o = [], []
-            batch = batch.filter(pa.array(passing(batch.column("cid").to_numpy(), filter_)))
-            for cid, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint64)
-                s.append(in_frequency_order(x, heavy, counts, parts)[: int(window(len(x), percent))])
-                o.append(np.full(len(s[-1]), cid, np.int64))
-            if not s:
-                continue
-            # of a cell's sets in this batch all meet its least one, which alone goes on
-            s, o, a, b = _meet(np.concatenate(s), np.concatenate(o))
-            if len(a):
-                yield _cell_rows([-1], [a.tobytes()], [b.tobytes()])
-            some, (cell, owner) = packed(parts, (s % np.uint64(parts)).astype(np.int64), s, o)
-            yield _cell_rows(some, cell, owner)
+            for a, b, c, d in zip(*(batch.column(x).to_pylist() for x in "abcd"), strict=True):
+                n, k = np.frombuffer(d, np.int32).reshape(2, -1)
+                held.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint8), np.repeat(np.frombuffer(c, np.int64), k), np.repeat(n, k)))
+        if not held:
+            return
+        s, count, o, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        del held
+        order = np.lexsort((s, count, o))
+        s, o, n = s[order], o[order], n[order]
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])))  # copies of a class came from several tasks
+        s, o, n = s[new], o[new], n[new]
+        first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+        k = np.diff(np.append(first, len(o)))
+        rank = np.arange(len(o)) - np.repeat(first, k)
+        inside = rank < window(n.astype(np.int64), percent) - (n - np.repeat(k, k))
+        s, o, a, b = _meet(s[inside], o[inside])
+        if len(a):
+            yield _cell_rows([-1], [a.tobytes()], [b.tobytes()])
+        some, (cell, owner) = packed(parts, (s % np.uint64(parts)).astype(np.int64), s, o)
+        yield _cell_rows(some, cell, owner)
 
     return f
 
@@ -408,20 +488,12 @@ def labels(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, limit_by
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     shared = written(slim.mapInArrow(lean(_scan(words, percent, parts)), SCAN).repartitionById(parts, F.col("bucket")).mapInArrow(lean(_share(parts)), SCAN), "shared")
     members = shared.where("kind = 2").select("a", "b", "c", "d").mapInArrow(lean(_members), "doc_id long, n long, cid long")
+    survivors = written(shared.where("kind = 1").select("bucket", "a", "b", "c").repartitionById(parts, F.col("bucket")).mapInArrow(lean(_survive(percent)), "bucket int, cids binary, k long"), "survivors")
+    passing_ = spark.sparkContext.broadcast(bitmap(survivors, "cids", int(survivors.agg(F.sum("k")).first()[0] or 0), parts))
+    sets = written(slim.select("text").mapInArrow(lean(_sets(passing_, words)), SETS), "sets")
 
-    def surviving(rows: DataFrame, least) -> tuple:
-        """A filter that classes which share enough pass, and their number."""
-        found = written(rows.where("kind = 1").select("bucket", "a", "b", "c").repartitionById(parts, F.col("bucket")).mapInArrow(lean(_survive(least)), "bucket int, cids binary, k long"), "survivors")
-        return bitmap(found, "cids", int(found.agg(F.sum("k")).first()[0] or 0), parts)
-
-    first = surviving(shared, lambda n: np.maximum(least_shared(n, percent) // 10, 1))
-    sets = written(slim.select("text").mapInArrow(lean(_sets(spark.sparkContext.broadcast(first), words)), SETS), "sets")
-    places = int(sets.agg(F.sum(F.length("shingles"))).first()[0] or 0) // 8
-    whole = written(sets.mapInArrow(lean(_whole(parts)), SCAN).repartitionById(parts, F.col("bucket")).mapInArrow(lean(_share(parts, max(16, places / HEAVY))), SCAN), "whole")
-    heavy = whole.where("kind = 3").select("a", "b").collect()
-    heavy = summed(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in heavy] or [np.zeros(0, np.uint64)]), np.concatenate([np.frombuffer(r["b"], np.int64) for r in heavy] or [np.zeros(0, np.int64)]))
-    second = surviving(whole, lambda n: least_shared(n, percent))
-    cells = written(sets.mapInArrow(lean(_cells_map(spark.sparkContext.broadcast((second, *heavy)), percent, parts)), CELLS), "cells")
+    counted = sets.mapInArrow(lean(_places(parts)), COUNTED).repartitionById(parts, F.col("bucket")).mapInArrow(lean(_count(parts)), COUNTED)
+    cells = written(counted.repartitionById(parts, F.col("bucket")).mapInArrow(lean(_windows(percent, parts)), CELLS), "cells")
     meets = cells.where("bucket >= 0").repartitionById(parts, F.col("bucket")).mapInArrow(lean(_cells_reduce), voronoi.PACKED)
     regions = components(meets.unionByName(cells.where("bucket = -1").select("a", "b")))
 

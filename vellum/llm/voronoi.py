@@ -31,10 +31,10 @@ from .ordered import parts_for
 from .vectext import lookup, mix, ragged
 
 REACH = 0.5
-APART = 0.6
+APART = 0.9
 #: Pivots of a region in memory, and of one that isn't (and no more than ``limit_bytes`` of sets, about).
 LEAF = 24
-PIVOTS = 500
+PIVOTS = 1000
 #: Levels of regions that no task holds, before what is left of them is compared in blocks.
 LEVELS = 4
 LIMIT_BYTES = 8 << 20
@@ -42,7 +42,7 @@ LIMIT_SETS = 500
 #: A cell of over this share of its region's sets is no progress.
 PROGRESS = 0.9
 #: Pairs of a shingle's place in a set and in a pivot that are counted together.
-BLOCK = 1_000_000
+BLOCK = 500_000
 _SLACK = 1e-9
 
 
