@@ -10,8 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vellum.operators import comments, edits, markdown_export, markdown_import, revisions, richjson, styles, text
-from vellum.operators.search import Query, find_regex, search
+from vellum.operators import comments, edits, markdown_export, markdown_import, packages, revisions, richjson, styles, text
+from vellum.operators.search import Query, find, find_regex, search
 
 RUN = "doc_id long, story string, para_ord int, inline_pos int, run_pos int, container string, text string, bold boolean, italic boolean, strike boolean, underline string, style string, font string, size string, color string"
 PARA = "doc_id long, story string, para_ord int, style string, ilvl int, num_id int, alignment string"
@@ -197,3 +197,48 @@ def test_styles(spark):
     with pytest.raises(ValueError, match="no such"):
         styles.with_properties(out, "Quote", nonsense=1)
     assert styles.added(out, wanted, "Mine", "mine").where("style_id = 'Mine'").first().style_pos == 2
+
+
+def test_case_is_mapped_character_for_character(spark):
+    """Capitals that get longer or depend on their place in lower case don't move offsets."""
+    text = "İİ the CAT Σ, ΟΔΟΣ the"
+    paragraphs = spark.createDataFrame([(1, "body", 0, None)], "doc_id long, story string, para_ord int, style string")
+    runs = spark.createDataFrame([(1, "body", 0, 0, 0, "run", text)], "doc_id long, story string, para_ord int, inline_pos int, run_pos int, container string, text string")
+    for needle, want in (("THE", ["the", "the"]), ("cat", ["CAT"]), ("οδοσ", ["ΟΔΟΣ"]), ("i", ["İ", "İ"])):
+        assert [r.text for r in find(paragraphs, runs, needle).orderBy("start").collect()] == want
+
+
+def test_matches_as_markdown_and_json(spark):
+    paragraphs = spark.createDataFrame([(1, "body", 0, None)], "doc_id long, story string, para_ord int, style string")
+    schema = "doc_id long, story string, para_ord int, inline_pos int, run_pos int, container string, text string, bold boolean, italic boolean, strike boolean, underline string, style string, font string, size string, color string"
+    plain = (None, None, None, None)
+    runs = spark.createDataFrame([(1, "body", 0, 0, 0, "run", "one two", True, None, None, None, *plain), (1, "body", 0, 1, 0, "run", " three", None, True, None, None, *plain)], schema)
+    query = search(paragraphs, runs, "two three")
+    assert [r.md for r in query.markdown().collect()] == ["**two*** three*"]
+    (found,) = query.rich_json().collect()
+    tree = json.loads(found.json)
+    assert tree["type"] == "paragraph" and [n["text"] for n in tree["content"]] == ["two", " three"] and tree["content"][0]["marks"] == [{"type": "bold"}]
+    (one,) = search(paragraphs, runs, "one").rich_json().collect()
+    assert json.loads(one.json)["text"] == "one"
+    comments = spark.createDataFrame([], "doc_id long, comment_pos int, comment_id int, author string, date_str string, initials string, text string")
+    made, markers = query.add_comment(comments, "see", author="me")
+    assert [(r.comment_id, r.author, r.text) for r in made.collect()] == [(0, "me", "see")] and markers.count() == 3
+    inlines = runs.select("doc_id", "story", "para_ord", "inline_pos", F.lit("run").alias("kind"), F.lit(None).cast("int").alias("ref_id"), "text", F.lit("").alias("del_text"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("date_str"))
+    out = query.add_revision(inlines, "2 3").orderBy("inline_pos").collect()
+    assert [(r.kind, r.text, r.del_text) for r in out] == [("del", "", "one two"), ("del", "", " three"), ("ins", "2 3", "")]
+
+
+def test_trees_that_are_refused(spark):
+    deep = '{"type":"blockquote","content":[' * 400 + "]}" * 400
+    nested = {"type": "bulletList", "content": []}
+    for _ in range(300):
+        nested = {"type": "bulletList", "content": [{"type": "listItem", "content": [nested]}]}
+    texts = [json.dumps({"type": "doc", "content": ["x"]}), json.dumps({"type": "doc", "content": 7}), "[" * 200_000, json.dumps(nested), json.dumps({"type": "paragraph", "content": [{"type": "text", "text": 5}]}), "7", "{", None, deep]
+    rows = richjson.import_json(spark.createDataFrame(list(enumerate(texts)), "doc_id long, json string")).orderBy("doc_id").collect()
+    assert [r.error for r in rows[:8]] == ["malformed", "malformed", "nesting_depth", "nesting_depth", "malformed", "malformed", "json", None]
+    assert all(not r.paragraphs for r in rows[:8])
+
+
+def test_source_rels(spark):
+    found = spark.createDataFrame([("word/document.xml",), ("",), ("a.xml",)], "p string").select(packages.source_rels(F.col("p")).alias("r"))
+    assert [r.r for r in found.collect()] == ["word/_rels/document.xml.rels", "_rels/.rels", "_rels/a.xml.rels"]

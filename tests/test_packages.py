@@ -98,3 +98,15 @@ def test_stream(spark, tmp_path):
         ingest(spark, str(source), str(tmp_path / "out"), str(tmp_path / "state"), ["runs"]).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/runs")).count() == 5
     assert [r.error.check for r in spark.read.parquet(str(tmp_path / "out/errors")).collect()] == ["zip_read"]
+
+
+def test_documents_of_one_name_are_apart(spark, tmp_path):
+    rows = [("x/a.docx", bytearray(b"1")), ("y/a.docx", bytearray(b"2"))]
+    saved = documents.save(spark.createDataFrame(rows, "doc_id string, content binary"), str(tmp_path / "out")).collect()
+    assert {open(r.path, "rb").read() for r in saved} == {b"1", b"2"}
+
+
+@pytest.mark.parametrize("encoding", ["shift_jis", "nonsense"])
+def test_encodings_that_cannot_be_read(encoding):
+    with pytest.raises(PackageError):
+        parse_xml(f'<?xml version="1.0" encoding="{encoding}"?><a/>'.encode())

@@ -19,7 +19,7 @@ def comments_for_text(comments: DataFrame, inlines: DataFrame, paragraph_texts:
     """Comments whose paragraphs, from the one of the start marker to that of the end marker, together hold the text (case counts). In the order of end markers."""
     r = ranges(inlines)
     texts = paragraph_texts.select("doc_id", "para_ord", "text")
-    inside = r.join(texts, "doc_id").where("para_ord between first and last")
+    inside = r.withColumn("para_ord", F.explode(F.sequence("first", "last"))).join(texts, ["doc_id", "para_ord"])
     whole = inside.groupBy("doc_id", "ref_id", "end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("para_ord", "text"))), lambda x: x["text"]), "").alias("__text"))
     hit = whole.where(F.col("__text").contains(needle))
     w = Window.partitionBy("doc_id").orderBy("end", "ref_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,7 +64,7 @@ def replace_formatted(query: Query, new: str) -> tuple[DataFrame, DataFrame]:
     results = query.results().where("n_runs > 1")
     touched = results.select(*PARA, "match_no", F.posexplode("run_places").alias("__k", "__p")).select(*PARA, "match_no", "__k", "__p.inline_pos", "__p.run_pos")
     merged = merged_properties(touched.join(query.runs, [*PARA, *RUN_ORDER]), [*PARA, "match_no"])
-    firsts = touched.where("__k = 0").join(merged, [*PARA, "match_no"]).dropDuplicates([*PARA, *RUN_ORDER])
+    firsts = touched.where("__k = 0").groupBy(*PARA, *RUN_ORDER).agg(F.min("match_no").alias("match_no")).join(merged, [*PARA, "match_no"])
     names = [*ANY_TRUE, *FIRST_SET]
     renamed = firsts.select(*PARA, *RUN_ORDER, *(F.col(c).alias(f"__{c}") for c in names), F.lit(True).alias("__hit"))
     runs, counts = replace_text(query, new)
@@ -77,7 +79,7 @@ def replace_markdown(query: Query, markdown: str) -> tuple[DataFrame, DataFrame]
     from .markdown_import import inline_runs
 
     new = inline_runs(markdown)
-    marker = ""
+    marker = f"\ue000{uuid.uuid4().hex}\ue001"  # no text holds it
     runs, counts = replace_formatted(query, marker)
     pieces = F.split("text", marker, -1)
     tokens = F.array(*(F.struct(F.lit(t.text).alias("text"), F.lit(t.bold).alias("bold"), F.lit(t.italic).alias("italic"), F.lit(t.strike).alias("strike"), F.lit(t.code).alias("code")) for t in new)) if new else F.array().cast("array<struct<text:string,bold:boolean,italic:boolean,strike:boolean,code:boolean>>")

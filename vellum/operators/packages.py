@@ -66,7 +66,8 @@ def rels_source(path: Column) -> Column:
 
 
 def source_rels(path: Column) -> Column:
-    return F.regexp_replace(path, "([^/]*)$", "_rels/$1.rels", )
+    """The rels part of a part; of the package, for an empty path."""
+    return F.when(path == "", "_rels/.rels").otherwise(F.regexp_replace(path, "([^/]+)$", "_rels/$1.rels"))
 
 
 def resolved(source: Column, target: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import is_code, run_markdown
 from .comments import renumbered
 from .text import PARA
 
@@ -31,6 +32,18 @@ def proposed_text(kind, text, deleted):
     return F.when(kind == "ins", text).otherwise("")
 
 
+def revision_markdown(inlines: DataFrame, runs: DataFrame, story: str = "body") -> DataFrame:
+    """doc_id, ref_id, kind, original, proposed: the changed runs as Markdown. Of a deletion the deleted text (or else its plain text) is the original, of an insertion its text is the proposal; the other is empty."""
+    changed = inlines.where((F.col("kind").isin("ins", "del")) & (F.col("story") == story)).select(*PARA, "inline_pos", "kind", "ref_id")
+    gone = F.when(F.coalesce("del_text", F.lit("")) != "", F.col("del_text")).otherwise(F.coalesce("text", F.lit("")))
+    text = F.when(F.col("kind") == "del", gone).otherwise(F.coalesce("text", F.lit("")))
+    md = run_markdown(text, F.col("bold"), F.col("italic"), F.col("strike"), is_code(F.col("style"), F.col("font")))
+    both = changed.join(runs, [*PARA, "inline_pos"], "left")
+    listed = F.array_sort(F.collect_list(F.struct("para_ord", "inline_pos", "run_pos", md.alias("md"))))
+    whole = both.groupBy("doc_id", "ref_id", "kind").agg(F.array_join(F.transform(listed, lambda x: x["md"]), "").alias("md"))
+    return whole.select("doc_id", "ref_id", "kind", F.when(F.col("kind") == "del", F.col("md")).otherwise("").alias("original"), F.when(F.col("kind") == "ins", F.col("md")).otherwise("").alias("proposed"))
+
+
 def revisions_for_text(inlines: DataFrame, needle: str) -> DataFrame:
     """Insertions whose text holds the needle (case counts)."""
     return inlines.where((F.col("kind") == "ins") & F.col("text").contains(needle))

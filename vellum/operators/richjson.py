@@ -104,7 +104,7 @@ class _Walk:
         place = {"story": "body", "para_ord": self.paras, "inline_pos": self.inline}
         props: dict = {}
         for m in marks:
-            name, attrs = kind_of(m), m.get("attrs") or {}
+            name, attrs = kind_of(m), attrs_of(m)
             if name in ("bold", "italic", "strike"):
                 props[name] = True
             elif name == "underline":
@@ -112,12 +112,12 @@ class _Walk:
             elif name == "code":
                 props["font"] = "Courier New"
             elif name == "link":
-                link = attrs.get("href") or ""
+                link = str(attrs.get("href") or "")
             elif name == "textStyle":
                 if attrs.get("color"):
                     props["color"] = str(attrs["color"]).removeprefix("#").upper()
                 if attrs.get("fontFamily"):
-                    props["font"] = attrs["fontFamily"]
+                    props["font"] = str(attrs["fontFamily"])
                 if attrs.get("fontSize"):
                     props["size"] = half_points(str(attrs["fontSize"]))
         container = "run" if link is None else "hyperlink"
@@ -131,24 +131,25 @@ class _Walk:
         for n in nodes:
             name = kind_of(n)
             if name == "text" and n.get("text"):
-                self.run(n["text"], n.get("marks") or [])
+                self.run(text_of(n), inside_of(n, "marks"))
             elif name == "hardBreak":
                 self.line_break()
             elif name == "image":
-                self.run((n.get("attrs") or {}).get("alt") or "[image]")
+                self.run(str(attrs_of(n).get("alt") or "[image]"))
 
     def styled(self, node: dict, home: tuple[int, ...], style: str | None = None) -> None:
-        attrs = node.get("attrs") or {}
+        attrs = attrs_of(node)
         if kind_of(node) == "heading":
             style = style or f"Heading{min(max(integer(attrs.get('level'), 1), 1), 6)}"
         align = attrs.get("textAlign")
-        self.paragraph(home, style or attrs.get("styleId"), "both" if align == "justify" else align)
-        self.inlines(node.get("content") or [])
+        named = style or attrs.get("styleId")
+        self.paragraph(home, named and str(named), "both" if align == "justify" else align and str(align))
+        self.inlines(inside_of(node))
 
     def node(self, node: dict, home: tuple[int, ...] = (), depth: int = 0) -> None:
-        if depth > MAX_DEPTH or not isinstance(node, dict):
-            return
-        name, inside = kind_of(node), node.get("content") or []
+        if depth > MAX_DEPTH:
+            raise Refused("nesting_depth")
+        name, inside = kind_of(node), inside_of(node)
         if name in ("paragraph", "heading"):
             self.styled(node, home)
         elif name == "blockquote":
@@ -158,7 +159,7 @@ class _Walk:
             for n in inside:
                 if kind_of(n) == "text" and n.get("text"):
                     self.paragraph(home)
-                    self.run(n["text"], [{"type": "code"}])
+                    self.run(text_of(n), [{"type": "code"}])
         elif name in ("bulletList", "orderedList", "taskList"):
             self.list(node, home, depth)
         elif name == "table":
@@ -172,43 +173,75 @@ class _Walk:
     def list(self, node: dict, home: tuple[int, ...], depth: int) -> None:
         """Items one after the other, whatever their nesting; paragraphs without a style get the list's."""
         style = "ListNumber" if kind_of(node) == "orderedList" else "ListBullet"
-        for item in node.get("content") or []:
-            for n in item.get("content") or []:
+        if depth > MAX_DEPTH:
+            raise Refused("nesting_depth")
+        for item in inside_of(node):
+            for n in inside_of(item):
                 if kind_of(n) in ("bulletList", "orderedList", "taskList"):
-                    if depth < MAX_DEPTH:
-                        self.list(n, home, depth + 1)
+                    self.list(n, home, depth + 1)
                 else:
-                    own = (n.get("attrs") or {}).get("styleId") if kind_of(n) == "paragraph" else None
+                    own = attrs_of(n).get("styleId") if kind_of(n) == "paragraph" else None
                     self.styled(n, home, own or (None if kind_of(n) == "heading" else style))
 
     def table(self, node: dict, home: tuple[int, ...], depth: int) -> None:
         self.tables += 1
         no, path = self.tables, self.next_path(home)
-        rows = [r for r in node.get("content") or [] if kind_of(r) == "tableRow"]
-        cells = [[c for c in r.get("content") or [] if kind_of(c) in ("tableCell", "tableHeader")] for r in rows]
+        rows = [r for r in inside_of(node) if kind_of(r) == "tableRow"]
+        cells = [[c for c in inside_of(r) if kind_of(c) in ("tableCell", "tableHeader")] for r in rows]
         self.add("tables", story="body", table_ord=no, block_path=path, n_rows=len(rows), n_cols=len(cells[0]) if cells else 0)
         for i, row in enumerate(cells):
             for j, c in enumerate(row):
-                attrs = c.get("attrs") or {}
+                attrs = attrs_of(c)
                 span, back = integer(attrs.get("colspan"), 1), attrs.get("background")
                 self.add("cells", story="body", table_ord=no, row_idx=i, col_idx=j, grid_span=span if span > 1 else None, fill=back.removeprefix("#") if isinstance(back, str) and back else None)
                 inside = (*path, i, j)
-                for n in c.get("content") or []:
+                for n in inside_of(c):
                     if kind_of(n) in ("paragraph", "heading"):
                         self.styled(n, inside)
                 if inside not in self.blocks:
                     self.paragraph(inside)
 
 
+class Refused(ValueError):
+    """A document whose tree can't be read; the message names the rule."""
+
+
 def kind_of(node: dict) -> str:
+    if not isinstance(node, dict):
+        raise Refused("malformed")
     name = node.get("type") or ""
+    if not isinstance(name, str):
+        raise Refused("malformed")
     return ALIASES.get(name, name)
 
 
+def inside_of(node: dict, key: str = "content") -> list:
+    """The nodes or marks inside a node."""
+    found = node.get(key) if isinstance(node, dict) else None
+    if found is None:
+        return []
+    if not isinstance(found, list) or not all(isinstance(x, dict) for x in found):
+        raise Refused("malformed")
+    return found
+
+
+def attrs_of(node: dict) -> dict:
+    found = node.get("attrs") or {}
+    if not isinstance(found, dict):
+        raise Refused("malformed")
+    return found
+
+
+def text_of(node: dict) -> str:
+    if not isinstance(node["text"], str):
+        raise Refused("malformed")
+    return node["text"]
+
+
 def integer(x, default: int) -> int:
     try:
         return int(float(x))
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         return default
 
 
@@ -216,27 +249,32 @@ def half_points(label: str) -> str:
     bare = label.removesuffix("pt").removesuffix("px")
     try:
         return str(int(float(bare) * 2))
-    except ValueError:
+    except (ValueError, OverflowError):
         return label
 
 
-def import_rows(text: str | None) -> dict[str, list[dict]]:
-    """The rows of one JSON document; a root that is no doc counts as its one node; bad JSON gives no rows."""
+def import_rows(text: str | None) -> dict[str, list[dict] | str | None]:
+    """The rows of one JSON document and, as ``error``, why it has none: json, malformed or nesting_depth. A root that is no doc counts as its one node; null has no rows and no error."""
+    if text is None:
+        return {**_Walk().rows, "error": None}
     walk = _Walk()
     try:
-        root = json.loads(text or "")
-    except ValueError:
-        return walk.rows
-    if isinstance(root, dict):
+        root = json.loads(text)
         if kind_of(root) == "doc":
-            attrs = root.get("attrs") or {}
+            attrs = attrs_of(root)
             if any(attrs.get(k) for k in ("title", "author", "description")):
-                walk.add("properties", title=attrs.get("title"), creator=attrs.get("author"), description=attrs.get("description"))
-            for n in root.get("content") or []:
+                walk.add("properties", **{c: attrs[k] and str(attrs[k]) for c, k in (("title", "title"), ("creator", "author"), ("description", "description")) if k in attrs})
+            for n in inside_of(root):
                 walk.node(n)
         else:
             walk.node(root)
-    return walk.rows
+    except Refused as e:
+        return {**_Walk().rows, "error": str(e)}
+    except RecursionError:
+        return {**_Walk().rows, "error": "nesting_depth"}
+    except ValueError:
+        return {**_Walk().rows, "error": "json"}
+    return {**walk.rows, "error": None}
 
 
 def _import(schema: StructType):
@@ -250,7 +288,7 @@ def _import(schema: StructType):
 
 
 def import_json(documents: DataFrame) -> DataFrame:
-    """One row of nested tables (as the package reader's) for each document (doc_id, json)."""
+    """One row of nested tables (as the package reader's) and ``error`` for each document (doc_id, json); a document with an error has no rows."""
     nested = ", ".join(f"{t} array<struct<{', '.join(f.replace(' ', ':', 1) for f in TABLES[t].split(', '))}>>" for t in IMPORTED)
-    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {nested}"
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, {nested}, error string"
     return documents.select("doc_id", "json").mapInArrow(_import(StructType.fromDDL(schema)), schema)

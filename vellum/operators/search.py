@@ -13,17 +13,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import is_code, run_markdown
 from .text import PARA, RUN_ORDER, joined
 
 SPAN = "array<struct<start:int,end:int>>"
 
 
+#: Capitals whose lower case has two characters or depends on what follows, and one character for each.
+CAPITALS, SMALL = "İΣ", "iσ"
+
+
+def lowered(text):
+    """Column: lower case, character for character, so that offsets stay."""
+    return F.lower(F.translate(text, CAPITALS, SMALL))
+
+
+def lowered_literal(needle: str) -> str:
+    return needle.translate(str.maketrans(CAPITALS, SMALL)).lower()
+
+
 def literal_starts(text, needle: str, case_sensitive: bool = False):
     """Column: the number of overlapping occurrences, by lookahead; no generator and no lambda over characters."""
     if not needle:
         return F.lit(0)
-    low = text if case_sensitive else F.lower(text)
-    pattern = "(?=(" + _quoted(needle if case_sensitive else needle.lower()) + "))"
+    low = text if case_sensitive else lowered(text)
+    pattern = "(?=(" + _quoted(needle if case_sensitive else lowered_literal(needle)) + "))"
     return F.size(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)))
 
 
@@ -78,6 +92,50 @@ class Query:
         """doc_id, story, para_ord, start, end of every match."""
         return matches(self.texts(), self.needle, self.is_pattern, self.case)
 
+    def pieces(self) -> DataFrame:
+        """The runs of every match with the part of their text that is in it: match_no, run_no, all columns of a run."""
+        r = self.results().select(*PARA, "match_no", "n_runs", "first_start", "last_end", F.posexplode("run_places").alias("run_no", "__p")).select("*", "__p.inline_pos", "__p.run_pos").drop("__p")
+        start = F.when(F.col("run_no") == 0, F.col("first_start")).otherwise(0)
+        end = F.when(F.col("run_no") == F.col("n_runs") - 1, F.col("last_end")).otherwise(F.length("text"))
+        both = r.join(self.runs, [*PARA, *RUN_ORDER]).withColumn("text", F.substring(F.col("text"), start + 1, end - start))
+        return both.select("match_no", "run_no", *self.runs.columns)
+
+    def markdown(self) -> DataFrame:
+        """doc_id, match_no, md: each match as Markdown, with the emphasis of its runs."""
+        md = run_markdown(F.col("text"), F.col("bold"), F.col("italic"), F.col("strike"), is_code(F.col("style"), F.col("font")))
+        listed = F.array_sort(F.collect_list(F.struct("run_no", md.alias("md"))))
+        return self.pieces().groupBy("doc_id", "match_no").agg(F.array_join(F.transform(listed, lambda x: x["md"]), "").alias("md"))
+
+    def rich_json(self) -> DataFrame:
+        """doc_id, match_no, json: a text node of a match in one run, else a paragraph of text nodes."""
+        from .richjson import run_nodes
+
+        nodes = run_nodes(self.pieces().where("text <> ''").drop("content")).withColumn("node", F.element_at("nodes", 1))
+        listed = nodes.groupBy("doc_id", "match_no").agg(F.array_sort(F.collect_list(F.struct("run_no", "node"))).alias("l"))
+        joined_ = F.array_join(F.transform("l", lambda x: x["node"]), ",")
+        return listed.select("doc_id", "match_no", F.when(F.size("l") == 1, joined_).otherwise(F.concat(F.lit('{"type":"paragraph","content":['), joined_, F.lit("]}"))).alias("json"))
+
+    def anchors(self, text: str | None = None) -> DataFrame:
+        """doc_id, story, para_ord, first and last inline position of every match, as ``add_comments`` and ``add_revisions`` take them."""
+        places = self.results().select(*PARA, "match_no", F.element_at("run_places", 1)["inline_pos"].alias("first"), F.element_at("run_places", -1)["inline_pos"].alias("last"))
+        return places if text is None else places.withColumn("text", F.lit(text))
+
+    def add_comment(self, comments: DataFrame, text: str, **options) -> tuple[DataFrame, DataFrame]:
+        """(comments, new markers): a comment on every match."""
+        from .comments import add_comments
+
+        return add_comments(comments, self.anchors(text), **options)
+
+    def add_revision(self, inlines: DataFrame, text: str, **options) -> DataFrame:
+        """inlines with every match's runs deleted and a new text inserted; of matches that share a run, the first."""
+        from .revisions import add_revisions
+
+        spread = self.anchors().withColumn("__i", F.explode(F.sequence("first", "last")))
+        w = Window.partitionBy(*PARA, "__i")
+        apart = spread.withColumn("__least", F.min("match_no").over(w)).groupBy(*PARA, "match_no", "first", "last").agg(F.max(F.col("__least") < F.col("match_no")).alias("__meets")).where("not __meets")
+        once = apart.groupBy(*PARA).agg(F.min(F.struct("first", "last")).alias("a")).select(*PARA, "a.first", "a.last")  # one change of a paragraph at a time
+        return add_revisions(inlines, once, text, **options)
+
     def results(self) -> DataFrame:
         """Numbered matches with the runs they touch: match_no, n_runs, first_start, last_end, text, and the runs' places.
 
@@ -106,8 +164,8 @@ def matches(texts: DataFrame, needle: str, is_pattern: bool = False, case_sensit
         spans = found(F.col("text"))
         texts = texts.where(F.col("text").isNotNull())
     else:
-        low = F.col("text") if case_sensitive else F.lower("text")
-        word = needle if case_sensitive else needle.lower()
+        low = F.col("text") if case_sensitive else lowered(F.col("text"))
+        word = needle if case_sensitive else lowered_literal(needle)
         # split at every start: the lengths of the pieces between lookahead matches are the places
         n = len(word)
         parts = F.split(low, "(?=" + _quoted(word) + ")", -1)

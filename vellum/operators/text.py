@@ -1,6 +1,6 @@
 """Text projections: ordered concatenation of runs, paragraphs, cells and stories.
 
-Tables are those of vellum.model. Every aggregate is ordered by explicit positions, never by arrival.
+Tables are those of ``sources.wordml.TABLES``. Every aggregate is ordered by explicit positions, never by arrival.
 """
 
 from __future__ import annotations

@@ -144,12 +144,21 @@ def find_nth(spark, sf):
     return _found(_query(spark, sf, "tion").nth(2).results())
 
 
+_RUN_MD = "case when text = '' then '' when font = 'Consolas' then '`' || text || '`' else case when strike then '~~' else '' end || case when bold and italic then '***' when bold then '**' when italic then '*' else '' end || text || case when bold and italic then '***' when bold then '**' when italic then '*' else '' end || case when strike then '~~' else '' end end"
+
+
 @query(_spans("n. t") + "select doc_id, para_ord, start::bigint as start, text, n_runs, (start - first_s)::bigint as first_start, (start + 4 - last_s)::bigint as last_end, match_no from numbered")
 def match_spans(spark, sf):
     r = search(lift.paragraphs(spark, sf), lift.runs(spark, sf), "n. t").results()
     return r.select("doc_id", _long("para_ord"), _long("start"), "text", _long("n_runs"), _long("first_start"), _long("last_end"), _long("match_no"))
 
 
+@query(_spans("n. t") + ", part as (select n.doc_id, n.match_no, r.p, r.bold, r.italic, r.strike, r.font, substr(r.text, (greatest(n.start - r.s, 0) + 1)::bigint, (least(n.start + 4, r.s + length(r.text)) - greatest(n.start, r.s))::bigint) as text from numbered n join (select *, coalesce(sum(length(text)) over (partition by doc_id, para_ord order by p rows between unbounded preceding and 1 preceding), 0) as s from runs) r on r.doc_id = n.doc_id and r.para_ord = n.para_ord and r.s + length(r.text) > n.start and r.s < n.start + 4) select doc_id, match_no, string_agg(" + _RUN_MD + ", '' order by p) as md from part group by doc_id, match_no")
+def match_markdown(spark, sf):
+    """Matches as Markdown, with the emphasis of the runs that they touch."""
+    return search(lift.paragraphs(spark, sf), lift.runs(spark, sf), "n. t").markdown().select("doc_id", _long("match_no"), "md")
+
+
 @query(f"with {lift.PARAS_SQL}, {lift.COMMENTS_SQL}, w as (select doc_id, 0 as comment_id, string_agg(text, '' order by para_ord) as t, max(para_ord) as last from paras where para_ord <= 1 group by doc_id having max(para_ord) = 1 union all select doc_id, 3, text, 2 from paras where para_ord = 2) select c.doc_id, c.comment_id, c.text from comments c join w on w.doc_id = c.doc_id and w.comment_id = c.comment_id where contains(w.t, 'the ')")
 def comments_for_text(spark, sf):
     paras = lift.paragraphs(spark, sf)
@@ -165,7 +174,6 @@ def revisions_for_text(spark, sf):
 
 # --- Markdown
 
-_RUN_MD = "case when text = '' then '' when font = 'Consolas' then '`' || text || '`' else case when strike then '~~' else '' end || case when bold and italic then '***' when bold then '**' when italic then '*' else '' end || text || case when bold and italic then '***' when bold then '**' when italic then '*' else '' end || case when strike then '~~' else '' end end"
 _PARA_MD = f"pmd as (select p.doc_id, p.para_ord, p.num_id, case when p.style = 'Heading1' then '# ' when p.style = 'Quote' then '> ' when p.num_id is not null then repeat('  ', p.ilvl::int) || case when p.num_id % 2 = 0 then '1. ' else '- ' end else '' end || r.md as md from paras p join (select doc_id, para_ord, string_agg({_RUN_MD}, '' order by p) as md from runs group by doc_id, para_ord) r on r.doc_id = p.doc_id and r.para_ord = p.para_ord)"
 
 
@@ -456,7 +464,7 @@ def docx_round_trip(spark, sf):
     paras = lift.paragraphs(spark, sf).withColumn("block_path", F.array("para_ord"))
     runs = lift.runs(spark, sf)
     inlines = runs.select("doc_id", "story", "para_ord", "inline_pos", F.lit("run").alias("kind"))
-    corpus = files.parse(files.packages({"paragraphs": paras, "inlines": inlines, "runs": runs}), ["paragraphs", "runs"], mode="FAILFAST")
+    corpus = files.parse(files.packages({"paragraphs": paras, "inlines": inlines, "runs": runs}), ["paragraphs", "runs"], mode="FAILFAST").stored(files.shared_folder(spark, "corpus"))
     return text.paragraph_text(corpus.paragraphs, corpus.runs).select("doc_id", _long("para_ord"), F.coalesce("style", F.lit("")).alias("style"), md5("text").alias("text_md5"))
 
 

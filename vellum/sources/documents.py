@@ -1,12 +1,16 @@
 """Reading packages into tables and writing tables as packages, with Spark.
 
-Every file is read and parsed once, in the task that scans it, into one row of nested tables; the flat tables
-are projections of that row, so a query reads only what it needs. A package that is refused gives a row
+Every file is read and parsed in the task that scans it, into one row of nested tables; the flat tables
+are projections of that row, so a query reads only what it needs. A query of several tables parses once if it asks
+``Corpus.stored`` to write these rows first. A package that is refused gives a row
 with ``error`` (mode PERMISSIVE) or fails the query (FAILFAST).
 """
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -60,12 +64,28 @@ class Corpus:
     def documents(self) -> DataFrame:
         return self.parsed.select("doc_id", "error", "warnings")
 
+    def stored(self, folder: str) -> Corpus:
+        """This corpus, parsed once and for all: its tables written to a folder that all executors share, and read from there."""
+        self.parsed.write.parquet(folder)
+        return Corpus(self.parsed.sparkSession.read.schema(self.parsed.schema).parquet(folder))
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
         raise AttributeError(name)
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names; unset, a temporary one if all of Spark is on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='vellum-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def parse(files: DataFrame, tables: list[str] | None = None, limits: Limits = Limits(), mode: str = "PERMISSIVE") -> Corpus:
     """A corpus of files (doc_id, content); only the tables asked for are kept of each document."""
     tables = tables or [t for t in TABLES if t != "parts"]
@@ -118,10 +138,12 @@ def _save(folder: str):
         for batch in batches:
             paths = []
             for doc_id, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                path = f"{base}/{str(doc_id).rpartition('/')[2].removesuffix('.docx')}.docx"
-                with fs.open_output_stream(f"{path}.part") as out:
+                stem = str(doc_id).rpartition("/")[2].removesuffix(".docx")
+                path = f"{base}/{stem}-{hashlib.sha256(str(doc_id).encode()).hexdigest()[:16]}.docx"
+                part = f"{path}.{uuid.uuid4().hex}.part"  # of this attempt alone
+                with fs.open_output_stream(part) as out:
                     out.write(content)
-                fs.move(f"{path}.part", path)
+                fs.move(part, path)
                 paths.append(path)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(paths, pa.string())], names=["doc_id", "path"])
 
@@ -129,5 +151,8 @@ def _save(folder: str):
 
 
 def save(contents: DataFrame, folder: str) -> DataFrame:
-    """Writes packages (doc_id, content) as files of a folder that all executors share; returns doc_id and path. Lazy: an action on the result writes."""
+    """Writes packages (doc_id, content) as files of a folder that all executors share; returns doc_id and path. Lazy: an action on the result writes.
+
+    A file is named by the last part of its doc_id and a hash of all of it, so that documents of one name don't meet.
+    """
     return contents.mapInArrow(_save(folder), f"doc_id {contents.schema['doc_id'].dataType.simpleString()}, path string")

@@ -63,7 +63,7 @@ def parse_xml(data: bytes, max_depth: int = MAX_DEPTH, max_tokens: int = MAX_TOK
     parser.buffer_text = True
     try:
         parser.Parse(data, True)
-    except expat.ExpatError as e:
+    except (expat.ExpatError, LookupError, ValueError) as e:  # the last two: encodings that are unknown or have several bytes a character
         raise PackageError("xml", str(e)) from e
     return builder.close()
 
