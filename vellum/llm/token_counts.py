@@ -4,7 +4,7 @@ A block of documents becomes the frequencies of its (document, pre-token) pairs;
 worker's table of counts doesn't have are encoded, once each, and only their numbers of pieces are kept; then the
 frequencies are joined to the table and summed by document. The table lives as long as the worker works on the
 query (``MEMO`` entries at most, then begun anew), so a pre-token is encoded once a worker. Nothing is shuffled: the
-same join over the whole corpus would move every (document, pre-token) pair, see the README for its size.
+same join over the whole corpus, which would encode it once, is not built; the README has what it would move.
 
 Defined results: null and empty texts have 0 tokens; a text that holds one of the tokenizer's special strings
 is encoded whole by the library, which makes one token of it; repeated rows are each counted.
