@@ -5,6 +5,10 @@
 3. near_duplicates: of each group of documents that the Jaccard join links, the one of the least doc_id stays;
 4. decontaminate: documents that hold a window of a benchmark item go;
 5. sentencepiece: the remaining documents' ids.
+
+Defined results: null and empty texts, and others without letters, go with the language stage and are kept by all before it; of
+repeated rows one stays from the third stage on, and of unrelated texts with one doc_id all do; rows without doc_id are not
+compared as near duplicates and stay. Columns of any name pass through all stages but the last; empty tables give empty tables.
 """
 
 from __future__ import annotations
