@@ -351,6 +351,59 @@ def test_suffix_tree(docs, rows, none):
     assert suffix_tree.score(docs, empty, counts).count() == len(rows)
 
 
+def test_suffix_tree_states_of_whole_words(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(150)]
+    passage = "quartz ridge velvet lantern hollow"
+    texts += [passage, f"x {passage}", f"{passage} y", "quartz velvet ridge hollow lantern", None, "", passage, "z" * 100_000 + " " + passage]
+    learned = [i % 3 != 0 or i >= 150 for i in range(len(texts))]
+    learned[152] = learned[153] = False
+    docs = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(texts, learned, strict=True))], "doc_id long, text string, mine boolean")
+    model, counts = suffix_tree.train(docs.where("mine"))
+    plain = {r.doc_id: r.score for r in suffix_tree.score(docs, model, counts).collect()}
+    found = {r.doc_id: r.score for r in suffix_tree.score(docs, model, counts, F.col("mine")).collect()}
+
+    def units(text):
+        chunk = vectext.Chunk([text or ""])
+        codes = vectext.lower_ascii(chunk.codes)
+        starts, _ = vectext.runs(~vectext.white(codes))
+        symbols, begin = model.tree.alphabet.spelled(chunk, codes, starts, chunk.per_text(starts))
+        logs, out = model.tree.each(symbols, begin), [0.0]
+        for s, x in zip(symbols.tolist(), logs.tolist(), strict=True):
+            out[-1] += x
+            if s in (suffix_tree.GAP, suffix_tree.END):
+                out.append(0.0)
+        return out[:-1]
+
+    places = []  # text, context, following word and whether it is the last, probability in the shorter suffix
+    for i, text in enumerate(texts):
+        own, logs = spaced(text), units(text)
+        assert math.isclose(sum(logs), plain[i], rel_tol=1e-6)
+        places += [(i, own[k], (own[k + 1], k + 2 == len(own)), 10 ** max(logs[k + 1], -300)) for k in range(len(own) - 1)]
+    hot = {w for w, n in Counter(w for x, y in zip(texts, learned, strict=True) if y for w in spaced(x)).items() if n >= suffix_tree.HOT_LEAST}
+    followers = {}
+    for i, w, x, _ in places:
+        if learned[i] and w not in hot:
+            followers.setdefault(w, Counter())[x] += 1
+    want, states = dict(plain), set()
+    for w, n in followers.items():
+        total, gain = sum(n.values()), 0.0
+        for i, v, x, p in places:
+            if v == w and learned[i]:
+                weight = max(len(n) - (n[x] == 1), 1)
+                gain += math.log(((n[x] - 1) / p + weight) / (total - 1 + weight))
+        if total >= 2 and gain / total >= suffix_tree.DIVERGENCE:
+            states.add(w)
+    for i, w, x, p in places:
+        if w in states:
+            n = followers[w]
+            want[i] += math.log10((n[x] / p + len(n)) / (sum(n.values()) + len(n)))
+    assert {"quartz", "ridge", "velvet", "lantern"} <= states and len(found) == len(texts)
+    assert all(math.isclose(found[i], want[i], rel_tol=1e-3, abs_tol=0.05) and found[i] < 0 for i in want)
+    assert found[152] > plain[152] and found[153] < plain[153]
+
+
 def test_suffix_tree_is_a_distribution(docs):
     tree = suffix_tree.train(docs)[0].tree
     assert np.allclose((10.0 ** tree.logs.astype(float)).sum(1), 1, atol=1e-4)
