@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from .vectext import SEP, Chunk, lookup
+from .vectext import SEP, Chunk, Numbers
 
 LETTER, NUMBER, SPACE, OTHER, END = 1, 2, 3, 4, 5
 #: Below this all classes are fixed by old versions of Unicode.
@@ -109,11 +109,11 @@ class Memo:
     """Each distinct pre-token is encoded once; values are token ids in a row."""
 
     def __init__(self, library: Tokenizer, limit: int = MEMO):
-        self.encode, self.limit = library.model.tokenize, limit
+        self.encode, self.limit, self.numbers = library.model.tokenize, limit, Numbers()
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.numbers.clear()
         self.first = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -121,20 +121,20 @@ class Memo:
     def rows(self, chunk: Chunk, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each span its row in ``first`` and ``lengths``."""
         hashes = chunk.hashes(starts, ends, codes)
-        at, there = lookup(self.keys, hashes)
-        if there.all():
-            return at
-        if len(self.keys) > self.limit:
+        found = self.numbers.find(hashes)
+        if found.min() >= 0:
+            return found
+        if len(self.numbers) > self.limit:
             self.clear()
-            there[:] = False
-        fresh, where = np.unique(hashes[~there], return_index=True)
-        where = np.flatnonzero(~there)[where]
+            found[:] = -1
+        missing = np.flatnonzero(found < 0)
+        fresh, where, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+        found[missing] = len(self.numbers) + which
+        self.numbers.add(fresh)
+        where = missing[where]
         ids = [[t.id for t in self.encode(byte_level(codes[a:b].tobytes().decode("utf-32-le")))] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        keys = np.concatenate((self.keys, fresh))
-        order = np.argsort(keys, kind="stable")
-        self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(lengths) - lengths))[order]
-        self.lengths = np.concatenate((self.lengths, lengths))[order]
+        self.first = np.concatenate((self.first, len(self.pool) + np.cumsum(lengths) - lengths))
+        self.lengths = np.concatenate((self.lengths, lengths))
         self.pool = np.concatenate((self.pool, np.fromiter((t for x in ids for t in x), np.uint32, int(lengths.sum()))))
-        self.keys = keys[order]
-        return np.searchsorted(self.keys, hashes)
+        return found

@@ -134,3 +134,58 @@ def lookup(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at = np.searchsorted(table, keys)
     at[at == len(table)] = 0
     return at, table[at] == keys
+
+
+class Numbers:
+    """Numbers 0, 1, 2, ... of distinct 64-bit hashes, in the order they were added: open addressing over arrays.
+
+    A hash costs about one random access, where a search in a sorted table costs one for each halving.
+    """
+
+    def __init__(self):
+        self.clear()
+
+    def __len__(self) -> int:
+        return self._n
+
+    def clear(self) -> None:
+        self._n = 0
+        self._room(1 << 12)
+
+    def _room(self, slots: int) -> None:
+        self._mask, self._shift = slots - 1, np.uint64(65 - slots.bit_length())
+        self._keys, self._numbers = np.zeros(slots, np.uint64), np.full(slots, -1, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Each hash's number, -1 for those not added."""
+        slot = (hashes >> self._shift).astype(np.int64)
+        out = self._numbers[slot]
+        todo = np.flatnonzero((out >= 0) & (self._keys[slot] != hashes))
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & self._mask
+            found = self._numbers[slot]
+            out[todo] = found
+            other = (found >= 0) & (self._keys[slot] != hashes[todo])
+            todo, slot = todo[other], slot[other]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Numbers distinct hashes, none of them added before."""
+        need = 2 * (self._n + len(hashes))
+        if need > self._mask:
+            used = self._numbers >= 0
+            keys, numbers = self._keys[used], self._numbers[used]
+            self._room(1 << need.bit_length())
+            self._place(keys, numbers)
+        self._place(hashes, np.arange(self._n, self._n + len(hashes), dtype=np.int32))
+        self._n += len(hashes)
+
+    def _place(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        slot = (keys >> self._shift).astype(np.int64)
+        while len(keys):
+            free = np.flatnonzero(self._numbers[slot] < 0)
+            self._numbers[slot[free]] = numbers[free]  # of several for one slot, one stays
+            self._keys[slot[free]] = keys[free]
+            rest = self._numbers[slot] != numbers
+            keys, numbers, slot = keys[rest], numbers[rest], (slot[rest] + 1) & self._mask
