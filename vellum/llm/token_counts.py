@@ -22,39 +22,45 @@ from tokenizers import Tokenizer
 
 from .common import lean, packed_row, row_schema, stage_cache, table, texts_of
 from .pretokens import MEMO, Splitter, byte_level, tokenizer
-from .vectext import Chunk, chunks, lookup
-
-
-def frequencies(chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """The (document, pre-token) pairs of a block and their frequencies; the distinct pre-tokens: hashes and a span of each."""
-    hashes, first, token = np.unique(chunk.hashes(starts, ends, chunk.codes), return_index=True, return_inverse=True)
-    document = np.searchsorted(chunk.off, starts, "right") - 1
-    pairs, frequency = np.unique(document * len(hashes) + token, return_counts=True)
-    return pairs // len(hashes), pairs % len(hashes), frequency, (hashes, starts[first], ends[first])
+from .vectext import Chunk, Numbers, chunks
 
 
 class Table:
     """How many pieces each distinct pre-token has; no ids."""
 
     def __init__(self, library: Tokenizer, limit: int = MEMO):
-        self.encode, self.limit = library.model.tokenize, limit
+        self.encode, self.limit, self.numbers = library.model.tokenize, limit, Numbers()
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-
-    def pieces(self, chunk: Chunk, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """For distinct, ascending hashes, each one's number of pieces."""
-        _, there = lookup(self.keys, hashes)
-        if len(self.keys) > self.limit and not there.all():
+        self.numbers.clear()
+        self.counts = np.zeros(0, np.int32)
+
+    def rows(self, chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For each span its row in ``counts``; the pieces of a distinct pre-token that has none are counted, once."""
+        hashes = chunk.hashes(starts, ends)
+        found = self.numbers.find(hashes)
+        if found.min() >= 0:
+            return found
+        if len(self.numbers) > self.limit:
             self.clear()
-            there[:] = False
-        new = np.flatnonzero(~there)
-        if len(new):
-            found = (len(self.encode(byte_level(chunk.text(a, b)))) for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True))
-            at = np.searchsorted(self.keys, hashes[new])
-            self.keys, self.counts = np.insert(self.keys, at, hashes[new]), np.insert(self.counts, at, np.fromiter(found, np.int32, len(new)))
-        return self.counts[np.searchsorted(self.keys, hashes)]
+            found[:] = -1
+        missing = np.flatnonzero(found < 0)
+        fresh, where, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+        found[missing] = len(self.numbers) + which
+        self.numbers.add(fresh)
+        where = missing[where]
+        pieces = (len(self.encode(byte_level(chunk.text(a, b)))) for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True))
+        self.counts = np.concatenate((self.counts, np.fromiter(pieces, np.int32, len(where))))
+        return found
+
+
+def frequencies(chunk: Chunk, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The (document, pre-token) pairs of a block and their frequencies: documents, rows of the table, frequencies."""
+    width = int(rows.max()) + 1
+    document = np.searchsorted(chunk.off, starts, "right") - 1
+    pairs, frequency = np.unique(document * width + rows, return_counts=True)
+    return pairs // width, pairs % width, frequency
 
 
 class Counter:
@@ -73,9 +79,8 @@ class Counter:
         for a, b, chunk in chunks(texts):
             starts, ends = self.split.spans(chunk.codes)
             if len(starts):
-                document, token, frequency, spans = frequencies(chunk, starts, ends)
-                pieces = self.table.pieces(chunk, *spans)
-                out[a:b] = np.bincount(document, frequency * pieces[token], b - a).astype(np.int64)
+                document, row, frequency = frequencies(chunk, starts, self.table.rows(chunk, starts, ends))
+                out[a:b] = np.bincount(document, frequency * self.table.counts[row], b - a).astype(np.int64)
         for i, x in enumerate(texts):
             if any(s in x for s in self.special):
                 out[i] = self.whole(x)
