@@ -40,7 +40,7 @@ def encode(ids: np.ndarray, doc_ids: np.ndarray, offsets: np.ndarray) -> bytes:
         ones = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
         sections[f"bits{level}"] = packed
         sections[f"ones{level}"] = (np.cumsum(ones) - ones).astype("<u4")
-        ranks = np.concatenate((ranks[~bits], ranks[bits]))
+        ranks = np.concatenate((ranks.compress(~bits), ranks.compress(bits)))
         zeros.append(int(len(bits) - bits.sum()))
     out, table, at, press = [], {}, 0, zstandard.ZstdCompressor(level=1)
     for name, x in sections.items():
@@ -157,8 +157,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             bits = np.unpackbits(self._plane(level)[0], count=self.n).astype(bool)
             before = np.empty_like(ranks)
-            before[~bits] = ranks[: self.zeros[level]]
-            before[bits] = ranks[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
+            before[np.flatnonzero(~bits)] = ranks[: self.zeros[level]]  # far faster than by masks of no pattern
+            before[np.flatnonzero(bits)] = ranks[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             ranks = before
         return self.symbols[ranks] if self.n else np.zeros(0, np.uint32)
 
