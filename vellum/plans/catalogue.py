@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, richjson, units
 from ..operators import comments as notes
-from ..operators import edits, markdown_export, markdown_import, packages, revisions, sections, styles, text
+from ..operators import building, edits, markdown_export, markdown_import, packages, revisions, sections, styles, text
 from ..operators import richjson as trees
 from ..operators.search import Query, literal_starts, search
 from ..sources import documents as files
@@ -223,15 +223,8 @@ def md_table_parse(spark, sf):
     return markdown_import.table_cells(lift.markdown(spark, sf)).select("doc_id", _long("row_idx"), _long("col_idx"), "text")
 
 
-@query("select p_partkey as doc_id, k as run_pos, text, kind from (select p_partkey, unnest([0, 1, 2, 3, 4, 5]) as k, unnest(['plain ', p_brand, ' of size ', p_size::varchar, ' and ', p_type]) as text, unnest(['', 'bold', '', 'italic', '', 'code']) as kind from part)")
-def md_inline_tokens(spark, sf):
-    paras = markdown_import.paragraphs(lift.markdown(spark, sf)).where("para_ord = 1").select("doc_id", "text")
-    kind = F.when(F.col("bold"), "bold").when(F.col("italic"), "italic").when(F.col("code"), "code").otherwise("")
-    return markdown_import.inline_tokens(paras).select("doc_id", _long("run_pos"), F.col("run_text").alias("text"), kind.alias("kind"))
-
-
 @query("select doc_id, para_ord, k as run_pos, text, kind from (select p_partkey as doc_id, 0 as para_ord, 0 as k, p_name as text, '' as kind from part union all select p_partkey, 1, unnest([0, 1, 2, 3, 4, 5]), unnest(['plain ', p_brand, ' of size ', p_size::varchar, ' and ', p_type]), unnest(['', 'bold', '', 'italic', '', 'code']) from part union all select p_partkey, unnest([3, 4, 5, 6, 7, 7]), unnest([0, 0, 0, 0, 0, 1]), unnest([p_type, '• ' || p_name, '12. ' || p_brand, '# not a heading', '#tag ', p_type]), unnest(['', '', '', 'code', '', 'strike']) from part)")
-def md_paragraph_tokens(spark, sf):
+def md_inline_tokens(spark, sf):
     """The tokens of all paragraphs; a line of code is one token, an empty paragraph none."""
     paras = markdown_import.paragraphs(lift.markdown(spark, sf))
     marked = markdown_import.inline_tokens(paras.where("kind != 'code'").select("doc_id", "para_ord", "text"))
@@ -374,12 +367,12 @@ def next_rel_id(spark, sf):
     return packages.next_rel_id(rels).select("doc_id", "next_id")
 
 
-@query("select n_nationkey::bigint as doc_id, case when n_nationkey % 12 = 0 then 1 when n_nationkey % 12 between 1 and 9 then n_nationkey % 12 when n_nationkey % 12 = 10 then 3 else 0 end::bigint as level from nation")
+@query("select c_custkey::bigint as doc_id, case when c_custkey % 12 = 0 then 1 when c_custkey % 12 between 1 and 9 then c_custkey % 12 when c_custkey % 12 = 10 then 3 else 0 end::bigint as level from customer")
 def style_heading_level(spark, sf):
-    k = F.col("n_nationkey") % 12
+    k = F.col("c_custkey") % 12
     ids = F.when(k == 0, "Title").when(k.between(1, 9), F.concat(F.lit("Heading"), k.cast("string"))).otherwise("Other")
     names = F.when(k == 10, " Heading 3 ").otherwise("plain")
-    return lift.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), markup.style_heading_level(ids, names).cast("long").alias("level"))
+    return lift.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), markup.style_heading_level(ids, names).cast("long").alias("level"))
 
 
 @query("select 'Quote' as style_id, 'Quote' as name, '404040' as color, 13::bigint as style_pos union all select 'Heading4', 'heading 4', '2F5496', 7")
@@ -388,9 +381,9 @@ def style_lookup(spark, sf):
     return styles.by_id(own, "Quote").unionByName(styles.by_name(own, "heading 4")).select("style_id", "name", "color", _long("style_pos"))
 
 
-@query("select r_regionkey::bigint as doc_id, unnest(['Normal', 'Quote', 'Title']) as style_id, unnest([0, 2, 1]) as style_pos from region")
+@query("select c_custkey::bigint as doc_id, unnest(['Normal', 'Quote', 'Title']) as style_id, unnest([0, 2, 1]) as style_pos from customer")
 def builtin_ensure(spark, sf):
-    docs = lift.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"))
+    docs = lift.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"))
     own = docs.crossJoin(F.broadcast(styles.built_in(spark).where("style_id = 'Normal'")))  # one row
     wanted = docs.select("doc_id", F.explode(F.array(*(F.lit(x) for x in ("Normal", "Quote", "Title", "NoSuchStyle")))).alias("style_id"))
     return styles.ensured(own, wanted).select("doc_id", "style_id", _long("style_pos"))
@@ -409,10 +402,10 @@ def color_hex(spark, sf):
     return hexed.select("doc_id", "hex", *(rgb[c].cast("long").alias(c) for c in "rgb"))
 
 
-@query("select r_regionkey::bigint as doc_id, 12240::bigint * 635 as page_w_emu, 0::bigint as page_h_emu, r_regionkey::bigint * 100 * 635 as margin_top_emu, 'portrait' as orient, 1::bigint as columns, 'nextPage' as break_type from region")
+@query("select c_custkey::bigint as doc_id, 12240::bigint * 635 as page_w_emu, 0::bigint as page_h_emu, c_custkey::bigint * 100 * 635 as margin_top_emu, 'portrait' as orient, 1::bigint as columns, 'nextPage' as break_type from customer")
 def section_margins(spark, sf):
     none = F.lit(None).cast("string")
-    own = lift.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit("12240").alias("page_w"), F.lit("wide").alias("page_h"), (F.col("r_regionkey") * 100).cast("string").alias("margin_top"), none.alias("orient"), none.alias("columns"), none.alias("break_type"))
+    own = lift.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.lit("12240").alias("page_w"), F.lit("wide").alias("page_h"), (F.col("c_custkey") * 100).cast("string").alias("margin_top"), none.alias("orient"), none.alias("columns"), none.alias("break_type"))
     return sections.layout(own).select("doc_id", "page_w_emu", "page_h_emu", "margin_top_emu", "orient", _long("columns"), "break_type")
 
 
@@ -434,10 +427,10 @@ def opc_first_fault(spark, sf):
     return found.select("doc_id", F.col("check").alias("check_name"), _long("entry_pos"))
 
 
-@query("select doc_id, path, path in ('a/../../b', '/abs.xml', 'a\\b', '..', 'a/../b', '..foo') as unsafe from (select r_regionkey::bigint as doc_id, unnest(['word/document.xml', 'a/../../b', '/abs.xml', 'a\\b', '..', 'a/../b', '..foo', 'a/..b', './x']) as path from region)")
+@query("select doc_id, path, path in ('a/../../b', '/abs.xml', 'a\\b', '..', 'a/../b', '..foo') as unsafe from (select c_custkey::bigint as doc_id, unnest(['word/document.xml', 'a/../../b', '/abs.xml', 'a\\b', '..', 'a/../b', '..foo', 'a/..b', './x']) as path from customer)")
 def opc_path_check(spark, sf):
     paths = F.explode(F.array(*(F.lit(x) for x in ("word/document.xml", "a/../../b", "/abs.xml", "a\\b", "..", "a/../b", "..foo", "a/..b", "./x"))))
-    return lift.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), paths.alias("path")).withColumn("unsafe", packages.unsafe_path(F.col("path")))
+    return lift.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), paths.alias("path")).withColumn("unsafe", packages.unsafe_path(F.col("path")))
 
 
 @query(f"with {_ENTRIES} select doc_id, lower(path) as path, count(*) as n from e group by doc_id, lower(path) having count(*) > 1")
@@ -451,10 +444,10 @@ def opc_running_total(spark, sf):
     return _entries(spark, sf).select("doc_id", _long("entry_pos"), F.sum("uncompressed").over(w).alias("total"))
 
 
-@query("select r_regionkey::bigint as doc_id, unnest(['word/document.xml', 'word/other.XML', 'media/a.png', 'media/b']) as path, unnest(['main', 'application/xml', 'image/png', '']) as type, unnest([false, false, true, false]) as is_binary from region")
+@query("select c_custkey::bigint as doc_id, unnest(['word/document.xml', 'word/other.XML', 'media/a.png', 'media/b']) as path, unnest(['main', 'application/xml', 'image/png', '']) as type, unnest([false, false, true, false]) as is_binary from customer")
 def content_type_resolve(spark, sf):
     overrides, defaults = F.create_map(F.lit("/word/document.xml"), F.lit("main")), F.create_map(F.lit("xml"), F.lit("application/xml"), F.lit("png"), F.lit("image/png"))
-    rows = lift.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.explode(F.array(*(F.lit(x) for x in ("word/document.xml", "word/other.XML", "media/a.png", "media/b")))).alias("path"))
+    rows = lift.table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("doc_id"), F.explode(F.array(*(F.lit(x) for x in ("word/document.xml", "word/other.XML", "media/a.png", "media/b")))).alias("path"))
     return rows.withColumn("type", packages.content_type(F.col("path"), overrides, defaults)).withColumn("is_binary", packages.is_binary(F.col("path"), F.col("type")))
 
 
@@ -476,3 +469,104 @@ def md_import_export(spark, sf):
     placed = runs.select("doc_id", F.lit("body").alias("story"), "para_ord", F.col("run_pos").alias("inline_pos"), F.lit(0).alias("run_pos"), F.lit("run").alias("container"), "text", "bold", "italic", "strike", "font", F.lit(None).cast("string").alias("style"))
     md = markdown_export.paragraphs_markdown(body, placed).withColumnRenamed("para_ord", "block_pos")
     return markdown_export.document_markdown(md).select("doc_id", md5("md").alias("md_md5"))
+
+
+# --- additions and set values
+
+
+@query("select doc_id, unnest(range(n + 2)) as para_ord, n + 2 as n_paras from (select doc_id, len(string_split(text, chr(10))) as n from documents)")
+def add_paragraphs(spark, sf):
+    paras = lift.paragraphs(spark, sf).withColumn("block_path", F.array("para_ord"))
+    new = paras.select("doc_id", "story").distinct().withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    found = building.add_paragraphs(paras, lift.empty(spark, "tables"), new)
+    return found.select("doc_id", _long("para_ord"), F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("n_paras"))
+
+
+@query("select doc_id, n::bigint as block, unnest([0, 0, 0, 1, 1, 1])::bigint as row_idx, unnest([0, 1, 2, 0, 1, 2])::bigint as col_idx, n + unnest([0, 1, 2, 3, 4, 5])::bigint as para_ord from (select doc_id, len(string_split(text, chr(10))) as n from documents)")
+def add_table(spark, sf):
+    paras = lift.paragraphs(spark, sf).withColumn("block_path", F.array("para_ord")).withColumn("in_table", F.lit(False))
+    found, _, _ = building.add_table(paras, lift.empty(spark, "tables"), lift.empty(spark, "cells"), paras.select("doc_id"), 2, 3)
+    at = lambda k, name: F.col("block_path")[k].cast("long").alias(name)
+    return found.where("in_table").select("doc_id", at(0, "block"), at(1, "row_idx"), at(2, "col_idx"), _long("para_ord"))
+
+
+def _order_tables(spark, sf) -> dict[str, DataFrame]:
+    """The tables of orders, each the first block of its document."""
+    cells = lift.cells(spark, sf).withColumn("story", F.lit("body"))
+    paras = cells.withColumn("para_ord", (F.col("row_idx") * 2 + F.col("col_idx")).cast("int")).withColumn("block_path", F.array(F.lit(0), "row_idx", "col_idx", F.lit(0)))
+    tables = cells.groupBy("doc_id", "story", "table_ord").agg((F.max("row_idx") + 1).alias("n_rows"), F.lit(2).alias("n_cols")).withColumn("block_path", F.array(F.lit(0)))
+    return {"paragraphs": paras.select("doc_id", "story", "para_ord", "block_path", "text", F.lit(True).alias("in_table")), "tables": tables, "cells": cells.select("doc_id", "story", "table_ord", "row_idx", "col_idx")}
+
+
+@query(f"with {lift.CELLS_SQL}, left_ as (select *, row_number() over (partition by doc_id order by row_idx) - 1 as now, count(*) over (partition by doc_id) as n_rows from rws where row_idx % 3 <> 1) select doc_id, now as row_idx, n_rows, unnest([0, 1])::bigint as col_idx, unnest([c0, c1]) as text from left_")
+def remove_rows(spark, sf):
+    own = _order_tables(spark, sf)
+    left = building.remove_rows(own, own["cells"].where("row_idx % 3 = 1").select("doc_id", "story", "table_ord", "row_idx"))
+    paras = left["paragraphs"].select("doc_id", F.col("block_path")[1].alias("row_idx"), F.col("block_path")[2].alias("col_idx"), "text")
+    return left["cells"].join(paras, ["doc_id", "row_idx", "col_idx"]).join(left["tables"].select("doc_id", "n_rows"), "doc_id").select("doc_id", _long("row_idx"), _long("col_idx"), _long("n_rows"), "text")
+
+
+@query(f"with {lift.CELLS_SQL}, r as (select doc_id, max(row_idx) + 1 as n from rws group by doc_id) select doc_id, n + 1 as n_rows, 3::bigint as n_cols, (n * 3 + 1)::bigint as n_cells from r")
+def add_rows_and_cells(spark, sf):
+    """A row more in every table, then a cell more in each of its rows; the new row has that one cell."""
+    own = _order_tables(spark, sf)
+    more = building.add_rows(own["tables"], own["tables"].select("doc_id", "story", "table_ord", F.lit(1).alias("n")))
+    at = more.select("doc_id", "story", "table_ord", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row_idx"))
+    paras, tables, cells = building.add_cells(own["paragraphs"], more, own["cells"], at)
+    n = paras.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paras")).join(cells.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_cells")), "doc_id").where("n_paras = n_cells")
+    return tables.join(n, "doc_id").select("doc_id", _long("n_rows"), _long("n_cols"), "n_cells")
+
+
+@query("select doc_id, count(*) as n_paras from (select doc_id, lang, unnest(string_split(text, chr(10))) from documents) where lang is distinct from 'en' group by doc_id")
+def body_clear(spark, sf):
+    """The bodies of English documents are cleared."""
+    english = lift.table(spark, sf, "documents").where("lang = 'en'").select("doc_id")
+    left = building.cleared({"paragraphs": lift.paragraphs(spark, sf)}, english)
+    return left["paragraphs"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_paras"))
+
+
+@query(f"with {lift.RUNS_SQL} select doc_id, para_ord, md5(string_agg(text, '' order by p) || ' and so on') as text_md5 from runs group by doc_id, para_ord")
+def add_runs(spark, sf):
+    """Two runs at the end of every paragraph."""
+    paras, runs = lift.paragraphs(spark, sf), lift.runs(spark, sf)
+    new = paras.select("doc_id", "story", "para_ord", F.posexplode(F.array(F.lit(" and"), F.lit(" so on"))).alias("k", "text"))
+    _, more = building.add_runs(lift.inlines(runs), runs, new)
+    return text.paragraph_text(paras.drop("text"), more).select("doc_id", _long("para_ord"), md5("text").alias("text_md5"))
+
+
+@query(f"with {lift.RUNS_SQL} select doc_id, para_ord, count(*) as inline_pos, 'rId' || row_number() over (partition by doc_id order by para_ord) as rel_id, 'https://example.org/' || para_ord as target, md5(string_agg(text, '' order by p) || 'more') as text_md5 from runs group by doc_id, para_ord")
+def add_hyperlinks(spark, sf):
+    """A link at the end of every paragraph."""
+    paras, runs = lift.paragraphs(spark, sf), lift.runs(spark, sf)
+    new = paras.select("doc_id", "story", "para_ord", F.lit(0).alias("k"), F.concat(F.lit("https://example.org/"), F.col("para_ord").cast("string")).alias("url"), F.lit("more").alias("text"))
+    inlines, more, rels = building.add_hyperlinks(lift.inlines(runs), runs, lift.empty(spark, "rels"), new)
+    links = inlines.where("kind = 'hyperlink'").select("doc_id", "story", "para_ord", "inline_pos", "rel_id")
+    shown = text.paragraph_text(paras.drop("text"), more).join(links, ["doc_id", "story", "para_ord"]).join(rels.select("doc_id", "rel_id", "target"), ["doc_id", "rel_id"])
+    return shown.select("doc_id", _long("para_ord"), _long("inline_pos"), "rel_id", "target", md5("text").alias("text_md5"))
+
+
+@query(f"with {lift.RUNS_SQL} select doc_id, para_ord, md5(string_agg(case when p = 0 then 'first' when p % 2 = 1 then text || chr(9) || chr(10) else text end, '' order by p)) as text_md5 from runs group by doc_id, para_ord")
+def set_run_text(spark, sf):
+    """First runs get another text; every second run a tab and a line break."""
+    paras, runs = lift.paragraphs(spark, sf), lift.runs(spark, sf)
+    other = building.set_run_text(runs.withColumn("del_text", F.lit("")).withColumn("content", F.lit(None).cast(lift.empty(spark, "runs").schema["content"].dataType)), runs.where("inline_pos = 0").withColumn("text", F.lit("first")))
+    second = runs.where("inline_pos % 2 = 1")
+    other = building.add_content(building.add_content(other, second, "tab"), second, "line_break")
+    return text.paragraph_text(paras.drop("text"), other).select("doc_id", _long("para_ord"), md5("text").alias("text_md5"))
+
+
+@query("select p_partkey as doc_id, unnest([0, 1, 2])::bigint as inline_pos, unnest([p_brand, ' is ', p_name]) as text, unnest([true, null, null]) as bold, unnest([null, null, 'https://example.org/' || p_partkey]) as target from part")
+def set_markdown(spark, sf):
+    """Paragraphs whose content becomes inline Markdown with a link."""
+    p = lift.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("body").alias("story"), F.lit(0).alias("para_ord"), F.concat(F.lit("**"), "p_brand", F.lit("** is ["), "p_name", F.lit("](https://example.org/"), F.col("p_partkey").cast("string"), F.lit(")")).alias("text"))
+    inlines, runs, rels = building.set_markdown(lift.empty(spark, "inlines"), lift.empty(spark, "runs"), lift.empty(spark, "rels"), p)
+    shown = runs.join(inlines.select("doc_id", "inline_pos", "rel_id"), ["doc_id", "inline_pos"]).join(rels.select("doc_id", "rel_id", "target"), ["doc_id", "rel_id"], "left")
+    return shown.select("doc_id", _long("inline_pos"), "text", "bold", "target")
+
+
+@query("select doc_id, case when lang = 'en' then 'New ' || doc_id else lang end as title, case when lang = 'en' then 'me' else source end as creator from documents")
+def set_properties(spark, sf):
+    docs = lift.table(spark, sf, "documents")
+    own = docs.select("doc_id", F.col("lang").alias("title"), F.col("source").alias("creator"))
+    new = docs.where("lang = 'en'").select("doc_id", F.concat(F.lit("New "), F.col("doc_id").cast("string")).alias("title"), F.lit("me").alias("creator"))
+    return building.set_properties(own, new)

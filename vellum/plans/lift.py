@@ -1,15 +1,17 @@
 """The driver's tables as document tables, natively; and the same as SQL, for the oracles.
 
 documents: a document is a row, a paragraph a line (the first a heading), a run a sentence piece.
-region and nation: a document with one table per region. conversations: a document per conversation, a
+orders and lineitem: a document with one table per order. conversations: a document per conversation, a
 paragraph per turn with a tracked change. labels: comments. Properties come from positions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.wordml import TABLES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,18 +45,28 @@ runs as (select doc_id, para_ord, p, text, p % 2 = 1 as bold, p % 3 = 2 as itali
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table per region: a header row, then a row per nation."""
-    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    from pyspark.sql import Window
-
-    body = n.withColumn("row_idx", F.row_number().over(Window.partitionBy("r_regionkey").orderBy("n_nationkey"))).select(F.col("r_regionkey").cast("long").alias("doc_id"), "row_idx", F.array(F.col("n_name"), F.col("n_nationkey").cast("string")).alias("c"))
-    head = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), F.lit(0).alias("row_idx"), F.array(F.col("r_name"), F.lit("id")).alias("c"))
+    """A table per order: a header row, then a row per line item."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    body = items.withColumn("row_idx", F.row_number().over(w)).select(F.col("l_orderkey").alias("doc_id"), "row_idx", F.array(F.concat(F.lit("part "), F.col("l_partkey").cast("string")), F.col("l_suppkey").cast("string")).alias("c"))
+    head = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("row_idx"), F.array(F.col("o_orderpriority"), F.lit("id")).alias("c"))
     return head.unionByName(body).select("doc_id", F.lit(0).alias("table_ord"), "row_idx", F.posexplode("c").alias("col_idx", "text")).withColumn("para_idx", F.lit(0))
 
 
 CELLS_SQL = """
-rws as (select r_regionkey as doc_id, 0 as row_idx, r_name as c0, 'id' as c1 from region
-  union all select n_regionkey, row_number() over (partition by n_regionkey order by n_nationkey), n_name, cast(n_nationkey as varchar) from nation)"""
+rws as (select o_orderkey as doc_id, 0 as row_idx, o_orderpriority as c0, 'id' as c1 from orders
+  union all select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey), 'part ' || l_partkey, cast(l_suppkey as varchar) from lineitem)"""
+
+
+def inlines(runs: DataFrame) -> DataFrame:
+    """The inlines of lifted runs, one each."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("rel_id", "anchor", "author", "date_str", "raw")]
+    return runs.select("doc_id", "story", "para_ord", "inline_pos", F.lit("run").alias("kind"), F.lit(None).cast("int").alias("ref_id"), *none)
+
+
+def empty(spark: SparkSession, name: str) -> DataFrame:
+    """A document table without rows."""
+    return spark.createDataFrame([], f"doc_id long, {TABLES[name]}")
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
