@@ -242,3 +242,16 @@ def test_trees_that_are_refused(spark):
 def test_source_rels(spark):
     found = spark.createDataFrame([("word/document.xml",), ("",), ("a.xml",)], "p string").select(packages.source_rels(F.col("p")).alias("r"))
     assert [r.r for r in found.collect()] == ["word/_rels/document.xml.rels", "_rels/.rels", "_rels/a.xml.rels"]
+
+
+def test_paragraphs_are_never_broadcast(spark, tmp_path):
+    """Spark takes the exploded lines of a file to be as large as the file, so its own choice may send a whole corpus through the driver."""
+    md(spark, "# a\n\n```\n*x*\n\n```\n*y*").write.parquet(f"{tmp_path}/md")
+    paras, runs, _ = markdown_import.import_markdown(spark.read.parquet(f"{tmp_path}/md"))
+    none = F.lit(None).cast("string")
+    body = paras.select("doc_id", F.lit("body").alias("story"), "para_ord", "style", none.cast("int").alias("ilvl"), none.cast("int").alias("num_id"))
+    placed = runs.select("doc_id", F.lit("body").alias("story"), "para_ord", F.col("run_pos").alias("inline_pos"), F.lit(0).alias("run_pos"), F.lit("run").alias("container"), "text", "bold", "italic", "strike", "font", none.alias("style"))
+    exported = markdown_export.paragraphs_markdown(body, placed)
+    for found in (exported, text.paragraph_text(body, placed)):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [x.md for x in exported.orderBy("para_ord").collect()] == ["# a", "`*x*`", "", "*y*"]

@@ -24,7 +24,7 @@ def paragraphs_markdown(paragraphs: DataFrame, runs: DataFrame) -> DataFrame:
     # the runs of one link are one link
     inline = shown.groupBy(*PARA, "inline_pos").agg(joined(F.col("md"), ["run_pos"]).alias("md"), F.max("url").alias("url"), F.max(F.col("container")).alias("container"))
     whole = inline.withColumn("md", F.when(F.col("container") == "hyperlink", link_markdown(F.col("md"), F.col("url"))).otherwise(F.col("md"))).groupBy(*PARA).agg(joined(F.col("md"), ["inline_pos"]).alias("__md"))
-    out = paragraphs.join(whole, list(PARA), "left")
+    out = paragraphs.hint("merge").join(whole, list(PARA), "left")  # never broadcast: see text.paragraph_text
     return out.withColumn("md", paragraph_markdown(F.coalesce("__md", F.lit("")), F.col("style"), F.col("ilvl"), F.col("num_id"))).drop("__md")
 
 

@@ -138,12 +138,13 @@ TOKENS = pa.list_(pa.struct([("text", pa.string()), ("bold", pa.bool_()), ("ital
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [[vars(r) for r in inline_runs(x or "")] for x in batch.column("text").to_pylist()]
+        literal = batch.column("literal").to_pylist() if "literal" in batch.schema.names else [False] * batch.num_rows
+        found = [[vars(r) for r in ([Inline(x, code=True)] if code else inline_runs(x or ""))] for x, code in zip(batch.column("text").to_pylist(), literal, strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, TOKENS)], names=[*batch.schema.names, "tokens"])
 
 
 def inline_tokens(rows: DataFrame) -> DataFrame:
-    """rows (with ``text``) and, for each run of their inline marks: run_pos, run_text, bold, italic, strike, code, link. Lines of code are one run."""
+    """rows (with ``text``) and, for each run of their inline marks: run_pos, run_text, bold, italic, strike, code, link. Where rows have a true ``literal``, the text is one run of code."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", tokens array<struct<text:string,bold:boolean,italic:boolean,strike:boolean,code:boolean,link:string>>"
     found = rows.mapInArrow(_tokens, schema)
     return found.select(*rows.columns, F.posexplode("tokens").alias("run_pos", "t")).select(*rows.columns, "run_pos", F.col("t.text").alias("run_text"), "t.bold", "t.italic", "t.strike", "t.code", "t.link")
@@ -152,10 +153,9 @@ def inline_tokens(rows: DataFrame) -> DataFrame:
 def import_markdown(documents: DataFrame, text: str = "md") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(paragraphs, runs, cells) of Markdown documents; runs carry font Courier New for code, and the link's target."""
     paras = paragraphs(documents, text)
-    literal = paras.where("kind = 'code'").select("doc_id", "para_ord", F.lit(0).alias("run_pos"), F.col("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("strike"), F.lit("Courier New").alias("font"), F.lit(None).cast("string").alias("link"))
-    marked = inline_tokens(paras.where("kind != 'code'").select("doc_id", "para_ord", "text"))
+    marked = inline_tokens(paras.select("doc_id", "para_ord", "text", (F.col("kind") == "code").alias("literal")))
     runs = marked.select("doc_id", "para_ord", "run_pos", F.col("run_text").alias("text"), "bold", "italic", "strike", F.when(F.col("code"), "Courier New").alias("font"), "link")
-    return paras, runs.unionByName(literal), table_cells(documents, text)
+    return paras, runs, table_cells(documents, text)
 
 
 def insert_after(blocks: DataFrame, new: DataFrame, at: DataFrame) -> DataFrame:
