@@ -110,3 +110,16 @@ def test_documents_of_one_name_are_apart(spark, tmp_path):
 def test_encodings_that_cannot_be_read(encoding):
     with pytest.raises(PackageError):
         parse_xml(f'<?xml version="1.0" encoding="{encoding}"?><a/>'.encode())
+
+
+@pytest.mark.parametrize("line", ["hello world. x\n" * 8000, "a\x00b\x01\x0b\x1f\ufffe\uffffc", "a\rb\r\nc", "\x02", ""])
+def test_what_is_written_can_be_read(line):
+    paragraphs = [{"story": "body", "para_ord": i, "block_path": [i]} for i in range(line.count("\n") + 1)]
+    runs = [{"story": "body", "para_ord": i, "inline_pos": 0, "run_pos": 0, "container": "run", "text": x} for i, x in enumerate(line.split("\n"))]
+    gone = {"story": "body", "para_ord": 0, "inline_pos": 1, "run_pos": 0, "container": "del", "del_text": "\x03"}
+    inlines = [{"story": "body", "para_ord": r["para_ord"], "inline_pos": r["inline_pos"], "kind": r["container"]} for r in [*runs, gone]]
+    found, _ = flatten(open_package(build({"paragraphs": paragraphs, "inlines": inlines, "runs": [*runs, gone]})))
+    assert "\n".join(r["text"] for r in found["runs"] if r["container"] == "run") == line
+    assert [r["del_text"] for r in found["runs"] if r["container"] == "del"] == ["\x03"]
+    again, _ = flatten(open_package(build(found)))
+    assert again["runs"] == found["runs"]
