@@ -404,6 +404,52 @@ def test_suffix_tree_states_of_whole_words(spark):
     assert found[152] > plain[152] and found[153] < plain[153]
 
 
+def test_suffix_tree_states_of_frequent_words(spark):
+    rng = random.Random(9)
+    words = ["a", "be", "orville", "deville", "merville"] + ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(x for _ in range(rng.randrange(1, 9)) for x in (rng.choice(words[:5]), rng.choice(words), rng.choice(["deville quartz", "orville a velvet", "merville ridge", "be"]))) for _ in range(200)]
+    texts += ["deville quartz", "deville ridge", "orville a velvet", None, "", texts[7], "orville", "unseen deville unseen"]
+    learned = [i % 4 != 0 and i < 200 for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(zip(texts, learned, strict=True))], "doc_id long, text string, mine boolean").repartition(3)
+    model, counts = suffix_tree.train(docs.where("mine"))
+    plain = {r.doc_id: r for r in suffix_tree.score(docs, model, counts).collect()}
+    found = {r.doc_id: r for r in suffix_tree.score(docs, model, counts, F.col("mine")).collect()}
+    n = Counter(w for x, y in zip(texts, learned, strict=True) if y for w in spaced(x))
+    hot = {w for w in n if n[w] >= suffix_tree.HOT_LEAST}
+    assert {"a", "be", "orville", "deville", "merville"} <= hot and len(hot) < len(n)
+
+    places = []  # text, context, following word and whether it is the last, probability in the shorter suffix
+    for i, text in enumerate(texts):
+        chunk = vectext.Chunk([text or ""])
+        starts, _ = vectext.runs(~vectext.white(chunk.codes))
+        symbols, begin = model.tree.alphabet.spelled(chunk, chunk.codes, starts, chunk.per_text(starts))
+        stops = np.flatnonzero((symbols == suffix_tree.GAP) | (symbols == suffix_tree.END))
+        logs = [x.sum() for x in np.split(model.tree.each(symbols, begin), stops[:-1] + 1)]
+        own = spaced(text)
+        places += [(i, own[k], (own[k + 1], k + 2 == len(own)), 10 ** max(logs[k + 1], -300)) for k in range(len(own) - 1)]
+    followers = {}
+    for i, w, x, _ in places:
+        if learned[i]:
+            followers.setdefault(w, Counter())[x] += 1
+    want, states = {i: r.score for i, r in plain.items()}, set()
+    for w, n in followers.items():
+        total, gain = sum(n.values()), 0.0
+        for i, v, x, p in places:
+            if v == w and learned[i]:
+                weight = max(len(n) - (n[x] == 1), 1)
+                gain += math.log(((n[x] - 1) / p + weight) / (total - 1 + weight))
+        if total >= 2 and gain / total >= suffix_tree.DIVERGENCE:
+            states.add(w)
+    for i, w, x, p in places:
+        if w in states:
+            n = followers[w]
+            want[i] += math.log10((n[x] / p + len(n)) / (sum(n.values()) + len(n)))
+    assert {"orville", "deville", "merville"} <= states and len(found) == len(texts)
+    assert all(math.isclose(found[i].score, want[i], rel_tol=1e-3, abs_tol=0.05) for i in want)
+    assert all(found[i][:4] == plain[i][:4] and math.isclose(found[i].base_score, plain[i].base_score, rel_tol=1e-9) for i in plain)
+    assert found[200].score > plain[200].score and found[201].score < plain[201].score
+
+
 def test_suffix_tree_is_a_distribution(docs):
     tree = suffix_tree.train(docs)[0].tree
     assert np.allclose((10.0 ** tree.logs.astype(float)).sum(1), 1, atol=1e-4)

@@ -10,11 +10,13 @@ suffixes of a state are states. Each distribution is smoothed with its suffix's,
 uniform one. A text's score adds, at each symbol, the log10 probability in the longest suffix that is a
 state. ``LEAST`` bounds this part of the tree (at most 1 / LEAST states a depth), so it can be broadcast at any size.
 
-The rest of the tree grows with the rows: whole words that are not broadcast (see below), of any length, are
+The rest of the tree grows with the rows: whole words, of any length and frequency, are
 contexts of the word that follows (its symbols and the space or end after it). Such a word is a state if training rows
 hold it at least twice, at any size, and its distribution diverges from the shorter suffixes' (``word_state_gains``); it is
 smoothed with theirs, so that the whole stays a distribution. These states stay in buckets by hash, with the word
-counts, and the places in the texts come to them.
+counts, and the places in the texts come to them. A word that is broadcast (see below) has too many places for one
+bucket: they go to buckets by the pair of words, and what is known of the word as a whole (its total, its distinct
+followers, its divergence) is summed over the buckets, in two readings of one exchange before the one that scores.
 
 The word counts behind ``base_score`` do not have such a bound: they stay in buckets by hash. Words of at least
 ``HOT`` of all training tokens and ``HOT_LEAST`` of them, of which there can be only 1 / HOT, are broadcast; the others' places in the
@@ -30,6 +32,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -358,10 +361,14 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 PACK = 1_500_000
 #: Bytes of a following word's hash that are kept with a place; 0 stands for none.
 NEXT = 6
+#: Bits of a following word's hash in the key of a pair, below the number of the broadcast word before it (under 1 / HOT).
+PAIR_BITS = np.uint64(47)
+#: Broadcast words whose sums go in one row.
+SLICE = 1024
 #: What a text's last word is told apart by from the same word elsewhere: another symbol follows it.
 LAST = np.uint64(0x9E3779B97F4A7C15)
 ROW = "doc_id long, key long, n long, known long, base double, score double"
-PLACES = "words binary, owners binary, learned binary, following binary, logs binary"
+PLACES = "words binary, owners binary, learned binary, following binary, logs binary, pairs binary"
 SUMS = "keys binary, known_sums binary, base_sums binary, score_sums binary"
 
 
@@ -374,8 +381,11 @@ def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _first_pass(shared, parts: int):
-    """For each text a row with what needs no lookup; and rows of packed places by bucket of the other words."""
+def _first_pass(shared, parts: int, states: bool):
+    """For each text a row with what needs no lookup; and rows of packed places by bucket of the other words.
+
+    With states also rows of places of the broadcast words, by bucket of the word and the one that follows.
+    """
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -395,12 +405,35 @@ def _first_pass(shared, parts: int):
                 short = following[own].view(np.uint8).reshape(-1, 8)[:, :NEXT]
                 for column, data in zip(columns, (_runs_bytes(words[own]), _owner_bytes(keys[texts], at), learned[texts].tobytes(), short.tobytes(), logs[own].tobytes()), strict=True):
                     column.append(data)
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *_nulls(ROW, len(some)), *(pa.array(c, pa.binary()) for c in columns)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *_nulls(ROW, len(some)), *(pa.array(c, pa.binary()) for c in columns), *_nulls("pairs binary", len(some))], names=names)
 
+        def packed_pairs(places: list[tuple[np.ndarray, ...]], keys: np.ndarray, learned: np.ndarray) -> pa.RecordBatch:
+            """Places of one pair and one log are a run: what is asked of a pair's count is the same for them."""
+            pairs, owners, logs = (np.concatenate(x) for x in zip(*places, strict=True))
+            bucket = _pair_bucket(pairs, parts)
+            order = np.lexsort((logs.view(np.uint16), pairs, bucket))
+            cut = np.searchsorted(bucket[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(cut))
+            columns: dict[str, list[bytes]] = {c: [] for c in ("owners", "learned", "logs", "pairs")}
+            for b in some:
+                own = order[cut[b] : cut[b + 1]]
+                p, log = pairs[own], logs[own]
+                first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (log.view(np.uint16)[1:] != log.view(np.uint16)[:-1]))))
+                texts, at = np.unique(owners[own], return_inverse=True)
+                for column, data in zip(columns.values(), (_owner_bytes(keys[texts], at), learned[texts].tobytes(), log[first].tobytes(), _runs_bytes(p, first)), strict=True):
+                    column.append(data)
+            rest = [pa.array(columns[c], pa.binary()) if c in columns else pa.nulls(len(some), pa.binary()) for c in _names(PLACES)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *_nulls(ROW, len(some)), *rest], names=names)
+
+        def packs(places: list[tuple[np.ndarray, ...]], pairs: list[tuple[np.ndarray, ...]], keys: np.ndarray, learned: np.ndarray) -> Iterator[pa.RecordBatch]:
+            yield packed(places, keys, learned)
+            if pairs:
+                yield packed_pairs(pairs, keys, learned)
+
+        places, pairs, keys, learned, count, pair_count, base_at = [], [], [], [], 0, 0, 0
         for batch in batches:
             ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
             trained = batch.column("learned").to_numpy(zero_copy_only=False).astype(bool)
-            places, keys, learned, count, base_at = [], [], [], 0, 0
             for a, b, chunk in chunks(texts_of(batch)):
                 codes = lower_ascii(chunk.codes)
                 starts, ends = runs(~white(codes))
@@ -427,16 +460,20 @@ def _first_pass(shared, parts: int):
                 before = np.flatnonzero(~last)
                 following[before] = np.maximum(mix(np.where(last[before + 1], hashes[before + 1] ^ LAST, hashes[before + 1])) & np.uint64((1 << 8 * NEXT) - 1), np.uint64(1))
                 its_log[before] = _shortened(words[before + 1])
-                places.append((hashes[~there], owner[~there] + base_at, following[~there], its_log[~there]))
+                places.append((hashes[~there], (owner[~there] + base_at).astype(np.int32), following[~there], its_log[~there]))
+                if states:
+                    paired = np.flatnonzero(there & ~last)
+                    pairs.append((at[paired].astype(np.uint64) << PAIR_BITS | following[paired] & np.uint64((1 << int(PAIR_BITS)) - 1), (owner[paired] + base_at).astype(np.int32), its_log[paired]))
+                    pair_count += len(paired)
                 keys.append(own)
                 learned.append(trained[a:b])
                 base_at += b - a
                 count += int((~there).sum())
-                if count > PACK:
-                    yield packed(places, np.concatenate(keys), np.concatenate(learned))
-                    places, keys, learned, count, base_at = [], [], [], 0, 0
-            if count:
-                yield packed(places, np.concatenate(keys), np.concatenate(learned))
+                if count > PACK or pair_count > 2 * PACK:
+                    yield from packs(places, pairs, np.concatenate(keys), np.concatenate(learned))
+                    places, pairs, keys, learned, count, pair_count, base_at = [], [], [], [], 0, 0, 0
+        if keys:
+            yield from packs(places, pairs, np.concatenate(keys), np.concatenate(learned))
 
     return f
 
@@ -456,9 +493,14 @@ def _word_logs(symbols: np.ndarray, each: np.ndarray, n: np.ndarray) -> np.ndarr
     return sums[np.repeat(n > 0, np.maximum(n, 1))]  # a text without words is its end alone
 
 
-def _runs_bytes(words: np.ndarray) -> bytes:
-    """Sorted words as the distinct ones and their run lengths."""
-    first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+def _pair_bucket(pairs: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(pairs) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
+
+
+def _runs_bytes(words: np.ndarray, first: np.ndarray | None = None) -> bytes:
+    """Sorted words as the distinct ones and their run lengths; first: where runs begin, if they are shorter."""
+    if first is None:
+        first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
     n = np.diff(np.append(first, len(words)))
     kind = np.uint8 if n.max() < 256 else np.uint32
     return bytes([np.dtype(kind).itemsize]) + len(first).to_bytes(8, "little") + words[first].tobytes() + n.astype(kind).tobytes()
@@ -478,6 +520,13 @@ def _parsed(data: bytes, first_kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, first_kind, n, 9), np.frombuffer(data, _KINDS[data[0]], offset=9 + 8 * n)
 
 
+def _log_ratio(count, log, total, distinct) -> np.ndarray:
+    """The logarithm of a following word's probability in a state over that in the shorter suffix, which is log."""
+    weight = np.maximum(distinct, 1.0)
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(count) - log, np.log(weight)) - np.log(total + weight)
+
+
 def word_state_gains(word: np.ndarray, following: np.ndarray, logs: np.ndarray, learned: np.ndarray) -> np.ndarray:
     """For each place of a context word, what its state adds to the log10 probability of the following word.
 
@@ -498,21 +547,143 @@ def word_state_gains(word: np.ndarray, following: np.ndarray, logs: np.ndarray,
     followers = np.bincount(w[first], count[order][first] > 0, len(total))
     log = logs.astype(np.float64) * np.log(10)
 
-    def ratio(c, t, distinct):
-        weight = np.maximum(distinct, 1.0)
-        with np.errstate(divide="ignore"):
-            return np.logaddexp(np.log(c) - log[at], np.log(weight)) - np.log(t + weight)
-
     at = np.flatnonzero(learned)
-    divergence = np.bincount(word[at], ratio(count[at] - 1.0, total[word[at]] - 1.0, followers[word[at]] - (count[at] == 1)), len(total)) / np.maximum(total, 1)
+    divergence = np.bincount(word[at], _log_ratio(count[at] - 1.0, log[at], total[word[at]] - 1.0, followers[word[at]] - (count[at] == 1)), len(total)) / np.maximum(total, 1)
     state = (total >= 2) & (divergence >= DIVERGENCE)
     out = np.zeros(len(word))
     at = np.flatnonzero(state[word])
-    out[at] = ratio(count[at], total[word[at]], followers[word[at]]) / np.log(10)
+    out[at] = _log_ratio(count[at], log[at], total[word[at]], followers[word[at]]) / np.log(10)
     return out
 
 
-def _second_pass(parts: int):
+class Pairs:
+    """The places of a bucket's pairs, each of a broadcast word and the word that follows it, in their runs."""
+
+    def __init__(self):
+        self.held: list[tuple[bytes, ...]] = []
+
+    def add(self, batch: pa.RecordBatch) -> Pairs:
+        batch = batch.filter(batch.column("pairs").is_valid())
+        self.held += zip(*(batch.column(c).to_pylist() for c in ("pairs", "owners", "learned", "logs")), strict=True)
+        return self
+
+    def runs(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of each pack: pair, log, places and training places of each run; the texts, and each place's text among them."""
+        for pairs, owners, learned, logs in self.held:
+            pair, n = _parsed(pairs, np.uint64)
+            n = n.astype(np.int64)
+            texts, at = _parsed(owners, np.int64)
+            mine = np.add.reduceat(np.frombuffer(learned, bool)[at], np.cumsum(n) - n, dtype=np.int64)
+            yield pair, np.frombuffer(logs, np.float16).astype(np.float64) * np.log(10), n, mine, texts, at
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs, ascending, and their training places."""
+        pair, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        size, some = 0, []
+        for own, _, _, mine, _, _ in self.runs():
+            some.append((own, mine))
+            size += len(own)
+            if size > 4 * HELD:
+                pair, count = summed(np.concatenate([pair, *(x for x, _ in some)]), np.concatenate([count, *(x for _, x in some)]))
+                size, some = 0, []
+        return summed(np.concatenate([pair, *(x for x, _ in some)]), np.concatenate([count, *(x for _, x in some)]))
+
+
+def _slices(sums: np.ndarray) -> pa.RecordBatch:
+    """Sums by broadcast word (a row of them for each kind), cut into rows by word."""
+    kinds, n = sums.shape
+    wide = np.zeros((kinds, -(-n // SLICE) * SLICE))
+    wide[:, :n] = sums
+    cut = [np.ascontiguousarray(x).tobytes() for x in np.split(wide, wide.shape[1] // SLICE, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array(cut, pa.binary())], names=["slice", "data"])
+
+
+def _pair_totals(hot: int):
+    """By broadcast word: its training places that a word follows, and the distinct words that follow it in them."""
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = Pairs()
+        for batch in batches:
+            pairs.add(batch)
+        pair, count = pairs.counts()
+        if len(pair):
+            word = (pair >> PAIR_BITS).astype(np.int64)
+            yield _slices(np.stack([np.bincount(word, count, hot), np.bincount(word, count > 0, hot)]))
+
+    return f
+
+
+def _pair_divergence(hot: int):
+    """By broadcast word: the log ratios of ``word_state_gains`` summed over its training places; totals come with the bucket's mark."""
+
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, marks = Pairs(), None
+        for batch in batches:
+            pairs.add(batch)
+            marks = _mark(batch, "totals", marks)
+        if pairs.held:
+            total, followers = np.frombuffer(marks).reshape(2, hot)
+            keys, counts = pairs.counts()
+            sums = np.zeros(hot)
+            for pair, log, _, mine, _, _ in pairs.runs():
+                some = np.flatnonzero(mine)
+                pair, mine = pair[some], mine[some]
+                count, word = counts[np.searchsorted(keys, pair)], (pair >> PAIR_BITS).astype(np.int64)
+                sums += np.bincount(word, mine * _log_ratio(count - 1.0, log[some], total[word] - 1.0, followers[word] - (count == 1)), hot)
+            yield _slices(sums[None])
+
+    return f
+
+
+def _mark(batch: pa.RecordBatch, column: str, before: bytes | None) -> bytes | None:
+    own = batch.column(column).drop_null()
+    return own[0].as_py() if len(own) else before
+
+
+def _sum_slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of one slice, for partitions that each hold one."""
+    own, sums = None, 0.0
+    for batch in batches:
+        for own, data in zip(batch.column("slice").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            sums = sums + np.frombuffer(data)
+    if own is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["slice", "data"])
+
+
+def _join_slices(hot: int):
+    def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {s: np.frombuffer(d).reshape(-1, SLICE) for b in batches for s, d in zip(b.column("slice").to_pylist(), b.column("data").to_pylist(), strict=True)}
+        if held:
+            whole = np.concatenate([held[s] for s in sorted(held)], 1)[:, :hot]
+            yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(whole).tobytes()], pa.binary())], names=["data"])
+
+    return f
+
+
+def _marked(met: DataFrame, sums: DataFrame, hot: int, name: str) -> DataFrame:
+    """met, with the sums over all buckets, in one row, at the mark of each bucket."""
+    n = -(-hot // SLICE)
+    each = sums.repartitionById(n, F.col("slice")).mapInArrow(lean(_sum_slices), "slice int, data binary")
+    one = each.repartition(1).mapInArrow(lean(_join_slices(hot)), f"{name} binary").withColumn("late", F.lit(-1))
+    return met.join(F.broadcast(one), "late", "left")
+
+
+def _pair_gains(pairs: Pairs, totals: bytes, divergence: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts, and what the states of broadcast words add to their log10 probability: ``word_state_gains`` by pairs."""
+    divergence = np.frombuffer(divergence)
+    total, followers = np.frombuffer(totals).reshape(2, -1)
+    state = (total >= 2) & (divergence >= DIVERGENCE * np.maximum(total, 1))
+    keys, counts = pairs.counts()
+    for pair, log, n, _, texts, at in pairs.runs():
+        word = (pair >> PAIR_BITS).astype(np.int64)
+        some = np.flatnonzero(state[word])
+        gain = np.zeros(len(pair))
+        word = word[some]
+        gain[some] = _log_ratio(counts[np.searchsorted(keys, pair[some])].astype(np.float64), log[some], total[word], followers[word]) / np.log(10)
+        yield texts, np.bincount(at, np.repeat(gain, n), len(texts))
+
+
+def _second_pass(parts: int, paired: bool):
     """A bucket's word counts (first in its partition) meet its places; sums by text, packed by bucket of the text's key."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -520,13 +691,17 @@ def _second_pass(parts: int):
         sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         states: list[tuple[np.ndarray, ...]] = []
         texts_before = 0
+        pairs, totals, divergence = Pairs(), None, None
         names = ["bucket", *_names(ROW), *_names(SUMS)]
         for batch in batches:
+            if paired:
+                pairs.add(batch)
+                totals, divergence = _mark(batch, "totals", totals), _mark(batch, "divergence", divergence)
             rows = batch.filter(batch.column("key").is_valid())
             if rows.num_rows:
                 yield pa.RecordBatch.from_arrays([rows.column(c) for c in ["bucket", *_names(ROW)]] + _nulls(SUMS, rows.num_rows), names=names)
-            batch = batch.filter(batch.column("key").is_null())
-            for k, c, w, o, t, x, logs in zip(*(batch.column(n).to_pylist() for n in ["keys", "counts", *_names(PLACES)]), strict=True):
+            batch = batch.filter(pc.or_(batch.column("keys").is_valid(), batch.column("words").is_valid()))
+            for k, c, w, o, t, x, logs in zip(*(batch.column(n).to_pylist() for n in ["keys", "counts", *_names(PLACES)[:-1]]), strict=True):
                 if k is not None:
                     keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
                     continue
@@ -543,11 +718,18 @@ def _second_pass(parts: int):
                 some = (each > 1) & (following > 0)
                 states.append((np.repeat(place, n)[some].astype(np.int32), following[some], np.frombuffer(logs, np.float16)[some], np.frombuffer(t, bool)[at][some], at[some].astype(np.int32) + np.int32(texts_before)))
                 texts_before += len(texts)
-        if sums:
-            key, known, base = (np.concatenate(c) for c in zip(*sums, strict=True))
-            word, following, logs, learned, owner = (np.concatenate(c) for c in zip(*states, strict=True))
-            score = np.bincount(owner, word_state_gains(word, following, logs, learned), len(key))
-            some = np.flatnonzero(known)
+        if sums or pairs.held:
+            key, known, base, score = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
+            if sums:
+                key, known, base = (np.concatenate(c) for c in zip(*sums, strict=True))
+                word, following, logs, learned, owner = (np.concatenate(c) for c in zip(*states, strict=True))
+                score = np.bincount(owner, word_state_gains(word, following, logs, learned), len(key))
+            if pairs.held:
+                more = [(key, score), *_pair_gains(pairs, totals, divergence)]
+                key, at = np.unique(np.concatenate([k for k, _ in more]), return_inverse=True)
+                score = np.bincount(at, np.concatenate([s for _, s in more]), len(key))
+                known, base = np.bincount(at[: len(known)], known, len(key)).astype(np.int32), np.bincount(at[: len(base)], base, len(key))
+            some = np.flatnonzero((known > 0) | (score != 0))
             key, known, base, score = key[some], known[some], base[some], score[some].astype(np.float32)
             bucket = (key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -590,10 +772,17 @@ def score(docs: DataFrame, model: Model, words: DataFrame, learned: Column | Non
     shared = spark.sparkContext.broadcast(model)
     flag = F.lit(False) if learned is None else F.coalesce(learned, F.lit(False))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), flag.alias("learned"))
-    first = slim.mapInArrow(lean(_first_pass(shared, parts)), f"bucket int, {ROW}, {PLACES}").withColumn("late", F.lit(1))
+    hot = len(model.hot) if learned is not None else 0
+    first = slim.mapInArrow(lean(_first_pass(shared, parts, hot > 0)), f"bucket int, {ROW}, {PLACES}").withColumn("late", F.lit(1))
     counts = words.select("bucket", "keys", "counts", F.lit(0).alias("late"))
-    met = counts.unionByName(first, allowMissingColumns=True).repartitionById(parts, F.col("bucket")).sortWithinPartitions("late")
-    summed_up = met.mapInArrow(lean(_second_pass(parts)), f"bucket int, {ROW}, {SUMS}").repartitionById(parts, F.col("bucket"))
+    if hot:
+        marks = spark.range(0, parts, 1, 1).select(F.col("id").cast("int").alias("bucket"), F.lit(-1).alias("late"))
+        counts = counts.unionByName(marks, allowMissingColumns=True)
+    met = counts.unionByName(first, allowMissingColumns=True).repartitionById(parts, F.col("bucket"))
+    if hot:  # all three read the one exchange; each takes all its columns, without which Spark would make several
+        marked = _marked(met, met.mapInArrow(lean(_pair_totals(hot)), "slice int, data binary"), hot, "totals")
+        met = _marked(marked, marked.mapInArrow(lean(_pair_divergence(hot)), "slice int, data binary"), hot, "divergence")
+    summed_up = met.sortWithinPartitions("late").mapInArrow(lean(_second_pass(parts, hot > 0)), f"bucket int, {ROW}, {SUMS}").repartitionById(parts, F.col("bucket"))
     each = summed_up.mapInArrow(lean(_sum_texts), "doc_id long, n_tokens long, n_known long, base double, score double")
     all_ = float(np.log10(model.tokens + model.distinct + 1))
     return each.select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(all_)).alias("base_score"), "score")
