@@ -448,6 +448,8 @@ def test_suffix_tree_states_of_frequent_words(spark):
     assert all(math.isclose(found[i].score, want[i], rel_tol=1e-3, abs_tol=0.05) for i in want)
     assert all(found[i][:4] == plain[i][:4] and math.isclose(found[i].base_score, plain[i].base_score, rel_tol=1e-9) for i in plain)
     assert found[200].score > plain[200].score and found[201].score < plain[201].score
+    alone = suffix_tree.score(docs.where("doc_id in (203, 204, 206)"), model, counts, F.col("mine")).collect()  # no place to look up
+    assert {r.doc_id: r.score for r in alone} == {i: plain[i].score for i in (203, 204, 206)}
 
 
 def test_suffix_tree_is_a_distribution(docs):

@@ -393,6 +393,7 @@ def _first_pass(shared, parts: int, states: bool):
 
         def packed(places: list[tuple[np.ndarray, ...]], keys: np.ndarray, learned: np.ndarray) -> pa.RecordBatch:
             words, owners, following, logs = (np.concatenate(x) for x in zip(*places, strict=True))
+            places.clear()
             bucket = (words % np.uint64(parts)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(parts + 1))
@@ -410,6 +411,7 @@ def _first_pass(shared, parts: int, states: bool):
         def packed_pairs(places: list[tuple[np.ndarray, ...]], keys: np.ndarray, learned: np.ndarray) -> pa.RecordBatch:
             """Places of one pair and one log are a run: what is asked of a pair's count is the same for them."""
             pairs, owners, logs = (np.concatenate(x) for x in zip(*places, strict=True))
+            places.clear()
             bucket = _pair_bucket(pairs, parts)
             order = np.lexsort((logs.view(np.uint16), pairs, bucket))
             cut = np.searchsorted(bucket[order], np.arange(parts + 1))
