@@ -9,8 +9,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -452,6 +455,54 @@ def test_suffix_tree_states_of_frequent_words(spark):
     assert {r.doc_id: r.score for r in alone} == {i: plain[i].score for i in (203, 204, 206)}
 
 
+def test_suffix_tree_moves_few_bytes(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)
+    model, words = suffix_tree.train(docs)
+    rows = docs.selectExpr("doc_id", "text", "doc_id % 7 != 2 AS learned").toArrow().to_batches(100)
+    size = lambda batches: sum(len(x) for b in batches for c in b.columns if pa.types.is_binary(c.type) for x in c.drop_null().to_pylist())
+    first = list(suffix_tree._first_pass(SimpleNamespace(value=model), 20, True)(rows))
+    assert len(model.hot) and size(first) < 10.5 * model.tokens  # 9.0; before arrays were squeezed 13.6, 12.0 with LZ4
+    parts, counts = suffix_tree.parts_for(docs), {r["bucket"]: r for r in words.collect()}
+
+    def scored(rows, lose=False):
+        """The maps of ``score`` without Spark's exchanges; states of broadcast words are none, since their sums are zeros."""
+        first = [b for some in rows for b in suffix_tree._first_pass(SimpleNamespace(value=model), parts, True)(some)]
+        deal = lambda batches: [[b.filter(pc.equal(b.column("bucket"), k)) for b in batches] for k in range(parts)]
+        zeros = {"totals": bytes(16 * len(model.hot)), "divergence": bytes(8 * len(model.hot))}
+        second = []
+        for k, own in enumerate(deal(first)):
+            for name in ("keys", "counts", *zeros):
+                own = [b.append_column(name, pa.array([zeros.get(name)] * b.num_rows, pa.binary())) for b in own]
+            if k in counts:
+                own.insert(0, pa.RecordBatch.from_arrays([pa.array([counts[k][c.name] if c.name in ("bucket", "keys", "counts") else None], c.type) for c in own[0].schema], schema=own[0].schema))
+            second += suffix_tree._second_pass(parts, True)(own)
+        if lose:
+            second = second[:-1]
+        return sorted((tuple(r.values()) for own in deal(second) for b in suffix_tree._sum_texts(own) for r in b.to_pylist()), key=repr)
+
+    once = scored([rows])
+    want = sorted((tuple(r)[:3] for r in suffix_tree.score(docs, model, words).collect()), key=repr)
+    assert counts and [r[:3] for r in once] == want
+    with pytest.raises(RuntimeError, match="pieces of a pack"):
+        scored([rows], lose=True)
+    twice = scored([rows, rows])  # two packs that are alike
+    assert [r[:3] for r in twice] == [r[:3] for r in once for _ in range(2)]
+    monkeypatch.setattr(suffix_tree, "TEXTS", 30)
+    for many, one in zip(scored([rows]), once, strict=True):
+        assert many[:3] == one[:3] and math.isclose(many[3], one[3], rel_tol=1e-9) and math.isclose(many[4], one[4], rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 70_000])
+def test_squeezed_arrays(n):
+    rng = np.random.default_rng(n)
+    keys = np.sort(rng.integers(0, 1 << 64, n, np.uint64))
+    arrays = [suffix_tree.steps(keys), rng.integers(0, 3, n, np.uint32), rng.normal(size=n), rng.normal(size=n).astype(np.float16), np.zeros(n, np.int64) - 1]
+    data = suffix_tree.squeezed(*arrays)
+    found = suffix_tree.unsqueezed(data, *(a.dtype for a in arrays))
+    assert all(a.dtype == b.dtype and a.tobytes() == b.tobytes() for a, b in zip(arrays, found, strict=True))
+    assert np.array_equal(np.cumsum(suffix_tree.unsqueezed(data, np.uint64)[0], dtype=np.uint64), keys)
+
+
 def test_suffix_tree_is_a_distribution(docs):
     tree = suffix_tree.train(docs)[0].tree
     assert np.allclose((10.0 ** tree.logs.astype(float)).sum(1), 1, atol=1e-4)

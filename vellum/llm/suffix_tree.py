@@ -28,11 +28,13 @@ are each scored; without any training row the base is that of N = V = 0.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,8 +69,50 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def squeezed(*arrays: np.ndarray) -> bytes:
+    """Arrays that are moved: of each its length, and the planes of its values' bytes, each compressed alone if that is shorter."""
+    out = []
+    for values in arrays:
+        n = len(values)
+        out.append(n.to_bytes(8, "little"))
+        for plane in np.ascontiguousarray(values.view(np.uint8).reshape(n, values.itemsize).T):
+            data = b""
+            if plane.any():
+                data = _ZSTD.compress(plane, asbytes=True)
+                if len(data) >= n:
+                    data = plane.tobytes()
+            out += [len(data).to_bytes(8, "little"), data]
+    return b"".join(out)
+
+
+def unsqueezed(data: bytes, *kinds: type) -> list[np.ndarray]:
+    """The first of the arrays, of these kinds."""
+    view, at, out = memoryview(data), 0, []
+    for kind in kinds:
+        n, width = int.from_bytes(view[at : at + 8], "little"), np.dtype(kind).itemsize
+        at += 8
+        planes = np.zeros((width, n), np.uint8)
+        for plane in planes:
+            size = int.from_bytes(view[at : at + 8], "little")
+            at += 8
+            if size:
+                part = view[at : at + size]
+                plane[:] = np.frombuffer(part if size == n else _ZSTD.decompress(part, n), np.uint8)
+                at += size
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+    return out
+
+
+def steps(keys: np.ndarray) -> np.ndarray:
+    """Keys as differences, which are small if they ascend; np.cumsum undoes it."""
+    return np.diff(keys, prepend=np.zeros(1, keys.dtype))
+
+
 class Sums:
-    """Counts by 64-bit key that are sent on in buckets."""
+    """Counts by 64-bit key that are sent on in buckets; ``sent``: those of the last batch."""
 
     def __init__(self, parts: int, place=None):
         self.parts, self.place, self.held, self.size = parts, place or (lambda keys: keys % np.uint64(parts)), [], 0
@@ -90,7 +134,7 @@ class Sums:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
             self._merge()
-            keys, counts = self.held[0]
+            self.sent = keys, counts = self.held[0]
             bucket = self.place(keys).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(self.parts + 1))
@@ -100,13 +144,11 @@ class Sums:
 
 
 def blobs(buckets, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    small = [c.astype(np.uint16) if not len(c) or c.max() < 1 << 16 else c.astype(np.int64) for c in counts]
-    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([c.tobytes() for c in small], pa.binary())], names=["bucket", "keys", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([squeezed(steps(k)) for k in keys], pa.binary()), pa.array([squeezed(c.astype(np.int64)) for c in counts], pa.binary())], names=["bucket", "keys", "counts"])
 
 
 def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, np.uint64)
-    return k, np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(k) else np.int64).astype(np.int64)
+    return np.cumsum(unsqueezed(keys, np.uint64)[0], dtype=np.uint64), unsqueezed(counts, np.int64)[0]
 
 
 BLOB = "bucket int, keys binary, counts binary"
@@ -125,7 +167,7 @@ def _word_counts(parts: int):
         yield from sums.flush()
         # bucket -1: code points, with the number of texts at that of the separator
         some = np.flatnonzero(chars)
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([some.astype(np.uint64).tobytes()], pa.binary()), pa.array([chars[some].tobytes()], pa.binary())], names=["bucket", "keys", "counts"])
+        yield blobs([-1], [some.astype(np.uint64)], [chars[some]])
 
     return f
 
@@ -144,14 +186,15 @@ def _merge_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 size = len(held[0][0])
     if held:
         keys, counts = summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
-        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["bucket", "keys", "counts", "distinct", "total"])
+        own = blobs([bucket], [keys], [counts])
+        yield own.append_column("distinct", pa.array([len(keys)], pa.int64())).append_column("total", pa.array([int(counts.sum())], pa.int64()))
 
 
 def _hot(least: float):
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+                keys, counts = unpacked(k, c)
                 keep = counts >= least
                 yield pa.RecordBatch.from_arrays([pa.array([keys[keep].tobytes()], pa.binary()), pa.array([counts[keep].tobytes()], pa.binary())], names=["keys", "counts"])
 
@@ -201,12 +244,12 @@ class Alphabet:
 
 def contexts(symbols: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     """Codes of the last 0, 1 ... DEPTH symbols before each symbol, nearest in the lowest bits."""
-    place = np.arange(len(symbols)) - np.repeat(begin[:-1], np.diff(begin))
     out = [np.zeros(len(symbols), np.uint64)]
     for d in range(1, DEPTH + 1):
         back = np.zeros(len(symbols), np.uint64)
         back[d:] = symbols[:-d]
-        back[place < d] = PAD
+        early = (begin[:-1, None] + np.arange(d)).ravel()  # beyond a shorter text it is the next one that begins
+        back[early[early < len(symbols)]] = PAD
         out.append(out[-1] | (back << np.uint64(BITS * (d - 1))))
     return out
 
@@ -226,8 +269,7 @@ def _gram_counts(shared, parts: int):
             """Grams of the full depth and, summed from them, of the shorter ones."""
             for b in batch_of:
                 yield b
-                pairs = [unpacked(k, c) for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True)]
-                keys, counts = np.concatenate([k for k, _ in pairs]), np.concatenate([c for _, c in pairs])
+                keys, counts = full.sent
                 for d in range(DEPTH - 1, -1, -1):
                     keys, counts = summed(np.uint64(d) << _DEPTH_AT | keys & np.uint64((1 << BITS * (d + 1)) - 1), counts)
                     low.append((keys, counts))
@@ -253,7 +295,7 @@ def _frequent_contexts(least: float):
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _merge_counts(batches):
-            keys, counts = np.frombuffer(batch.column("keys")[0].as_py(), np.uint64), np.frombuffer(batch.column("counts")[0].as_py(), np.int64)
+            keys, counts = unpacked(batch.column("keys")[0].as_py(), batch.column("counts")[0].as_py())
             context = keys >> np.uint64(BITS)
             first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
             keep = np.repeat(np.add.reduceat(counts, first) >= least, np.diff(np.append(first, len(keys))))
@@ -307,17 +349,28 @@ class Tree:
             self._states = states
         return self._states
 
+    def _deepest(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each state of one symbol less than full depth a row, 0 if it has none: the states that one symbol before it makes, 0 for none."""
+        if "_below" not in self.__dict__:
+            full = self.contexts[DEPTH]
+            own = self._direct()[(full & np.uint64((1 << BITS * (DEPTH - 1)) - 1)).astype(np.int64)] - self.first[DEPTH - 1]
+            up, at = np.unique(own, return_inverse=True)
+            row, below = np.zeros(len(self.contexts[DEPTH - 1]), np.int32), np.zeros((len(up) + 1, 1 << BITS), np.int32)
+            row[up] = np.arange(1, len(up) + 1)
+            below[at + 1, (full >> np.uint64(BITS * (DEPTH - 1))).astype(np.int64)] = self.first[DEPTH] + np.arange(len(full))
+            self._row, self._below = row, below
+        return self._row, self._below
+
     def states(self, symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """The longest suffix before each symbol that is a state."""
         codes = contexts(symbols, begin)
         out = self._direct()[codes[DEPTH - 1].astype(np.int64)]
-        full = self.contexts[DEPTH]
-        if len(full):
+        if len(self.contexts[DEPTH]):
+            row, below = self._deepest()
             deep = np.flatnonzero(out >= self.first[DEPTH - 1])
-            at = np.searchsorted(full, codes[DEPTH][deep])
-            at[at == len(full)] = 0
-            hit = full[at] == codes[DEPTH][deep]
-            out[deep[hit]] = self.first[DEPTH] + at[hit]
+            deep = deep[row[out[deep] - self.first[DEPTH - 1]] > 0]
+            found = below[row[out[deep] - self.first[DEPTH - 1]], (codes[DEPTH][deep] >> np.uint64(BITS * (DEPTH - 1))).astype(np.int64)]
+            out[deep[found > 0]] = found[found > 0]
         return out
 
     def each(self, symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -340,7 +393,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     counted = written(slim.mapInArrow(lean(_word_counts(parts)), BLOB), "word-counts")
     chars, ends = np.zeros(CODES + 1, np.int64), 0
     for r in counted.where("bucket = -1").toLocalIterator():  # one row a task, of its distinct code points
-        k, c = np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["counts"], np.int64)
+        k, c = unpacked(r["keys"], r["counts"])
         chars[k.astype(np.int64)] += c
     ends = int(chars[SEP])
     words = written(counted.where("bucket >= 0").repartitionById(parts, F.col("bucket")).mapInArrow(lean(_merge_counts), BLOB + ", distinct long, total long"), "words")
@@ -357,23 +410,27 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     return Model(tree, hot_keys, hot_counts, ends, tokens, distinct), words
 
 
-#: Words of texts whose places are packed together.
+#: Words of texts whose places are packed together, and such texts at most.
 PACK = 1_500_000
-#: Bytes of a following word's hash that are kept with a place; 0 stands for none.
-NEXT = 6
-#: Bits of a following word's hash in the key of a pair, below the number of the broadcast word before it (under 1 / HOT).
-PAIR_BITS = np.uint64(47)
+TEXTS = 50_000
+#: From the home of a task's pack to that of its next one, so that those of many tasks are dealt over all buckets.
+STRIDE = 7919
+#: A following word is told apart by its number, twice, if it is broadcast (under 2 / HOT), else by this many bits of its hash, with the next one set.
+CODE = np.uint64(46)
+#: Bits of a broadcast word's code; and the code where no word follows.
+HOT_CODE = np.uint64(18)
+NONE = (1 << 18) - 1
 #: Broadcast words whose sums go in one row.
 SLICE = 1024
 #: What a text's last word is told apart by from the same word elsewhere: another symbol follows it.
 LAST = np.uint64(0x9E3779B97F4A7C15)
-ROW = "doc_id long, key long, n long, known long, base double, score double"
-PLACES = "words binary, owners binary, learned binary, following binary, logs binary, pairs binary"
-SUMS = "keys binary, known_sums binary, base_sums binary, score_sums binary"
+ROW = "key long, pieces long, rows binary"
+PLACES = "pack long, texts long, trained long, home int, places binary, pairs binary"
+SUMS = "pack long, texts long, sums binary"
 
 
 def _nulls(schema: str, n: int) -> list[pa.Array]:
-    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     return [pa.nulls(n, kinds[c.split()[1]]) for c in schema.split(", ")]
 
 
@@ -382,57 +439,36 @@ def _names(schema: str) -> list[str]:
 
 
 def _first_pass(shared, parts: int, states: bool):
-    """For each text a row with what needs no lookup; and rows of packed places by bucket of the other words.
+    """A pack of texts at a time, a row with what needs no lookup, in the bucket that is the pack's home; and the pack's pieces.
 
-    With states also rows of places of the broadcast words, by bucket of the word and the one that follows.
+    A piece holds a bucket's places of the other words; with states also those of the broadcast words, by bucket of the
+    word and the one that follows. Texts are told apart by the pack and their number in it, learned ones first.
     """
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         names = ["bucket", *_names(ROW), *_names(PLACES)]
 
-        def packed(places: list[tuple[np.ndarray, ...]], keys: np.ndarray, learned: np.ndarray) -> pa.RecordBatch:
-            words, owners, following, logs = (np.concatenate(x) for x in zip(*places, strict=True))
-            places.clear()
-            bucket = (words % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(cut))
-            columns: list[list[bytes]] = [[], [], [], [], []]
-            for b in some:
-                own = order[cut[b] : cut[b + 1]]
-                own = own[np.argsort(words[own], kind="stable")]
-                texts, at = np.unique(owners[own], return_inverse=True)
-                short = following[own].view(np.uint8).reshape(-1, 8)[:, :NEXT]
-                for column, data in zip(columns, (_runs_bytes(words[own]), _owner_bytes(keys[texts], at), learned[texts].tobytes(), short.tobytes(), logs[own].tobytes()), strict=True):
-                    column.append(data)
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *_nulls(ROW, len(some)), *(pa.array(c, pa.binary()) for c in columns), *_nulls("pairs binary", len(some))], names=names)
-
-        def packed_pairs(places: list[tuple[np.ndarray, ...]], keys: np.ndarray, learned: np.ndarray) -> pa.RecordBatch:
-            """Places of one pair and one log are a run: what is asked of a pair's count is the same for them."""
-            pairs, owners, logs = (np.concatenate(x) for x in zip(*places, strict=True))
-            places.clear()
-            bucket = _pair_bucket(pairs, parts)
-            order = np.lexsort((logs.view(np.uint16), pairs, bucket))
-            cut = np.searchsorted(bucket[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(cut))
-            columns: dict[str, list[bytes]] = {c: [] for c in ("owners", "learned", "logs", "pairs")}
-            for b in some:
-                own = order[cut[b] : cut[b + 1]]
-                p, log = pairs[own], logs[own]
-                first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (log.view(np.uint16)[1:] != log.view(np.uint16)[:-1]))))
-                texts, at = np.unique(owners[own], return_inverse=True)
-                for column, data in zip(columns.values(), (_owner_bytes(keys[texts], at), learned[texts].tobytes(), log[first].tobytes(), _runs_bytes(p, first)), strict=True):
-                    column.append(data)
-            rest = [pa.array(columns[c], pa.binary()) if c in columns else pa.nulls(len(some), pa.binary()) for c in _names(PLACES)]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *_nulls(ROW, len(some)), *rest], names=names)
-
-        def packs(places: list[tuple[np.ndarray, ...]], pairs: list[tuple[np.ndarray, ...]], keys: np.ndarray, learned: np.ndarray) -> Iterator[pa.RecordBatch]:
-            yield packed(places, keys, learned)
-            if pairs:
-                yield packed_pairs(pairs, keys, learned)
-
-        places, pairs, keys, learned, count, pair_count, base_at = [], [], [], [], 0, 0, 0
+        def packed(home: int, texts: list[tuple[np.ndarray, ...]], places: list[tuple[np.ndarray, ...]], pairs: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            own, learned, *values = (np.concatenate(x) for x in zip(*texts, strict=True))
+            order = np.argsort(~learned, kind="stable")
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order))
+            trained = int(learned.sum())
+            pack = mix(np.array([(mix(own[order]) * (2 * np.arange(len(order), dtype=np.uint64) + np.uint64(1))).sum() + np.uint64(trained)], np.uint64))
+            found = _place_bytes(places, number, parts)
+            more = _pair_bytes(pairs, number, trained, parts) if pairs else {}
+            some = sorted(found.keys() | more.keys())
+            ids, *values = (x[order] for x in values)
+            row = [pa.array([home], pa.int32()), pa.array(pack.view(np.int64)), pa.array([len(some)], pa.int64()), pa.array([squeezed(steps(ids.view(np.uint64)), *values)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*row, *_nulls(PLACES, 1)], names=names)
+            of = [int(pack.view(np.int64)[0]), len(order), trained, home]
+            own = [pa.array([x] * len(some), t) for x, t in zip(of, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *_nulls(ROW, len(some)), *own, *(pa.array([x.get(b) for b in some], pa.binary()) for x in (found, more))], names=names)
+
+        context = TaskContext.get()
+        home = context.partitionId() % parts if context else 0
+        texts, places, pairs, count, pair_count, before = [], [], [], 0, 0, 0
         for batch in batches:
             ids = batch.column("doc_id").fill_null(-(1 << 63)).to_numpy()
             trained = batch.column("learned").to_numpy(zero_copy_only=False).astype(bool)
@@ -446,40 +482,106 @@ def _first_pass(shared, parts: int, states: bool):
                 each = m.tree.each(symbols, begin)
                 scores = np.add.reduceat(each, begin[:-1])
                 words = _word_logs(symbols, each, n)
-                own = (mix(chunk.hashes(chunk.off[:-1], chunk.off[1:] - 1) ^ ids[a:b].view(np.uint64))).view(np.int64)
+                own = mix(chunk.hashes(chunk.off[:-1], chunk.off[1:] - 1) ^ ids[a:b].view(np.uint64))
                 at = np.searchsorted(m.hot, hashes)
                 at[at == len(m.hot)] = 0
                 there = m.hot[at] == hashes if len(m.hot) else np.zeros(len(hashes), bool)
-                logs = np.where(there, np.log10(m.hot_counts[at] + 1.0) if len(m.hot) else 0.0, 0.0)
+                logs = np.where(there, np.log10(m.hot_counts + 1.0)[at] if len(m.hot) else 0.0, 0.0)
                 known = np.diff(np.concatenate(([0], np.cumsum(there)))[first])
                 owner = np.repeat(np.arange(b - a), n)
                 sums = np.bincount(owner, logs, b - a)
-                bucket = (own.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(ids[a:b]), pa.array(own), pa.array(n + 1), pa.array(known + (m.ends > 0)), pa.array(sums + np.log10(m.ends + 1.0)), pa.array(scores), *_nulls(PLACES, b - a)], names=names)
+                texts.append((own, trained[a:b], ids[a:b], n + 1, known + (m.ends > 0), sums + np.log10(m.ends + 1.0), scores))
                 last = np.zeros(len(hashes), bool)
                 last[first[1:][n > 0] - 1] = True
-                following, its_log = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.float16)
-                before = np.flatnonzero(~last)
-                following[before] = np.maximum(mix(np.where(last[before + 1], hashes[before + 1] ^ LAST, hashes[before + 1])) & np.uint64((1 << 8 * NEXT) - 1), np.uint64(1))
-                its_log[before] = _shortened(words[before + 1])
-                places.append((hashes[~there], (owner[~there] + base_at).astype(np.int32), following[~there], its_log[~there]))
+                code = np.where(there, 2 * at.astype(np.uint64) + last, mix(np.where(last, hashes ^ LAST, hashes)) >> np.uint64(64) - CODE | np.uint64(1) << CODE)
+                following, its_log = np.full(len(hashes), NONE, np.uint64), np.zeros(len(hashes), np.float16)
+                own_log = _shortened(words)
+                inner = np.flatnonzero(~last)
+                following[inner] = code[inner + 1]
+                its_log[inner] = own_log[inner + 1]
+                owner = (owner + before).astype(np.uint32)
+                rest = np.flatnonzero(~there)
+                places.append((hashes[rest], owner[rest], following[rest], its_log[rest]))
                 if states:
                     paired = np.flatnonzero(there & ~last)
-                    pairs.append((at[paired].astype(np.uint64) << PAIR_BITS | following[paired] & np.uint64((1 << int(PAIR_BITS)) - 1), (owner[paired] + base_at).astype(np.int32), its_log[paired]))
+                    word, x = at[paired].astype(np.uint64), following[paired]
+                    pairs.append((np.where(x < NONE, word << HOT_CODE | x, np.uint64(1 << 63) | word << CODE | x & (np.uint64(1) << CODE) - np.uint64(1)), owner[paired], its_log[paired]))
                     pair_count += len(paired)
-                keys.append(own)
-                learned.append(trained[a:b])
-                base_at += b - a
-                count += int((~there).sum())
-                if count > PACK or pair_count > 2 * PACK:
-                    yield from packs(places, pairs, np.concatenate(keys), np.concatenate(learned))
-                    places, pairs, keys, learned, count, pair_count, base_at = [], [], [], [], 0, 0, 0
-        if keys:
-            yield from packs(places, pairs, np.concatenate(keys), np.concatenate(learned))
+                before += b - a
+                count += len(rest)
+                if count > PACK or pair_count > 2 * PACK or before > TEXTS:
+                    yield from packed(home, texts, places, pairs)
+                    home = (home + STRIDE) % parts
+                    texts, places, pairs, count, pair_count, before = [], [], [], 0, 0, 0
+        if texts:
+            yield from packed(home, texts, places, pairs)
 
     return f
 
 
+def _firsts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _bucketed(bucket: np.ndarray, order: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by bucket, then as given, and where each bucket begins."""
+    own = bucket.astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+    return order[np.argsort(own[order], kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(own, minlength=parts))))
+
+
+def _place_bytes(places: list[tuple[np.ndarray, ...]], number: np.ndarray, parts: int) -> dict[int, bytes]:
+    """By bucket: distinct words and their places; of these text, following word (by number, then by hash) and its log."""
+    words, owners, following, logs = (np.concatenate(x) for x in zip(*places, strict=True))
+    places.clear()
+    order, cut = _bucketed(words % np.uint64(parts), np.argsort(words), parts)
+    words, owners, following, logs = words[order], number[owners[order]], following[order], logs[order]
+    first = _firsts(words)
+    n, at = np.diff(np.append(first, len(words))).astype(np.uint32), np.searchsorted(first, cut)
+    out = {}
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        own, mine = slice(cut[b], cut[b + 1]), slice(at[b], at[b + 1])
+        x = following[own]
+        short = x <= NONE
+        out[b] = squeezed(steps(words[first[mine]]), n[mine], owners[own], np.packbits(short), x[short].astype(np.uint32), x[~short], logs[own])
+    return out
+
+
+def _pair_bytes(pairs: list[tuple[np.ndarray, ...]], number: np.ndarray, trained: int, parts: int) -> dict[int, bytes]:
+    """By bucket: pairs of two broadcast words, other pairs, their runs, and of these places, training places, log and texts.
+
+    Places of one pair and one log are a run: what is asked of a pair's count is the same for them.
+    """
+    pair, owners, logs = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    pairs.clear()
+    order = np.argsort(pair)
+    rank = np.zeros(len(order), np.uint64)
+    rank[_firsts(pair[order])[1:]] = 1
+    order = order[np.argsort(np.cumsum(rank, dtype=np.uint64) << np.uint64(16) | logs[order].view(np.uint16))]
+    order, cut = _bucketed(mix(pair) % np.uint64(parts), order, parts)
+    pair, owners, logs = pair[order], number[owners[order]], logs[order]
+    first = _firsts(pair, logs.view(np.uint16))
+    n, at = np.diff(np.append(first, len(pair))).astype(np.uint32), np.searchsorted(first, cut)
+    mine = np.add.reduceat(owners < trained, first, dtype=np.uint32) if len(first) else n
+    pair, logs = pair[first], logs[first]
+    out = {}
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        own = slice(at[b], at[b + 1])
+        x = pair[own]
+        k = np.searchsorted(x, np.uint64(1 << 63))
+        out[b] = squeezed(steps(x[:k]), steps(x[k:]), n[own], mine[own], logs[own], owners[cut[b] : cut[b + 1]])
+    return out
+
+
+def _pair_words(pairs: np.ndarray) -> np.ndarray:
+    """The broadcast words that pairs begin with."""
+    return np.where(pairs >> np.uint64(63), pairs << np.uint64(1) >> CODE + np.uint64(1), pairs >> HOT_CODE).astype(np.int64)
+
+
 def _shortened(logs: np.ndarray) -> np.ndarray:
     """Logarithms in two bytes, rounded up, so that no state gives a word more than it has."""
     out = np.maximum(logs, -60000.0).astype(np.float16)
@@ -495,33 +597,6 @@ def _word_logs(symbols: np.ndarray, each: np.ndarray, n: np.ndarray) -> np.ndarr
     return sums[np.repeat(n > 0, np.maximum(n, 1))]  # a text without words is its end alone
 
 
-def _pair_bucket(pairs: np.ndarray, parts: int) -> np.ndarray:
-    return (mix(pairs) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int32)
-
-
-def _runs_bytes(words: np.ndarray, first: np.ndarray | None = None) -> bytes:
-    """Sorted words as the distinct ones and their run lengths; first: where runs begin, if they are shorter."""
-    if first is None:
-        first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-    n = np.diff(np.append(first, len(words)))
-    kind = np.uint8 if n.max() < 256 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + len(first).to_bytes(8, "little") + words[first].tobytes() + n.astype(kind).tobytes()
-
-
-def _owner_bytes(keys: np.ndarray, at: np.ndarray) -> bytes:
-    """The keys of the texts, and each place's text among them."""
-    kind = np.uint8 if len(keys) <= 1 << 8 else np.uint16 if len(keys) <= 1 << 16 else np.uint32
-    return bytes([np.dtype(kind).itemsize]) + len(keys).to_bytes(8, "little") + keys.tobytes() + at.astype(kind).tobytes()
-
-
-_KINDS = {1: np.uint8, 2: np.uint16, 4: np.uint32}
-
-
-def _parsed(data: bytes, first_kind: type) -> tuple[np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[1:9], "little")
-    return np.frombuffer(data, first_kind, n, 9), np.frombuffer(data, _KINDS[data[0]], offset=9 + 8 * n)
-
-
 def _log_ratio(count, log, total, distinct) -> np.ndarray:
     """The logarithm of a following word's probability in a state over that in the shorter suffix, which is log."""
     weight = np.maximum(distinct, 1.0)
@@ -562,27 +637,21 @@ class Pairs:
     """The places of a bucket's pairs, each of a broadcast word and the word that follows it, in their runs."""
 
     def __init__(self):
-        self.held: list[tuple[bytes, ...]] = []
+        self.held: list[bytes | None] = []
 
     def add(self, batch: pa.RecordBatch) -> Pairs:
-        batch = batch.filter(batch.column("pairs").is_valid())
-        self.held += zip(*(batch.column(c).to_pylist() for c in ("pairs", "owners", "learned", "logs")), strict=True)
+        self.held += batch.column("pairs").drop_null().to_pylist()
         return self
 
     def runs(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """Of each pack: pair, log, places and training places of each run; the texts, and each place's text among them."""
-        for pairs, owners, learned, logs in self.held:
-            pair, n = _parsed(pairs, np.uint64)
-            n = n.astype(np.int64)
-            texts, at = _parsed(owners, np.int64)
-            mine = np.add.reduceat(np.frombuffer(learned, bool)[at], np.cumsum(n) - n, dtype=np.int64)
-            yield pair, np.frombuffer(logs, np.float16).astype(np.float64) * np.log(10), n, mine, texts, at
+        """Of each pack: pair, places, training places and log of each run."""
+        return (_pair_runs(data) for data in self.held)
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct pairs, ascending, and their training places."""
         pair, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         size, some = 0, []
-        for own, _, _, mine, _, _ in self.runs():
+        for own, _, mine, _ in self.runs():
             some.append((own, mine))
             size += len(own)
             if size > 4 * HELD:
@@ -591,6 +660,11 @@ class Pairs:
         return summed(np.concatenate([pair, *(x for x, _ in some)]), np.concatenate([count, *(x for _, x in some)]))
 
 
+def _pair_runs(data: bytes) -> tuple[np.ndarray, ...]:
+    short, long, n, mine, logs = unsqueezed(data, np.uint64, np.uint64, np.uint32, np.uint32, np.float16)
+    return np.concatenate([np.cumsum(short, dtype=np.uint64), np.cumsum(long, dtype=np.uint64)]), n.astype(np.int64), mine.astype(np.int64), logs.astype(np.float64) * np.log(10)
+
+
 def _slices(sums: np.ndarray) -> pa.RecordBatch:
     """Sums by broadcast word (a row of them for each kind), cut into rows by word."""
     kinds, n = sums.shape
@@ -609,7 +683,7 @@ def _pair_totals(hot: int):
             pairs.add(batch)
         pair, count = pairs.counts()
         if len(pair):
-            word = (pair >> PAIR_BITS).astype(np.int64)
+            word = _pair_words(pair)
             yield _slices(np.stack([np.bincount(word, count, hot), np.bincount(word, count > 0, hot)]))
 
     return f
@@ -627,10 +701,10 @@ def _pair_divergence(hot: int):
             total, followers = np.frombuffer(marks).reshape(2, hot)
             keys, counts = pairs.counts()
             sums = np.zeros(hot)
-            for pair, log, _, mine, _, _ in pairs.runs():
+            for pair, _, mine, log in pairs.runs():
                 some = np.flatnonzero(mine)
                 pair, mine = pair[some], mine[some]
-                count, word = counts[np.searchsorted(keys, pair)], (pair >> PAIR_BITS).astype(np.int64)
+                count, word = counts[np.searchsorted(keys, pair)], _pair_words(pair)
                 sums += np.bincount(word, mine * _log_ratio(count - 1.0, log[some], total[word] - 1.0, followers[word] - (count == 1)), hot)
             yield _slices(sums[None])
 
@@ -670,98 +744,107 @@ def _marked(met: DataFrame, sums: DataFrame, hot: int, name: str) -> DataFrame:
     return met.join(F.broadcast(one), "late", "left")
 
 
-def _pair_gains(pairs: Pairs, totals: bytes, divergence: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Texts, and what the states of broadcast words add to their log10 probability: ``word_state_gains`` by pairs."""
+def _pair_gains(pairs: Pairs, totals: bytes, divergence: bytes):
+    """What the states of broadcast words add to the log10 probability of each place of a piece's pairs: ``word_state_gains`` by pairs."""
     divergence = np.frombuffer(divergence)
     total, followers = np.frombuffer(totals).reshape(2, -1)
     state = (total >= 2) & (divergence >= DIVERGENCE * np.maximum(total, 1))
     keys, counts = pairs.counts()
-    for pair, log, n, _, texts, at in pairs.runs():
-        word = (pair >> PAIR_BITS).astype(np.int64)
+
+    def gains(data: bytes) -> np.ndarray:
+        pair, n, _, log = _pair_runs(data)
+        word = _pair_words(pair)
         some = np.flatnonzero(state[word])
         gain = np.zeros(len(pair))
         word = word[some]
         gain[some] = _log_ratio(counts[np.searchsorted(keys, pair[some])].astype(np.float64), log[some], total[word], followers[word]) / np.log(10)
-        yield texts, np.bincount(at, np.repeat(gain, n), len(texts))
+        return np.repeat(gain, n)
+
+    return gains
+
+
+class Piece:
+    """A bucket's places of the texts of one pack; of the words that are not broadcast only what is asked of them."""
+
+    def __init__(self, pack: int, texts: int, trained: int, home: int, places: bytes | None, pairs: bytes | None, keys: np.ndarray, counts: np.ndarray):
+        self.pack, self.texts, self.home, self.pairs = pack, texts, home, pairs
+        words, n, self.at, short, numbers, hashes, logs = unsqueezed(places, np.uint64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint64, np.float16) if places else (np.zeros(0, k) for k in (np.uint64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint64, np.float16))
+        words = np.cumsum(words, dtype=np.uint64)
+        place = np.searchsorted(keys, words)
+        place[place == len(keys)] = 0
+        found = np.where(keys[place] == words, counts[place], 0) if len(keys) else np.zeros(len(words), np.int64)
+        self.found, self.n = found, n
+        short = np.unpackbits(short, count=len(self.at)).astype(bool)
+        following = np.empty(len(self.at), np.uint64)
+        following[short], following[~short] = numbers, hashes
+        self.some = np.flatnonzero((np.repeat(found, n) > 1) & (following != NONE))
+        self.states = np.repeat(place.astype(np.int32), n)[self.some], following[self.some], logs[self.some], (self.at < trained)[self.some]
+
+    def sums(self, gains: np.ndarray, pair_gains) -> bytes:
+        """By text known words, their logs of counts and what states add, of the texts that have any."""
+        known = np.bincount(self.at, np.repeat(self.found > 0, self.n), self.texts)
+        base = np.bincount(self.at, np.repeat(np.log10(self.found + 1.0), self.n), self.texts)
+        score = np.bincount(self.at[self.some], gains, self.texts)
+        if self.pairs is not None:
+            at = unsqueezed(self.pairs, np.uint64, np.uint64, np.uint32, np.uint32, np.float16, np.uint32)[-1]
+            score += np.bincount(at, pair_gains(self.pairs), self.texts)
+        some = (known > 0) | (score != 0)
+        return squeezed(np.packbits(some), known[some].astype(np.uint32), base[some], score[some].astype(np.float32))
 
 
 def _second_pass(parts: int, paired: bool):
-    """A bucket's word counts (first in its partition) meet its places; sums by text, packed by bucket of the text's key."""
+    """A bucket's word counts (first in its partition) meet its places; sums by text, a row a piece, go to the pack's home."""
 
     def f(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        states: list[tuple[np.ndarray, ...]] = []
-        texts_before = 0
+        pieces: list[Piece] = []
         pairs, totals, divergence = Pairs(), None, None
         names = ["bucket", *_names(ROW), *_names(SUMS)]
         for batch in batches:
             if paired:
-                pairs.add(batch)
                 totals, divergence = _mark(batch, "totals", totals), _mark(batch, "divergence", divergence)
             rows = batch.filter(batch.column("key").is_valid())
             if rows.num_rows:
                 yield pa.RecordBatch.from_arrays([rows.column(c) for c in ["bucket", *_names(ROW)]] + _nulls(SUMS, rows.num_rows), names=names)
-            batch = batch.filter(pc.or_(batch.column("keys").is_valid(), batch.column("words").is_valid()))
-            for k, c, w, o, t, x, logs in zip(*(batch.column(n).to_pylist() for n in ["keys", "counts", *_names(PLACES)[:-1]]), strict=True):
+            batch = batch.filter(pc.or_(batch.column("keys").is_valid(), batch.column("pack").is_valid()))
+            for k, c, *piece in zip(*(batch.column(n).to_pylist() for n in ["keys", "counts", *_names(PLACES)]), strict=True):
                 if k is not None:
-                    keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
+                    keys, counts = unpacked(k, c)
                     continue
-                words, n = _parsed(w, np.uint64)
-                texts, at = _parsed(o, np.int64)
-                place = np.searchsorted(keys, words)
-                place[place == len(keys)] = 0
-                found = np.where(keys[place] == words, counts[place], 0) if len(keys) else np.zeros(len(words), np.int64)
-                each = np.repeat(found, n)
-                sums.append((texts, np.bincount(at, each > 0, len(texts)).astype(np.int32), np.bincount(at, np.log10(each + 1.0), len(texts))))
-                wide = np.zeros((len(at), 8), np.uint8)
-                wide[:, :NEXT] = np.frombuffer(x, np.uint8).reshape(-1, NEXT)
-                following = wide.view(np.uint64)[:, 0]
-                some = (each > 1) & (following > 0)
-                states.append((np.repeat(place, n)[some].astype(np.int32), following[some], np.frombuffer(logs, np.float16)[some], np.frombuffer(t, bool)[at][some], at[some].astype(np.int32) + np.int32(texts_before)))
-                texts_before += len(texts)
-        if sums or pairs.held:
-            key, known, base, score = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
-            if sums:
-                key, known, base = (np.concatenate(c) for c in zip(*sums, strict=True))
-                word, following, logs, learned, owner = (np.concatenate(c) for c in zip(*states, strict=True))
-                score = np.bincount(owner, word_state_gains(word, following, logs, learned), len(key))
-            if pairs.held:
-                more = [(key, score), *_pair_gains(pairs, totals, divergence)]
-                key, at = np.unique(np.concatenate([k for k, _ in more]), return_inverse=True)
-                score = np.bincount(at, np.concatenate([s for _, s in more]), len(key))
-                known, base = np.bincount(at[: len(known)], known, len(key)).astype(np.int32), np.bincount(at[: len(base)], base, len(key))
-            some = np.flatnonzero((known > 0) | (score != 0))
-            key, known, base, score = key[some], known[some], base[some], score[some].astype(np.float32)
-            bucket = (key.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(cut))
-            own = [order[cut[b] : cut[b + 1]] for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *_nulls(ROW, len(some)), *(pa.array([x[o].tobytes() for o in own], pa.binary()) for x in (key, known, base, score))], names=names)
+                pieces.append(Piece(*piece, keys, counts))
+        if pieces:
+            pairs.held = [p.pairs for p in pieces if p.pairs is not None]
+            gains = word_state_gains(*(np.concatenate(c) for c in zip(*(p.states for p in pieces), strict=True)))
+            pair_gains = _pair_gains(pairs, totals, divergence) if pairs.held else None
+            cut = np.cumsum([0] + [len(p.some) for p in pieces])
+            sums = [p.sums(gains[a:b], pair_gains) for p, a, b in zip(pieces, cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([p.home for p in pieces], pa.int32()), *_nulls(ROW, len(pieces)), pa.array([p.pack for p in pieces], pa.int64()), pa.array([p.texts for p in pieces], pa.int64()), pa.array(sums, pa.binary())], names=names)
 
     return f
 
 
 def _sum_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of one bucket of texts, with their sums; repeated rows share what both have gathered."""
-    rows, held = [], []
+    """The texts of one bucket's packs, with their sums; packs that are alike share what all have gathered."""
+    rows, held = [], {}
     for batch in batches:
         own = batch.filter(batch.column("key").is_valid())
-        rows.append([own.column(c).to_numpy() for c in _names(ROW)])
-        for k, n, b, s in zip(*(batch.column(c).drop_null().to_pylist() for c in _names(SUMS)), strict=True):
-            held.append((np.frombuffer(k, np.int64), np.frombuffer(n, np.int32), np.frombuffer(b, np.float64), np.frombuffer(s, np.float32)))
-    if rows:
-        doc_id, key, n, known, base, score = (np.concatenate(x) for x in zip(*rows, strict=True))
-        if not len(key):
-            return
-        some, at, repeats = np.unique(key, return_inverse=True, return_counts=True)
-        if held:
-            keys, *values = (np.concatenate(x) for x in zip(*held, strict=True))
-            place = np.searchsorted(some, keys)
-            more = [np.bincount(place, v, len(some)) / repeats for v in values]
-            known, base, score = known + np.rint(more[0][at]).astype(np.int64), base + more[1][at], score + more[2][at]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc_id, n, known, base, score)], names=["doc_id", "n_tokens", "n_known", "base", "score"])
+        rows += zip(*(own.column(c).to_pylist() for c in _names(ROW)), strict=True)
+        own = batch.filter(batch.column("pack").is_valid())
+        for pack, n, data in zip(*(own.column(c).to_pylist() for c in _names(SUMS)), strict=True):
+            come, sums = held.setdefault(pack, (0, np.zeros((3, n))))
+            some, *values = unsqueezed(data, np.uint8, np.uint32, np.float64, np.float32)
+            at = np.flatnonzero(np.unpackbits(some, count=n))
+            for total, x in zip(sums, values, strict=True):
+                total[at] += x
+            held[pack] = come + 1, sums
+    alike = Counter(key for key, _, _ in rows)
+    for key, pieces, data in rows:
+        come, sums = held.get(key, (0, np.zeros((3, 1))))
+        if come != pieces * alike[key]:
+            raise RuntimeError(f"{come} of {pieces * alike[key]} pieces of a pack came back: its rows came in another order when a task was repeated")
+        ids, n, known, base, score = unsqueezed(data, np.uint64, np.int64, np.int64, np.float64, np.float64)
+        more = sums / alike[key]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.cumsum(ids, dtype=np.uint64).view(np.int64), n, known + np.rint(more[0]).astype(np.int64), base + more[1], score + more[2])], names=["doc_id", "n_tokens", "n_known", "base", "score"])
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, learned: Column | None = None) -> DataFrame:
